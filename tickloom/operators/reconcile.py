@@ -124,8 +124,8 @@ def input_fingerprint(tracking: DataFrame) -> DataFrame:
     return tracking.withColumn("input_sha256", canonical_hash("policy_version", "kind", "signal_date", "held_bars"))
 
 
-def midpoint_percentile(rows: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """Percentile of a value in its group, ties sharing their mean position; a lone row is 1.
+def value_percentiles(rows: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
+    """Percentile of each distinct value of a group, ties sharing their mean position; a lone row is 1.
 
     Works on distinct values: counts per value are combined first, and the running count inside a value range is added
     to a histogram of ranges, so a hot group is never sorted in one task.
@@ -143,26 +143,32 @@ def midpoint_percentile(rows: DataFrame, groups: Sequence[str], value: str, out:
     inside = Window.partitionBy(*groups, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_off") + F.coalesce(F.sum("_t").over(inside), F.lit(0))
     share = F.when(F.col("_all") == 1, 1.0).otherwise(F.try_divide(2 * below + F.col("_t") - 1, 2 * (F.col("_all") - 1)))
-    rated = keyed.join(offsets, [*groups, "_b"]).select(*groups, F.col("_x").alias(value), share.alias(out))
-    return rows.join(rated, [*groups, value])
+    return keyed.join(offsets, [*groups, "_b"]).select(*groups, F.col("_x").alias(value), share.alias(out))
+
+
+def midpoint_percentile(rows: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
+    return rows.join(value_percentiles(rows, groups, value, out), [*groups, value])
 
 
 def experiment_scores(rows: DataFrame, day: str = "signal_date") -> DataFrame:
     """Fixed-weight score of the eligible candidates of each signal day."""
     eligible = rows.filter("eligible").withColumn("_neg_rank", -F.col("rank"))
-    rated = midpoint_percentile(eligible, [day], "_neg_rank", "_p_rank")
-    rated = midpoint_percentile(rated, [day], "institution_ratio_5", "_p_inst")
-    rated = midpoint_percentile(rated, [day], "revenue_yoy_pct", "_p_rev")
+    rated = eligible
+    for value, out in (("_neg_rank", "_p_rank"), ("institution_ratio_5", "_p_inst"), ("revenue_yoy_pct", "_p_rev")):
+        rated = rated.join(value_percentiles(eligible, [day], value, out), [day, value])
     score = WEIGHTS[0] * F.col("_p_rank") + WEIGHTS[1] * F.col("_p_inst") + WEIGHTS[2] * F.col("_p_rev")
-    return rated.withColumn("shadow_score", score).drop("_neg_rank", "_p_rank", "_p_inst", "_p_rev")
+    return rated.withColumn("shadow_score", F.round(score, 9)).drop("_neg_rank", "_p_rank", "_p_inst", "_p_rev")
 
 
 def select_cohorts(rows: DataFrame, top: int = 10, day: str = "signal_date") -> DataFrame:
-    """Baseline (by rank) and shadow (by score) top lists of the same eligible candidates; one row per (day, arm, symbol)."""
-    scored = experiment_scores(rows, day)
-    base = top_k(scored, [day], [F.col("rank"), F.col("symbol")], top, "arm_rank").withColumn("arm", F.lit("baseline"))
-    shadow = top_k(scored, [day], [F.desc("shadow_score"), F.col("rank"), F.col("symbol")], top, "arm_rank")
-    return base.unionByName(shadow.withColumn("arm", F.lit("shadow")))
+    """Baseline (by rank) and shadow (by score) top lists of the same eligible candidates; one row per (day, arm, symbol).
+
+    Both arms offer every row once and share one per-partition top-k: the sort key of an arm is its own.
+    """
+    by_rank = F.struct(F.lit("baseline").alias("arm"), F.lit(0.0).alias("_key"))
+    by_score = F.struct(F.lit("shadow").alias("arm"), (-F.col("shadow_score")).alias("_key"))
+    offered = experiment_scores(rows, day).select("*", F.inline(F.array(by_rank, by_score)))
+    return top_k(offered, [day, "arm"], [F.col("_key"), F.col("rank"), F.col("symbol")], top, "arm_rank").drop("_key")
 
 
 def archive_features(existing: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("definition_sha256", "snapshot_id")) -> DataFrame:

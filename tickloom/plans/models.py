@@ -564,11 +564,11 @@ def snapshot_bars(m: Market):
 
 @query(
     "t8_bars_across_snapshots",
-    oracle("select symbol, cast(date as varchar) as date, arg_max(snapshot_id, (created_at, snapshot_id)) as snapshot_id, " + rnd("arg_max(close, (created_at, snapshot_id))", 6, "close") + " from snapbars group by 1, 2", "snapbars"),
+    oracle("select symbol, cast(date as varchar) as date, arg_max(snapshot_id, (created_at, snapshot_id)) as snapshot_id, " + rnd("arg_max(close, (created_at, snapshot_id))", 8, "close") + " from snapbars group by 1, 2", "snapbars"),
 )
 def t8(m):
     rows = T.bars_across_snapshots(snapshot_bars(m), manifest(m))
-    return rows.select("symbol", text("date").alias("date"), "snapshot_id", F.round("close", 6).alias("close"))
+    return rows.select("symbol", text("date").alias("date"), "snapshot_id", F.round("close", 8).alias("close"))
 
 
 @query(

@@ -7,12 +7,14 @@ the raw rows of a hot (symbol, session) are combined on the map side and never m
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import valid_bar
 from tickloom.operators.calendar import session_table
+from tickloom.session import written
 
 _shared: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -22,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Derived tables that many queries of one session start from are persisted; lineage is kept."""
+    """Derived tables that many queries start from are written once per session to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _shared:
-        _shared[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        folder = re.sub(r"[^A-Za-z0-9.]+", "_", f"{sf_dir}/{name}").strip("_")
+        _shared[key] = written(build(), folder)
     return _shared[key]
 
 
@@ -54,7 +57,7 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
     def build() -> DataFrame:
         order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
         price = F.col("l_extendedprice") / F.col("l_quantity")
-        grouped = (
+        per_bar = (
             trades(spark, sf_dir, grain)
             .groupBy("symbol", "date")
             .agg(
@@ -65,8 +68,8 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
                 F.sum("l_quantity").alias("volume"),
                 F.sum("l_extendedprice").alias("turnover"),
             )
-            .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        grouped = _once(spark, sf_dir, "trades:" + grain, lambda: per_bar)
         numbered = grouped.join(F.broadcast(session_table(grouped)), "date")
         suffix = F.regexp_extract("symbol", r"(\d+)$", 1).try_cast("int")
         flagged = (F.col("ord") * 7 + F.coalesce(suffix, F.lit(0))) % 97 == 0
