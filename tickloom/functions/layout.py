@@ -24,6 +24,15 @@ def calendar_days(df: DataFrame, day: str = "date") -> DataFrame:
     return df.select(F.col(day).cast("date").alias("date")).filter(inside).distinct()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance before heavy per-row work when the input has fewer partitions than the cluster has cores.
+
+    A table in many files is left as it is; a single small file would otherwise keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def blocked(df: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK_SESSIONS, ord_col: str = "ord") -> DataFrame:
     """Assign rows to session blocks and repeat the halo that frames of neighbouring blocks reach into.
 

@@ -23,7 +23,9 @@ AMBIGUOUS_NAMES = (
 # Fixed patterns: words that set a finance context, words that follow a company name, marks that precede one.
 CONTEXT_WORDS = r"股票|股價|台股|持股|營收|買超|賣超|法人|ETF|標的"
 FOLLOWING_WORDS = r"\s*(?:股價|營收|法說會|漲停|跌停|目標價|本益比|董事長|總經理|除息)"
-PRECEDING_MARK = r"(?:\[標的\]|標的\s*[:：])\s*$"
+PRECEDING_TAG = "[標的]"
+PRECEDING_WORD = "標的"
+PRECEDING_COLONS = (":", "：")
 CODE_LEFT = r"(?<![\dA-Za-z/.$])"
 CODE_RIGHT = r"(?![\dA-Za-z/]|\.\d|\s*(?:元|塊|圓|美元|%|張|年|月|日))"
 
@@ -47,61 +49,88 @@ def search_normal(column):
     return F.trim(F.lower(folded(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))))
 
 
+class Occurrences:
+    """Which of many short strings occur in a text: substring tests, narrowed by two-character grams for large sets."""
+
+    FEW = 200
+
+    def __init__(self, values):
+        self.values = sorted({v for v in values if v})
+        self.by_gram: dict[str, list[str]] = {}
+        for v in self.values:
+            self.by_gram.setdefault(v[:2], []).append(v)
+
+    def present(self, text: str) -> list[str]:
+        if len(self.values) <= self.FEW:
+            possible = self.values
+        else:
+            grams = {text[i : i + 2] for i in range(len(text))} | set(text)
+            possible = [v for g in grams & self.by_gram.keys() for v in self.by_gram[g]]
+        return [v for v in possible if v in text]
+
+
 class MentionMatcher:
-    """Which securities one text names. Names are found in one alternation pass per start position."""
+    """Which securities one text names."""
 
     def __init__(self, entries: list[tuple[str, str]], ambiguous=AMBIGUOUS_NAMES):
-        self.names: dict[str, list[str]] = {}
+        self.symbols_of: dict[str, list[str]] = {}
         for symbol, name in entries:
             if fold(name):
-                self.names.setdefault(fold(name), []).append(symbol)
+                self.symbols_of.setdefault(fold(name), []).append(symbol)
         self.ambiguous = frozenset(ambiguous)
         self.context = re.compile(CONTEXT_WORDS, re.I)
-        self.long_names = [n.replace("臺", "台") for _, n in entries if n and len(n) > 2]
         self.following = re.compile(FOLLOWING_WORDS)
-        self.preceding = re.compile(PRECEDING_MARK)
-        symbols = sorted({s for s, _ in entries}, key=lambda s: (-len(s), s))
-        self.codes = self._code_patterns(symbols)
-        by_length = sorted(self.names, key=lambda n: (-len(n), n))
-        # A zero-width match at every position yields the longest name there; shorter ones at the same start are inside it.
-        self.finder = re.compile("(?=(" + "|".join(map(re.escape, by_length)) + "))") if by_length else None
-        self.long_finder = re.compile("|".join(map(re.escape, self.long_names))) if self.long_names else None
-
-    @staticmethod
-    def _code_patterns(symbols):
-        if not symbols:
-            return None
-        return re.compile(CODE_LEFT + "(" + "|".join(map(re.escape, symbols)) + ")" + CODE_RIGHT)
+        self.code_left, self.code_right = re.compile(CODE_LEFT), re.compile(CODE_RIGHT)
+        self.names = Occurrences(self.symbols_of)
+        self.codes = Occurrences(symbol for symbol, _ in entries)
+        # Long names set a finance context in their own spelling, which may differ from the folded one.
+        self.long_names = Occurrences(n.replace("臺", "台") for _, n in entries if n and len(n) > 2)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Name occurrences that lie in no longer occurrence."""
-        if self.finder is None:
-            return []
-        found = [(m.start(1), m.end(1), m.group(1)) for m in self.finder.finditer(text)]
+        found = []
+        for name in self.names.present(text):
+            at = text.find(name)
+            while at >= 0:
+                found.append((at, at + len(name), name))
+                at = text.find(name, at + len(name))
+        # Longest first at each start: a span lies inside another exactly when an earlier one reaches its end.
+        found.sort(key=lambda s: (s[0], -s[1]))
         kept, reach = [], -1
-        for start, end, name in found:
-            # Starts ascend, so a span is inside an earlier one exactly when an earlier end reaches its own.
-            if end > reach:
-                kept.append((start, end, name))
-                reach = end
+        for span in found:
+            if span[1] > reach:
+                kept.append(span)
+                reach = span[1]
         return kept
 
+    @staticmethod
+    def is_marked(head: str) -> bool:
+        """The text before a name ends with the subject mark."""
+        head = head.rstrip()
+        return head.endswith(PRECEDING_TAG) or (head.endswith(PRECEDING_COLONS) and head[:-1].rstrip().endswith(PRECEDING_WORD))
+
+    def is_code(self, symbol: str, text: str) -> bool:
+        """The symbol stands alone somewhere: no number, unit, price or date around it."""
+        at = text.find(symbol)
+        while at >= 0:
+            if self.code_left.match(text, at) and self.code_right.match(text, at + len(symbol)):
+                return True
+            at = text.find(symbol, at + 1)
+        return False
+
     def identify(self, raw: str | None) -> list[str]:
         text = fold(raw)
-        context = bool(self.context.search(text)) or bool(self.long_finder and self.long_finder.search(text))
+        context = bool(self.context.search(text)) or bool(self.long_names.present(text))
         hits: set[str] = set()
         for start, end, name in self.spans(text):
             if name in self.ambiguous:
-                named = self.following.match(text, end) or self.preceding.search(text[:start])
+                named = self.following.match(text, end) or self.is_marked(text[:start])
             else:
                 named = len(name) > 2 or context
             if named:
-                hits.update(self.names[name])
-        if context and self.codes is not None:
-            at = 0
-            while match := self.codes.search(text, at):
-                hits.add(match.group(1))
-                at = match.start() + 1
+                hits.update(self.symbols_of[name])
+        if context:
+            hits.update(s for s in self.codes.present(text) if s not in hits and self.is_code(s, text))
         return sorted(hits)
 
 

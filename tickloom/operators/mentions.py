@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.layout import split_rank
+from tickloom.functions.layout import split_rank, spread
 from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, folded, mention_udf
 
 USABLE = ("success", "partial")
@@ -31,7 +31,7 @@ def mentions(
     """
     entries = dictionary_entries(dictionary, limit)
     if entries is not None:
-        return texts.withColumn("symbols", mention_udf(entries, ambiguous)(F.col(text)))
+        return spread(texts).withColumn("symbols", mention_udf(entries, ambiguous)(F.col(text)))
     return mentions_by_join(texts, dictionary, key, text, ambiguous)
 
 
@@ -75,7 +75,7 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str, text: str
     entries = dictionary_entries(dictionary, limit)
     if entries is not None:
         names = F.array(*[F.lit(n) for n in sorted({n for _, n in entries if n})])
-        return texts.select(key, F.explode(F.filter(names, lambda n: F.contains(F.col(text), n))).alias("name"))
+        return spread(texts.select(key, text)).select(key, F.explode(F.filter(names, lambda n: F.contains(F.col(text), n))).alias("name"))
     positions = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     grams = F.array_distinct(F.transform(positions, lambda i: F.substring(F.col(text), i, F.lit(2))))
     keyed = dictionary.filter("name <> ''").select("name", F.substring("name", 1, 2).alias("gram")).distinct()

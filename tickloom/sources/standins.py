@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.layout import spread
 from tickloom.functions.scalars import valid_bar
 from tickloom.operators.calendar import session_table
 from tickloom.session import written
@@ -58,7 +59,7 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
         order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
         price = F.col("l_extendedprice") / F.col("l_quantity")
         per_bar = (
-            trades(spark, sf_dir, grain)
+            spread(trades(spark, sf_dir, grain))
             .groupBy("symbol", "date")
             .agg(
                 F.min(order).alias("_first"),
