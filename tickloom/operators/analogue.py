@@ -104,10 +104,18 @@ def nearest(anchors: DataFrame, research: DataFrame, k: int = 60) -> DataFrame:
     keyed = _as_anchors(anchors)
     scaled = keyed.join(anchor_scales(anchors, research), list(ANCHOR))
     pairs = matured_pairs(scaled, research).select(
-        *ANCHOR, "candidates", "c_ord", "c_return", "c_recovered", "c_days", "c_worst", distance().alias("distance")
+        *ANCHOR,
+        F.xxhash64(*ANCHOR).alias("_id"),
+        "c_ord",
+        "c_return",
+        "c_recovered",
+        "c_days",
+        "c_worst",
+        distance().alias("distance"),
     )
-    order = Window.partitionBy(*ANCHOR).orderBy("distance", "c_ord")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # The hash leads the sort so that most comparisons end at its eight bytes; the key columns keep groups exact.
+    order = Window.partitionBy("_id", *ANCHOR).orderBy("distance", "c_ord")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_id")
 
 
 def neighbour_statistics(neighbours: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def day_weighted_summary(records: DataFrame, groups: Sequence[str] = ()) -> Data
     if groups:
         joined = summary.join(top, list(groups), "left")
     else:
-        joined = summary.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        both = summary.unionByName(top, allowMissingColumns=True)
+        joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return joined.withColumn("top5_gain_share", F.try_divide(F.col("_top5"), F.col("_gains"))).drop("_gains", "_top5")
 
 

@@ -128,15 +128,22 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
 
 def feed_state(quotes: DataFrame, universe: DataFrame, now: Column) -> DataFrame:
     """One row per feed: live / closed / stale / no_trades / no_catalog with coverage, from usable and old quotes."""
-    seen = quotes.agg(
-        F.max(F.when(F.col("usable"), F.col("updated_at"))).alias("snapshot_at"),
-        F.count_distinct(F.when(F.col("usable"), F.col("symbol"))).alias("coverage"),
-        F.coalesce(F.bool_or(~F.col("same_day")), F.lit(False)).alias("_old"),
-        F.lit(1).alias("_one"),
+    fed = quotes.select(
+        F.when(F.col("usable"), F.col("updated_at")).alias("updated_at"),
+        F.when(F.col("usable"), F.col("symbol")).alias("quoted"),
+        (~F.col("same_day")).alias("old"),
+        F.lit(None).cast("string").alias("listed"),
+    )
+    empty = {"updated_at": F.lit(None).cast("timestamp"), "quoted": F.lit(None).cast("string"), "old": F.lit(False)}
+    members = universe.filter(F.col("kind").isNotNull()).select(F.col("symbol").alias("listed")).withColumns(empty)
+    totals = fed.unionByName(members).agg(
+        F.max("updated_at").alias("snapshot_at"),
+        F.count_distinct("quoted").alias("coverage"),
+        F.coalesce(F.bool_or("old"), F.lit(False)).alias("_old"),
+        F.count("listed").alias("universe_count"),
     )
-    size = universe.filter(F.col("kind").isNotNull()).agg(F.count("*").alias("universe_count"), F.lit(1).alias("_one"))
     age = seconds_between(now, F.col("snapshot_at"))
-    return seen.join(size, "_one").select(
+    return totals.select(
         F.when(F.col("universe_count") == 0, "no_catalog")
         .when(F.col("snapshot_at").isNull(), F.when(F.col("_old"), "stale").otherwise("no_trades"))
         .when(trading_hours(now) & (age > STALE_SECONDS), "stale")

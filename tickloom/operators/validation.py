@@ -233,20 +233,17 @@ def block_bootstrap(
         F.max(F.when(F.col("_rn") == int(0.025 * replicates), F.col("mean"))).alias("ci_low"),
         F.max(F.when(F.col("_rn") == int(0.975 * replicates), F.col("mean"))).alias("ci_high"),
     )
-    one = F.lit(1).alias("_one")
+    columns = ("valid_test_days", "mean_difference_pct", "ci_low", "ci_high")
+    both = summary.unionByName(ci, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in columns])
     enough = F.col("valid_test_days") >= minimum
-    return (
-        summary.withColumn("_one", one)
-        .join(ci.withColumn("_one", one), "_one")
-        .select(
-            "valid_test_days",
-            F.when(enough, F.col("mean_difference_pct")).alias("mean_difference_pct"),
-            "ci_low",
-            "ci_high",
-            F.when(~enough, "insufficient")
-            .when(F.col("ci_low") > 0, "above_zero")
-            .when(F.col("ci_high") < 0, "below_zero")
-            .otherwise("includes_zero")
-            .alias("conclusion"),
-        )
+    return both.select(
+        "valid_test_days",
+        F.when(enough, F.col("mean_difference_pct")).alias("mean_difference_pct"),
+        "ci_low",
+        "ci_high",
+        F.when(~enough, "insufficient")
+        .when(F.col("ci_low") > 0, "above_zero")
+        .when(F.col("ci_high") < 0, "below_zero")
+        .otherwise("includes_zero")
+        .alias("conclusion"),
     )

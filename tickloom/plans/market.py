@@ -623,7 +623,8 @@ BREADTH_NEEDS = ("sec", "bars", "cutday", "scored")
 
 
 def breadth_metrics(m: Market):
-    return B.stock_metrics(m.securities, m.bars, m.sessions, m.as_of, R.research_candidates(m.scored).filter(F.col("as_of") == m.as_of))
+    candidates = R.research_candidates(m.scored.filter(F.col("as_of") == m.as_of))
+    return m.shared("breadth", lambda: B.stock_metrics(m.securities, m.bars, m.sessions, m.as_of, candidates))
 
 
 @query("g1_stock_metrics", oracle(f"select symbol, industry, {rlist('daily', 'momentum20')}, ma20, {rlist('turnover', 'previous_turnover', digits=6)}, candidate from ({BREADTH}) q", *BREADTH_NEEDS))

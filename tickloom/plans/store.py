@@ -468,5 +468,6 @@ def a22(m):
     state = rows.groupBy("batch").agg(F.bool_and("_ok").alias("ok"))
     tagged = rows.join(state, "batch").withColumn("symbol", F.col("user_id"))
     wanted = m.events.filter("user_id % 2 = 0").select(F.col("user_id").alias("symbol")).distinct()
-    kept = Q.batch_union(tagged, wanted).agg(F.count("*").alias("rows"), F.lit(1).alias("_one"))
-    return Q.batch_status(tagged).withColumn("_one", F.lit(1)).join(kept, "_one").drop("_one")
+    kept = Q.batch_union(tagged, wanted).agg(F.count("*").alias("rows"))
+    both = Q.batch_status(tagged).unionByName(kept, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
