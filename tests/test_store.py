@@ -247,6 +247,40 @@ def test_publish_is_idempotent_and_never_goes_back(spark, tmp_path):
     assert {r["snapshot_id"] for r in spark.read.parquet(path + "/rows").select("snapshot_id").distinct().collect()} == {"s1", "s4"}
 
 
+def test_exports_details_and_compaction(spark, tmp_path):
+    schema = (
+        "symbol string, horizon int, anchor_date date, target_date date, expected_return double, p_positive double, p_recovery double, "
+        "q10 double, q90 double, n int, eligible boolean, reasons array<string>, score double"
+    )
+    day = date(2026, 10, 1)
+    row = lambda s, v: (s, 7, day, day, v, v, v, v, v, 60, True, ["a", "b"], v)
+    sec = securities(spark, [("A", "a", "stock", None, None, None), ("B", "b", "etf", None, None, None), ("C", "c", "stock", None, None, None), ("D", "d", "stock", None, None, None)])
+    estimates = spark.createDataFrame([row("C", None), row("B", None), row("A", 1.0), row("D", 2.0)], schema)
+    ranked = sinks.ranked_export(estimates, sec, 7, "p_positive").orderBy("position").collect()
+    assert [(r["symbol"], r["position"]) for r in ranked] == [("D", 1), ("A", 2), ("B", 3), ("C", 4)] and ranked[0]["reasons"] == "a；b"
+    with pytest.raises(ValueError):
+        sinks.ranked_export(estimates, sec, 8, "score")
+    out = str(tmp_path / "csv")
+    sinks.write_exports(sinks.all_exports(estimates, sec), out, "s1")
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 16 and back.select("snapshot_id", "horizon", "metric").distinct().count() == 4
+    snaps = [f"s{i}" for i in range(5)]
+    manifest = spark.createDataFrame([(s, day, datetime(2026, 10, 1 + i), "x") for i, s in enumerate(snaps)], "snapshot_id string, as_of date, created_at timestamp, signature string")
+    rows = spark.createDataFrame([(s, "A", "stock", 7, 1.5, "long") for s in snaps], "snapshot_id string, symbol string, kind string, horizon int, score double, samples string")
+    path = str(tmp_path / "rows")
+    rows.write.partitionBy("snapshot_id").parquet(path)
+    sinks.compact_history(rows, manifest, path)
+    kept = {r["snapshot_id"]: r["samples"] for r in spark.read.option("mergeSchema", True).parquet(path).collect()}
+    assert kept == {"s0": None, "s1": None, "s2": "long", "s3": "long", "s4": "long"}
+
+
+def test_stored_tables_conform_to_their_schema(spark):
+    from tickloom.schemas import SCHEMAS, conform, schema
+
+    for name in SCHEMAS:
+        assert conform(spark.range(1), name).schema.simpleString() == schema(name).simpleString()
+
+
 def test_capture_in_batches_equals_one_pass(spark, tmp_path):
     import random
 

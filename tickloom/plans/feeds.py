@@ -59,13 +59,14 @@ def a4(m):
 
 
 def day_payloads(m: Market):
-    """One payload per session (a day's market file); even sessions use the table list, odd ones the numbered layout."""
+    """Market files of a session in pages of symbols; even sessions use the table list, odd ones the numbered layout."""
     sign = F.when(F.col("close") >= F.col("open"), "<p style='color:red'>+</p>").otherwise("<p style='color:green'>-</p>")
     cells = F.array(
         F.col("symbol"), F.col("symbol"), F.format_number("volume", 0), text("turnover"), text("open"), text("high"), text("low"), text("close"), sign,
         F.format_number(F.abs(F.col("close") - F.col("open")), 2), F.col("mark"),
     )
-    day = m.bars.groupBy("date", "ord").agg(F.sort_array(F.collect_list(cells)).alias("data"))
+    pages = F.floor(F.regexp_extract("symbol", r"(\d+)$", 1).try_cast("int") / 10)
+    day = m.bars.groupBy("date", "ord", pages.alias("_page")).agg(F.sort_array(F.collect_list(cells)).alias("data"))
     fields = lit_array((*FD.DAY_REQUIRED, "註記"))
     stat, when = F.lit("OK").alias("stat"), F.date_format("date", "yyyyMMdd").alias("date")
     table = F.struct(F.lit("t").alias("title"), fields.alias("fields"), F.col("data"))
@@ -143,11 +144,11 @@ def a7(m):
 
 
 def institution_payloads(m: Market):
-    """One payload per day; missing sides are written as 0 shares."""
+    """Payload pages per day; missing sides are written as 0 shares."""
     f = standins.flows(m.spark, m.sf_dir).na.fill(0.0, ["buy", "sell", "net"])
     money = lambda c: F.format_number(F.col(c), 2)
     cells = [F.col("symbol"), F.col("symbol")] + [money(("buy", "sell", "net")[i % 3]) for i in range(17)]
-    day = f.groupBy("data_date").agg(F.sort_array(F.collect_list(F.array(*cells))).alias("data"))
+    day = f.groupBy("data_date", page_of(F.col("symbol").cast("long"))).agg(F.sort_array(F.collect_list(F.array(*cells))).alias("data"))
     body = F.struct(F.lit("OK").alias("stat"), F.date_format("data_date", "yyyyMMdd").alias("date"), F.lit("單位：股").alias("hints"), lit_array(FL.INSTITUTION_FIELDS).alias("fields"), "data")
     return day.select(F.col("data_date").alias("requested_date"), F.to_json(body).alias("payload"))
 
@@ -165,7 +166,7 @@ def a11(m):
 def margin_payloads(m: Market):
     f = m.events.groupBy(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.max("event_id").alias("k"))
     cells = [F.col("symbol"), F.col("symbol")] + [text(F.col("n") * (i + 1)) for i in range(13)] + [F.concat(F.lit(" note "), text("k"))]
-    day = f.groupBy("d").agg(F.sort_array(F.collect_list(F.array(*cells))).alias("data"))
+    day = f.groupBy("d", page_of(F.col("symbol").cast("long"))).agg(F.sort_array(F.collect_list(F.array(*cells))).alias("data"))
     groups = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(s).alias("span")) for t, s in FD.MARGIN_SPANS])
     table = F.struct(lit_array(FD.MARGIN_FIELDS).alias("fields"), F.col("data"), groups.alias("groups"))
     body = F.to_json(F.struct(F.lit("ok").alias("stat"), F.date_format("d", "yyyyMMdd").alias("date"), F.array(table).alias("tables")))
@@ -182,9 +183,17 @@ def a12(m):
     return rows.select("symbol", text("data_date").alias("data_date"), "financing_previous", "financing_current", "short_previous", "offset", "note")
 
 
-def list_payloads(rows, group, entry):
-    """Rows of a day as one JSON list of objects."""
-    return rows.groupBy(group.alias("_g")).agg(F.collect_list(entry).alias("_l")).select(F.to_json("_l").alias("payload"))
+PAGE_ROWS = 500
+
+
+def page_of(number) -> Column:
+    """Payload pages of at most ``PAGE_ROWS`` consecutive ids, so no payload grows with the table."""
+    return F.floor((F.col(number) if isinstance(number, str) else number) / PAGE_ROWS)
+
+
+def list_payloads(rows, entry):
+    """Pages of events as JSON lists of objects."""
+    return rows.groupBy(page_of("event_id").alias("_g")).agg(F.collect_list(entry).alias("_l")).select(F.to_json("_l").alias("payload"))
 
 
 def revenue_payloads(m: Market):
@@ -194,7 +203,7 @@ def revenue_payloads(m: Market):
         F.lit("營業收入-去年當月營收"), F.when(F.col("event_id") % 4 == 0, "0").otherwise("1,000"), F.lit("營業收入-去年同月增減(%)"), F.when(F.col("event_id") % 5 == 0, "--").otherwise(text("value")),
         F.lit("出表日期"), era(F.to_date("ts")),
     )
-    return list_payloads(e, F.to_date("ts"), entry)
+    return list_payloads(e, entry)
 
 
 @query(
@@ -212,7 +221,7 @@ def announcement_rows(m: Market):
         F.lit("公司代號"), F.lpad(text("user_id"), 4, "0"), F.lit("發言日期"), F.concat((F.year("ts") - 1911).cast("string"), F.date_format("ts", "MMdd")), F.lit("發言時間"), clock,
         F.lit("主旨"), F.concat("event_type", text("event_id")), F.lit("事實發生日"), era(F.to_date("ts")),
     )
-    return FD.trimmed_rows(list_payloads(m.events, F.to_date("ts"), entry)).filter("NOT collides")
+    return FD.trimmed_rows(list_payloads(m.events, entry)).filter("NOT collides")
 
 
 @query(
@@ -229,7 +238,7 @@ def action_rows(m: Market):
     entry = F.create_map(
         F.lit("Date"), F.concat((F.year("ts") - 1911).cast("string"), F.date_format("ts", "MMdd")), F.lit("Code"), F.lpad(text("user_id"), 4, "0"), F.lit("Exdividend "), F.col("event_type"), F.lit("CashDividend"), F.when(F.col("value") > 300, "--").otherwise(text("value"))
     )
-    return FD.trimmed_rows(list_payloads(m.events, F.to_date("ts"), entry)).filter("NOT collides")
+    return FD.trimmed_rows(list_payloads(m.events, entry)).filter("NOT collides")
 
 
 @query("a15_dividend_feed", "select lpad(cast(user_id as varchar), 4, '0') as symbol, cast(cast(ts as date) as varchar) as data_date, event_type as type, case when value <= 300 then value end as cash_dividend from events")
@@ -268,7 +277,7 @@ def a18(m):
 def forum_payloads(m: Market):
     when = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 9 == 0, "").otherwise("Z"))
     entry = F.struct(text("event_id").alias("id"), F.col("event_type").alias("title"), text("user_id").alias("excerpt"), when.alias("createdAt"))
-    return list_payloads(m.events, F.to_date("ts"), entry)
+    return list_payloads(m.events, entry)
 
 
 @query(
@@ -288,19 +297,19 @@ def a20(m):
     now = F.date_trunc("second", m.now)
     link = F.concat(F.lit("https://"), F.when(F.col("event_id") % 3 == 0, "example.com").otherwise("www.threads.net"), F.lit("/p/"), text("event_id"))
     entry = F.struct(text("event_id").alias("id"), F.col("event_type").alias("text"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"), link.alias("permalink"))
-    day = m.events.groupBy(F.to_date("ts")).agg(F.collect_list(entry).alias("data")).select(F.to_json(F.struct("data")).alias("payload"))
+    day = m.events.groupBy(page_of("event_id")).agg(F.collect_list(entry).alias("data")).select(F.to_json(F.struct("data")).alias("payload"))
     return FD.social_posts(day, now - F.expr("interval 7 days"), now).select("id", "text")
 
 
 @query("a21_snapshot_feed", "select cast(user_id as varchar) as symbol, count(*) as quotes, " + rnd("sum(value)", 4, "price") + f", {TS.format('max(ts)')} as updated from events group by 1")
 def a21(m):
-    """One nested payload per hour."""
+    """One nested payload per hour and page."""
     from pyspark.sql.functions import unix_micros
 
     q = F.struct(
         F.lit("EQUITY").alias("type"), text("user_id").alias("symbol"), F.col("value").alias("closePrice"), (unix_micros("ts") - 8 * 3600 * 1_000_000).alias("lastUpdated"), F.lit(False).alias("isTrial")
     )
-    hour = m.events.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.collect_list(q).alias("data"))
+    hour = m.events.groupBy(F.date_trunc("hour", "ts").alias("h"), page_of("event_id")).agg(F.collect_list(q).alias("data"))
     body = F.struct(F.lit("TSE").alias("market"), F.date_format("h", "yyyy-MM-dd").alias("date"), F.date_format("h", "HHmmss").alias("time"), "data")
     rows = FD.snapshot_quotes(hour.select(F.to_json(body).alias("payload")))
     return rows.groupBy("symbol").agg(F.count("*").alias("quotes"), F.round(F.sum("close_price"), 4).alias("price"), stamp(F.max("updated_at")).alias("updated"))
@@ -373,7 +382,7 @@ def f7(m):
 def f9(m):
     name = F.when(F.col("event_id") % 4 == 0, "Date").otherwise("Code ")
     entry = F.create_map(F.lit("Date "), text("ts"), name, text("user_id"))
-    rows = FD.trimmed_rows(list_payloads(m.events, F.to_date("ts"), entry))
+    rows = FD.trimmed_rows(list_payloads(m.events, entry))
     return rows.agg(F.count_if(~F.col("collides")).alias("clean"), F.count_if("collides").alias("collisions"))
 
 

@@ -90,7 +90,13 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Market], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Market(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Wall-clock columns are read and written in one zone, whatever the session started with.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(Market(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.layout import spread
 from tickloom.functions.scalars import valid_bar
 from tickloom.operators.calendar import session_table
+from tickloom.schemas import conform
 from tickloom.session import written
 
 _shared: dict[tuple[str, str, str], DataFrame] = {}
@@ -74,7 +75,7 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
         numbered = grouped.join(F.broadcast(session_table(grouped)), "date")
         suffix = F.regexp_extract("symbol", r"(\d+)$", 1).try_cast("int")
         flagged = (F.col("ord") * 7 + F.coalesce(suffix, F.lit(0))) % 97 == 0
-        return numbered.select(
+        rows = numbered.select(
             "symbol",
             "date",
             "ord",
@@ -86,7 +87,8 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
             "turnover",
             F.when(flagged, F.lit("**")).otherwise(F.lit("")).alias("mark"),
             F.lit("").alias("change"),
-        ).withColumn("valid", valid_bar())
+        )
+        return conform(rows.withColumn("valid", valid_bar()), "bars")
 
     return _once(spark, sf_dir, "bars:" + grain, build)
 
