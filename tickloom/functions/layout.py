@@ -24,13 +24,15 @@ def calendar_days(df: DataFrame, day: str = "date") -> DataFrame:
     return df.select(F.col(day).cast("date").alias("date")).filter(inside).distinct()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance before heavy per-row work when the input has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Rebalance a small scan before heavy per-row work.
 
-    A table in many files is left as it is; a single small file would otherwise keep one core busy.
+    Decided from the planner's size estimate alone: only an input that could not fill every core with one split each is
+    moved, so at most ``cores * split_bytes`` are ever shuffled here; a large table is left as it was read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split_bytes else df
 
 
 def blocked(df: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK_SESSIONS, ord_col: str = "ord") -> DataFrame:

@@ -143,7 +143,8 @@ def mention_udf(entries: list[tuple[str, str]], ambiguous=AMBIGUOUS_NAMES):
         for texts in batches:
             yield texts.map(matcher.identify)
 
-    return identify
+    # Marked non-deterministic so that a filter on the result is not pushed below it as a second evaluation.
+    return identify.asNondeterministic()
 
 
 class ArticleParser(HTMLParser):

@@ -63,7 +63,7 @@ def mentions_by_join(texts: DataFrame, dictionary: DataFrame, key: str, text: st
 
         return pd.Series([one(b, e) for b, e in zip(bodies, entries, strict=True)])
 
-    return texts.join(possible, key, "left").withColumn("symbols", identify(F.col(text), F.col("_entries"))).drop("_entries")
+    return texts.join(possible, key, "left").withColumn("symbols", identify.asNondeterministic()(F.col(text), F.col("_entries"))).drop("_entries")
 
 
 def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str, text: str, limit: int = MAX_SHARED_NAMES) -> DataFrame:

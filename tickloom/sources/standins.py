@@ -35,7 +35,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    columns = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+    li = spread(table(spark, sf_dir, "lineitem").select(*columns))
     week = F.date_trunc("week", "l_shipdate").cast("date")
     if grain == "brand":
         part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
@@ -60,7 +61,7 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
         order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
         price = F.col("l_extendedprice") / F.col("l_quantity")
         per_bar = (
-            spread(trades(spark, sf_dir, grain))
+            trades(spark, sf_dir, grain)
             .groupBy("symbol", "date")
             .agg(
                 F.min(order).alias("_first"),
