@@ -338,7 +338,7 @@ def document_mentions(m: Market):
 
 @query("p1_mention_extraction")
 def p1(m):
-    """Long names with span containment; five-letter names need a finance word. Brute-force checked in the tests."""
+    """Long names with span containment; five-letter names need a finance word. The tests check fixed cases."""
     return document_mentions(m).select("doc_id", F.explode("symbols").alias("symbol"))
 
 
