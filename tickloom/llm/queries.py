@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import licenses, quality, simhash, urls
+from tickloom.llm import chat, containment, licenses, pieces, pseudonyms, quality, simhash, urls
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,43 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), found="kinds")
+    counts = [(F.size("kinds") - F.size(F.array_remove("kinds", kind))).cast("long").alias(f"n_{kind}") for kind in pseudonyms.KINDS]
+    return rows.select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), *counts, "text")
+
+
+@query
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "digest.*")
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    messages = chat.chained(rows.unionByName(tricky))
+    out = chat.formatted(chat.ranked(chat.paths(messages), messages, best=1))
+    turns = chat.turns_of(F.col("formatted"))
+    spoken = F.array_join(F.transform(turns, lambda t: F.concat(chat.read_role(t), F.lit("\n"), chat.read_text(t), F.lit("\n"))), "")
+    learnt = out.withColumn("learnt", chat.read_loss(F.col("formatted"), F.col("loss")))
+    return learnt.select(
+        F.col("tree").alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
