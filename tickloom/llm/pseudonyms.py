@@ -42,6 +42,11 @@ def _lit(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _feistel(a: Column, b: Column, ma: Column, mb: Column, tweak: Column) -> Column:
     """Permutes (a, b), 0 <= a < ma, 0 <= b < mb, one to one; struct of both. ROUNDS is even, so sides end where they began."""
     begin = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -61,11 +66,15 @@ def _power(n: Column) -> Column:
 
 def digits_permuted(digits: Column, tweak: Column) -> Column:
     """A run of 2 to 36 digits as another run of the same length."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
-    v = n - u
-    out = _feistel(F.substring(digits, F.lit(1), u).cast("long"), F.substring(digits, u + 1, v).cast("long"), _power(u), _power(v), F.concat_ws("|", tweak, n.cast("string")))
-    return F.concat(F.lpad(out["a"].cast("string"), u, "0"), F.lpad(out["b"].cast("string"), v, "0"))
+
+    def run(d: Column) -> Column:
+        n = F.length(d)
+        u = F.floor(n / 2).cast("int")
+        v = n - u
+        sides = _feistel(F.substring(d, F.lit(1), u).cast("long"), F.substring(d, u + 1, v).cast("long"), _power(u), _power(v), F.concat_ws("|", tweak, n.cast("string")))
+        return _let(sides, lambda out: F.concat(F.lpad(out["a"].cast("string"), u, "0"), F.lpad(out["b"].cast("string"), v, "0")))
+
+    return _let(digits, run)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -82,18 +91,21 @@ def _luhn_value(d: Column, doubled: Column) -> Column:
 
 
 def _with_check_digit(body: Column) -> Column:
-    return F.concat(body, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    return _let(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
 
 def _refilled(match: Column, digits: Column) -> Column:
     """The match with its digits replaced one by one."""
 
-    def at(k: Column) -> Column:
-        own = F.substring(match, k, F.lit(1))
-        rank = F.length(F.regexp_replace(F.substring(match, F.lit(1), k), r"\D", ""))
-        return F.when(own.rlike(r"\d"), F.substring(digits, rank, F.lit(1))).otherwise(own)
+    def run(new: Column) -> Column:
+        def at(k: Column) -> Column:
+            own = F.substring(match, k, F.lit(1))
+            rank = F.length(F.regexp_replace(F.substring(match, F.lit(1), k), r"\D", ""))
+            return F.when(own.rlike(r"\d"), F.substring(new, rank, F.lit(1))).otherwise(own)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(match)), at), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(match)), at), "")
+    return _let(digits, run)
 
 
 def _digits(match: Column) -> Column:
@@ -119,19 +131,26 @@ def _ssn(m: Column, key: Column) -> Column:
     # Area 1..899 without 666, group 1..99, serial 1..9999, as one number of mixed radix.
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     rank = area - F.when(area > 666, 2).otherwise(1)
-    out = _feistel(rank * 99 + group - 1, serial - 1, _lit(898 * 99), _lit(9999), F.concat_ws("|", key, F.lit("ssn")))
-    place = F.floor(out["a"] / 99)
+    sides = _feistel(rank * 99 + group - 1, serial - 1, _lit(898 * 99), _lit(9999), F.concat_ws("|", key, F.lit("ssn")))
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    new = F.concat_ws("-", pad(place + F.when(place >= 665, 2).otherwise(1), 3), pad(out["a"] % 99 + 1, 2), pad(out["b"] + 1, 4))
-    return F.when(valid, new)
+
+    def written(out: Column) -> Column:
+        place = F.floor(out["a"] / 99)
+        return F.concat_ws("-", pad(place + F.when(place >= 665, 2).otherwise(1), 3), pad(out["a"] % 99 + 1, 2), pad(out["b"] + 1, 4))
+
+    return F.when(valid, _let(sides, written))
 
 
 def _ip(m: Column, key: Column) -> Column:
     valid = m.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.|$)){4}$")
     n = [F.element_at(F.split(m, r"\."), k).cast("long") for k in (1, 2, 3, 4)]
-    out = _feistel(n[0] * 256 + n[1], n[2] * 256 + n[3], _lit(65536), _lit(65536), F.concat_ws("|", key, F.lit("ip")))
-    octets = [F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256]
-    return F.when(valid, F.concat_ws(".", *[o.cast("long").cast("string") for o in octets]))
+    sides = _feistel(n[0] * 256 + n[1], n[2] * 256 + n[3], _lit(65536), _lit(65536), F.concat_ws("|", key, F.lit("ip")))
+
+    def written(out: Column) -> Column:
+        octets = [F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256]
+        return F.concat_ws(".", *[o.cast("long").cast("string") for o in octets])
+
+    return F.when(valid, _let(sides, written))
 
 
 def _date(m: Column, key: Column) -> Column:
@@ -140,25 +159,21 @@ def _date(m: Column, key: Column) -> Column:
     month_first = F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2))
     read = lambda c: F.try_to_date(c, "yyyy-MM-dd")
     iso, dotted = m.rlike("^....-"), m.contains(".")
-    a, b = read(day_first), read(month_first)
-    day = F.when(iso, read(m)).when(dotted, a).otherwise(F.coalesce(a, b))
-    start = (F.floor((F.year(day) - 20) / 100) * 100 + 20).cast("int")
-    valid = day.isNotNull() & F.year(day).between(1020, 9919)
-    safe = F.when(valid, start).otherwise(F.lit(1920))
-    first, end = F.make_date(safe, F.lit(1), F.lit(1)), F.make_date(safe + 100, F.lit(1), F.lit(1))
-    leap = F.datediff(end, first) == 36525
-    ma = F.when(leap, _lit(75)).otherwise(_lit(92))
-    mb = F.when(leap, _lit(487)).otherwise(_lit(397))
-    at = F.datediff(day, first).cast("long")
-    out = _feistel(F.floor(at / mb), at % mb, ma, mb, F.concat_ws("|", key, F.lit("date"), safe.cast("string")))
-    new = F.date_add(first, (out["a"] * mb + out["b"]).cast("int"))
-    text = (
-        F.when(iso, F.date_format(new, "yyyy-MM-dd"))
-        .when(dotted, F.date_format(new, "dd.MM.yyyy"))
-        .when(a.isNotNull(), F.date_format(new, "dd/MM/yyyy"))
-        .otherwise(F.date_format(new, "MM/dd/yyyy"))
-    )
-    return F.when(valid, text)
+    parsed = F.struct(read(m).alias("iso"), read(day_first).alias("a"), read(month_first).alias("b"))
+
+    def run(p: Column) -> Column:
+        day = F.when(iso, p["iso"]).when(dotted, p["a"]).otherwise(F.coalesce(p["a"], p["b"]))
+        start = (F.floor((F.year(day) - 20) / 100) * 100 + 20).cast("int")
+        first, end = F.make_date(start, F.lit(1), F.lit(1)), F.make_date(start + 100, F.lit(1), F.lit(1))
+        leap = F.datediff(end, first) == 36525
+        ma, mb = F.when(leap, _lit(75)).otherwise(_lit(92)), F.when(leap, _lit(487)).otherwise(_lit(397))
+        at = F.datediff(day, first).cast("long")
+        sides = _feistel(F.floor(at / mb), at % mb, ma, mb, F.concat_ws("|", key, F.lit("date"), start.cast("string")))
+        new = F.date_add(first, _let(sides, lambda out: out["a"] * mb + out["b"]).cast("int"))
+        form = F.when(iso, "yyyy-MM-dd").when(dotted, "dd.MM.yyyy").when(p["a"].isNotNull(), "dd/MM/yyyy").otherwise("MM/dd/yyyy")
+        return F.when(F.year(day).between(1020, 9919), _let(new, lambda d: F.call_function("date_format", d, form)))
+
+    return _let(parsed, run)
 
 
 def _email(m: Column, key: Column) -> Column:
