@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, containment, licenses, pieces, pseudonyms, quality, simhash, urls
+from tickloom.llm import chat, containment, licenses, pieces, pseudonyms, quality, simhash, suffixes, urls, wrappers
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wrappers.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
