@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import quality, simhash
+from tickloom.llm import containment, pieces, pseudonyms, quality, simhash
 from tickloom.llm.common import parked, table
 
 
@@ -15,13 +15,42 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the one with the smallest id."""
-    groups = simhash.near_groups(docs.select("doc_id", "text"))
+    """Keeps one document, that with the smallest id, of each group that is alike by 0.8 or more on five-word shingles.
+
+    A document without an id stays, as nothing else could stand for it.
+    """
+    groups = simhash.alike_groups(docs.select("doc_id", "text"))
     first = groups.filter(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold 0.8 or more of a benchmark item's five-word shingles."""
+    leaks = containment.contained(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts pseudonyms in the texts; `n_chars` follows."""
+    return pseudonyms.pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text's pieces, and whether decoding them gives the text."""
+    rows = pieces.decoded(pieces.encoded(docs.select("doc_id", "lang", "source", "text")))
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces", exact.alias("exact"))
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("pii", pii),
+    ("sentencepiece", sentencepiece),
+]
+# XXH64 fingerprints and the pieces' vocabulary have no SQL.
 ORACLE_SQL = None
 
 

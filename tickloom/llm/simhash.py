@@ -39,25 +39,42 @@ SEED = 42
 SAMPLE = 4096
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def prints_of(text: str | None, words: int = 4, count: int = 1) -> list[int]:
+    """Fingerprints of a text: the first from the shingles' hashes, others from the same hashes mixed anew."""
     runs = shingles(lower_words(text), words)
     if not runs:
-        return 0
-    total = np.zeros(64, dtype=np.int64)
+        return [0] * count
+    total = np.zeros((count, 64), dtype=np.int64)
     for at in range(0, len(runs), 65536):  # a long text is counted piece by piece
-        part = [xxhash.xxh64_intdigest(r, SEED) for r in runs[at : at + 65536]]
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(runs), bitorder="little").view("<u8")[0])
+        h = np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs[at : at + 65536]], dtype="<u8")
+        for k in range(count):
+            own = h if k == 0 else _mixed(h, k)
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(runs), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-def fingerprints(df: DataFrame, text: str = "text", words: int = 4, out: str = "fp") -> DataFrame:
-    """The rows of `df` with their fingerprint as a signed long."""
 
-    def each(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+def fingerprint(text: str | None, words: int = 4) -> int:
+    return prints_of(text, words)[0]
+
 
-    return df.withColumn(out, F.pandas_udf(each, "long")(F.col(text).cast("string")))
+def fingerprints(df: DataFrame, text: str = "text", words: int = 4, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """The rows of `df` with a fingerprint, a signed long, for each of `names`."""
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([prints_of(t, words, len(names)) for t in texts], dtype=np.uint64).reshape(-1, len(names))
+        return pd.DataFrame(rows.view(np.int64), columns=list(names))
+
+    schema = ", ".join(f"{n} long" for n in names)
+    got = df.withColumn("_prints", F.pandas_udf(each, schema)(F.col(text).cast("string")))
+    return got.withColumns({n: F.col("_prints")[n] for n in names}).drop("_prints")
 
 
 @dataclass(frozen=True)
@@ -183,16 +200,31 @@ class Forest:
 
 
 def run_links(filed: np.ndarray, probing: np.ndarray, within: int) -> list[tuple[int, int]]:
-    """A forest of the links between filed fingerprints and all of a run (filed ones first)."""
+    """A forest of the links between filed fingerprints and all of a run (filed ones first), nearest links first."""
     every = np.concatenate([filed, probing])
     forest, out = Forest(len(every)), []
     step = max(1, 1_000_000 // max(1, len(every)))
+    found = []
     for at in range(0, len(filed), step):
         apart = np.bitwise_count(filed[at : at + step, None] ^ every[None, :])
         i, j = np.nonzero(apart <= within)
-        i += at
-        keep = i < j
-        for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+        keep = i + at < j
+        found.append((i[keep] + at, j[keep], apart[i[keep], j[keep]]))
+        if sum(len(x[0]) for x in found) > 4_000_000:  # what is joined already needs no more links
+            out += _joined(forest, every, found, within)
+            found = []
+    return out + _joined(forest, every, found, within)
+
+
+def _joined(forest: Forest, every: np.ndarray, found: list[tuple], within: int) -> list[tuple[int, int]]:
+    i, j, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=int),) * 3
+    out = []
+    for d in range(within + 1):
+        level = np.flatnonzero(apart == d)
+        if len(level) > 64:
+            root = np.array([forest.root(x) for x in range(len(every))])
+            level = level[root[i[level]] != root[j[level]]]
+        for x, y in zip(i[level].tolist(), j[level].tolist()):
             if forest.join(x, y):
                 out.append((int(every[x]), int(every[y])))
     return out
@@ -271,3 +303,47 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def _similarity(words: int):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            own, other = set(shingles(lower_words(x), words)), set(shingles(lower_words(y), words))
+            out.append(len(own & other) / max(1, len(own | other)) if own or other else 1.0)
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, within: int = 7, prints: int = 3, least: float = 0.8) -> DataFrame:
+    """`key` and `component` for every row of `df`, over links of texts whose shingles are alike (Jaccard) by `least` or more.
+
+    Candidates come from `prints` independent fingerprints, each searched to `within` bits; the nearest candidates that connect all others are
+    verified on the texts. Texts with the same first fingerprint count as copies.
+    """
+    names = tuple(f"fp{k}" for k in range(prints))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    all_prints = parked(fingerprints(rows, "text", words, names).select("key", *names), "prints")
+    firsts = parked(all_prints.groupBy("fp0").agg(*[F.min(c).alias(c) for c in ("key", *names[1:])]), "first-prints")
+    pairs = None
+    for name in names:
+        held = firsts.groupBy(F.col(name).alias("fp")).agg(F.min("fp0").alias("node"))
+        near = parked(links(held.select("fp"), within), "near")
+        left, right = held.select(F.col("fp").alias("a"), F.col("node").alias("x")), held.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+        own = near.join(left, "a").join(right, "b").select("x", "y")
+        if name != "fp0":
+            same = firsts.select(F.col(name).alias("fp"), F.col("fp0").alias("y")).join(held, "fp").select(F.col("node").alias("x"), "y").filter("x != y")
+            own = own.unionByName(same)
+        pairs = own if pairs is None else pairs.unionByName(own)
+    pairs = parked(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    keys = firsts.join(nodes, firsts.fp0 == nodes.node).select("node", "key")
+    texts = parked(rows.join(keys, "key").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("t")), "y")
+    alike = both.filter(F.pandas_udf(_similarity(words), "double")("s", "t") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(alike)
+    rooted = firsts.select("fp0", F.col("key").alias("first")).join(roots, F.col("fp0") == F.col("node"), "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    named = rooted.join(lowest, "root").select("fp0", "component")
+    return all_prints.join(named, "fp0").select(F.col("key").alias(key), "component")
