@@ -112,7 +112,7 @@ def _searcher(classes: list[int], filled):
             rows, hits = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 minima = block_minima(hashes(text))
-                if not len(minima):
+                if not len(minima) or not classes:
                     continue
                 passed, cls = [], 0
                 for wanted in classes:

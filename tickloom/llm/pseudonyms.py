@@ -35,7 +35,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every pattern needs one of these, which few texts hold.
-HINT = "@|[0-9]"
+HINT = "@|[0-9]|[a-f]{32}|[A-F]{32}"
 
 
 def _lit(x: int) -> Column:
@@ -211,18 +211,17 @@ def pseudonymised(df: DataFrame, key: str = KEY, text: str = "text", found: str
             new = F.when(m.rlike(FORMS[name]), KINDS[name](m, secret)).otherwise(new)
         return F.struct(m.alias("old"), new.alias("new"), kind.alias("kind"))
 
-    # Each step is a projection of its own, so that no expression is worked out twice.
-    rows = df.withColumn("_matches", any_match)
+    # Each step is a projection of its own, so that no expression is worked out twice; the input's columns stay in a struct.
+    rows = df.select(F.struct(*df.columns).alias("_row"), own.alias("_text"), any_match.alias("_matches"))
     rows = rows.withColumn("_new", F.when(F.size("_matches") > 0, F.transform("_matches", replaced)))
-    gaps = F.when(F.col("_new").isNotNull(), F.split(own, ANY, -1))
-    rows = rows.withColumn("_gaps", gaps)
+    rows = rows.withColumn("_gaps", F.when(F.col("_new").isNotNull(), F.split("_text", ANY, -1)))
     joined = F.array_join(
         F.transform("_new", lambda x, k: F.concat(F.col("_gaps")[k], F.coalesce(x["new"], x["old"]))), ""
     )
     whole = F.concat(joined, F.element_at("_gaps", -1))
     kinds = F.transform(F.filter(F.col("_new"), lambda x: x["new"].isNotNull()), lambda x: x["kind"])
-    rows = rows.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
-    rows = rows.withColumn(text, F.when(F.col("_new").isNotNull(), whole).otherwise(own))
+    got = {text: F.when(F.col("_new").isNotNull(), whole).otherwise(F.col("_text"))}
     if found:
-        rows = rows.withColumn(found, F.col("_kinds"))
-    return rows.select(*df.columns, *([found] if found else []))
+        got[found] = F.coalesce(kinds, F.array().cast("array<string>"))
+    kept = [F.col("_row")[c].alias(c) if c not in got else got.pop(c).alias(c) for c in df.columns]
+    return rows.select(*kept, *[v.alias(c) for c, v in got.items()])

@@ -84,7 +84,8 @@ def judged(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str,
     blocks = min(MAX_BLOCKS, max(1, -(-exact.count() // URLS_PER_BLOCK)))
     filled = bloom(exact, "_listed", blocks)
     u = F.col(url).cast("string")
-    rows = pages.withColumn("_url", F.struct(host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("canonical")))
+    parts = F.struct(host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("canonical"))
+    rows = pages.select(F.struct(*pages.columns).alias("_row"), parts.alias("_url"))  # no name of the input can clash
     rows = rows.withColumn("_block", _block(F.col("_url.canonical"), blocks))
     words = F.broadcast(filled.select(F.col("block").alias("_b"), F.struct(*[f"w{w}" for w in range(8)]).alias("_w")))
     rows = rows.join(words, F.col("_block") == F.col("_b"), "left")
@@ -105,4 +106,4 @@ def judged(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str,
         F.col("_url.canonical").alias("canonical"),
         is_listed.alias("listed"),
     )
-    return probed.withColumn("filter", result).select(*pages.columns, "filter")
+    return probed.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != "filter"], result.alias("filter"))

@@ -393,6 +393,7 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", out: str =
             texts.append(main_text(p, read.get(w)))
         return pd.Series(texts, dtype=object)
 
-    rows = pages.withColumn("_of", host_of(F.col(url).cast("string")))
+    rows = pages.select(F.struct(*pages.columns).alias("_row"), host_of(F.col(url).cast("string")).alias("_of"))
     both = rows.join(wrappers, F.col("_of") == F.col("_host"), "left")
-    return both.withColumn(out, F.pandas_udf(run, "string")(F.col(page).cast("string"), "_wrapper")).select(*[c for c in pages.columns if c != out], out)
+    text = F.pandas_udf(run, "string")(F.col("_row")[page].cast("string"), "_wrapper")
+    return both.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != out], text.alias(out))
