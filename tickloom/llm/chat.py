@@ -54,12 +54,12 @@ def paths(messages: DataFrame) -> DataFrame:
     parents = links.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = links.join(parents, links.tree.eqNullSafe(F.col("t")) & (links.message == F.col("p")), "left_anti")
     reach = leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).alias("up"))
-    jump, step = links, 1
-    while not jump.filter("parent IS NOT NULL").isEmpty():
-        over = jump.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("parent").alias("to"))
+    jump, step = links.filter("parent IS NOT NULL"), 1  # messages with an ancestor so many steps up; fewer each round
+    while not jump.isEmpty():
+        over = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("parent").alias("to"))
         more = reach.join(over, reach.tree.eqNullSafe(over.t) & (reach.message == over.m)).select("tree", "leaf", F.col("to").alias("message"), (F.col("up") + step).alias("up"))
         reach = parked(reach.unionByName(more), "reply-paths")
-        onward = jump.alias("a").join(over.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.t")) & (F.col("a.parent") == F.col("b.m")), "left")
+        onward = jump.alias("a").join(over.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.t")) & (F.col("a.parent") == F.col("b.m")))
         jump = parked(onward.select("a.tree", "a.message", F.col("b.to").alias("parent")), "reply-jumps")
         step *= 2
         if step > 1 << 40:
