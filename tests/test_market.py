@@ -271,6 +271,33 @@ def test_split_rank_and_median_with_a_hot_group(spark):
         assert m == pytest.approx(statistics.median(r[2] for r in rows if r[0] == g))
 
 
+def test_split_rank_of_one_constant_value_fills_no_task(spark):
+    from tickloom.functions import layout
+
+    rows = spark.range(4000).select(F.lit("g").alias("g"), F.format_string("s%05d", "id").alias("s"), F.lit(1.0).alias("v"))
+    kept = {}
+    real = layout.written
+    layout.written = lambda df, name: kept.setdefault("rows", real(df, name))
+    try:
+        got = split_rank(rows, ["g"], "v", ["s"]).orderBy("s").collect()
+    finally:
+        layout.written = real
+    assert [r["position"] for r in got] == list(range(1, 4001))
+    sizes = [r["count"] for r in kept["rows"].groupBy("_slice").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3000
+    nulls = spark.createDataFrame([("g", "a", None), ("g", "b", 2.0), (None, "c", 1.0)], "g string, s string, v double")
+    assert {r["s"]: r["position"] for r in split_rank(nulls, ["g"], "v", ["s"]).collect()} == {"a": 2, "b": 1, "c": 1}
+
+
+def test_calendar_keeps_far_days_and_refuses_what_it_cannot_hold(spark):
+    from tickloom.operators.calendar import session_table
+
+    days = spark.createDataFrame([("1899-12-29",), ("2201-01-02",), (None,)], "date string")
+    assert [str(r["date"]) for r in session_table(days).orderBy("ord").collect()] == ["1899-12-29", "2201-01-02"]
+    with pytest.raises(Exception, match="no supported session"):
+        session_table(spark.sql("select date_add(date'9999-12-31', 1) as date")).collect()
+
+
 def test_midpoint_percentile_ties_and_single_row(spark):
     df = spark.createDataFrame([(1, "a", 5.0), (1, "b", 5.0), (1, "c", 7.0), (2, "d", 3.0)], "d int, s string, v double")
     got = {r["s"]: r["p"] for r in E.midpoint_percentile(df, ["d"], "v", "p").collect()}

@@ -7,7 +7,7 @@ import pytest
 from build import bar, days, frame, securities
 from pyspark.sql import functions as F
 
-from tickloom.functions.text import MentionMatcher
+from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, article_parts
 from tickloom.operators import flows as FL
 from tickloom.operators import mentions as M
 from tickloom.operators import pit as T
@@ -145,41 +145,54 @@ def test_list_feeds(spark):
     assert [r["problem"] for r in FD.contract_violations(twice).collect()] == ["duplicate"]
 
 
-STOCKS = [("2330", "台積電"), ("2317", "鴻海"), ("1101", "台泥")]
-MORE = STOCKS + [("3167", "大量"), ("9907", "統一實"), ("1216", "統一"), ("2498", "宏達電"), ("2497", "怡利電")]
-WORDS = [("9921", "巨大"), ("9937", "全國"), ("8201", "無敵"), ("8112", "至上")]
+CHIPS = [("7710", "晶河電"), ("7720", "遠山塑"), ("7730", "青石")]
+CLOSE = CHIPS + [("7740", "光明"), ("7750", "光明海運"), ("7760", "東方")]
 CASES = [
-    ("臺積電與鴻海展望", STOCKS, ["2317", "2330"]),
-    ("23301 元，花費2330元", STOCKS, []),
-    ("股票2330及2317，2330", STOCKS, ["2317", "2330"]),
-    ("2026/11/01", STOCKS, []),
-    ("股票市值 2330.50 元，部位2317張", STOCKS, []),
-    ("大量股價漲停，3167", MORE, ["3167"]),
-    ("[標的] 大量，營收成長", MORE, ["3167"]),
-    ("標的 ： 大量", MORE, ["3167"]),
-    ("統一營收及台積電展望", MORE, ["1216", "2330"]),
-    ("統一實營收成長", MORE, ["9907"]),
-    ("股票3167", MORE, ["3167"]),
-    ("台股採用全新材料，大量資源排擠", MORE, []),
-    ("台股出現巨大波動，全國投資人都在關注，股票策略無敵，風險管理至上", WORDS, []),
-    ("巨大營收下滑，全國股價穩定", WORDS, ["9921", "9937"]),
+    ("晶河電和遠山塑今天都上漲", CHIPS, ["7710", "7720"]),  # long names need no context
+    ("臺灣的青石很美", CHIPS, []),  # a two-character name without context
+    ("法人連日買超青石", CHIPS, ["7730"]),
+    ("排隊77105人，共7710元", CHIPS, []),  # digits around a code, or a unit after it
+    ("持股：7710、7720", CHIPS, ["7710", "7720"]),
+    ("ETF 配息 7710.5，7720張", CHIPS, []),
+    ("見 /7710 與 $7720，股票", CHIPS, []),
+    ("光明股價創高", CLOSE, ["7740"]),  # an everyday word with a word of finance after it
+    ("[標的] 東方", CLOSE, ["7760"]),
+    ("標的  ： 光明", CLOSE, ["7740"]),
+    ("我看到一線光明，法人也往東方去", CLOSE, []),
+    ("光明海運營收大增", CLOSE, ["7750"]),  # the longer name hides the one inside it
+    ("法人說光明在前，7740 可買", CLOSE, ["7740"]),
+    ("ＥＴＦ與７７３０", CHIPS, ["7730"]),  # full-width forms
+    ("", CHIPS, []),
 ]
 
 
+def entries(stocks):
+    return [(s, n, n in AMBIGUOUS_NAMES) for s, n in stocks]
+
+
 @pytest.mark.parametrize("text, stocks, want", CASES)
 def test_mentions(text, stocks, want):
-    assert MentionMatcher(stocks).identify(text) == want
+    assert MentionMatcher(entries(stocks)).identify(text) == want
     filler = [(f"9{i:04d}Z", f"公司{i:04d}") for i in range(300)]
-    assert MentionMatcher(stocks + filler).identify(text) == want
+    assert MentionMatcher(entries(stocks + filler)).identify(text) == want
+
 
+def test_mentions_of_a_table_equal_one_matcher(spark):
+    texts = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)] + [(99, None)], "id int, text string")
+    filler = [(f"9{i:04d}Z", f"公司{i:04d}") for i in range(2000)]
+    names = spark.createDataFrame(CLOSE + filler, "symbol string, name string")
+    one = MentionMatcher(entries(CLOSE))
+    got = {r["id"]: list(r["symbols"]) for r in M.mentions(texts, names, "id", "text").collect()}
+    assert got == {**{i: one.identify(c[0]) for i, c in enumerate(CASES)}, 99: []}
+    hits = sorted((r["id"], r["name"]) for r in M.dictionary_hits(texts, names, "id", "text").collect())
+    assert hits == sorted((i, n) for i, c in enumerate(CASES) for _, n in CLOSE if n in c[0])
 
-def test_mention_join_equals_shared_dictionary(spark):
-    texts = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "id int, text string")
-    names = spark.createDataFrame(sorted(set(MORE + WORDS)), "symbol string, name string")
-    rows = lambda limit: {r["id"]: list(r["symbols"]) for r in M.mentions(texts, names, "id", "text", limit=limit).collect()}
-    assert rows(1000) == rows(1)
-    hits = lambda limit: sorted((r["id"], r["name"]) for r in M.dictionary_hits(texts, names, "id", "text", limit).collect())
-    assert hits(1000) == hits(1)
+
+def test_board_page_regions():
+    page = "<p>a<div ID='main-content'>b &amp; <div>c<br></div><span class=\"push x\">no<span>no</span></span>d<!-- <b> --><style>e</style></div>f"
+    assert article_parts(page) == ([], "b & cd")
+    assert article_parts("<div id=main-content><script>if (a<b) '</div>'</script>x<span class=article-meta-value> t </span>") == (["t"], "x")
+    assert article_parts(None) == ([], "") and article_parts("<div id=main-content>cut <spa") == ([], "cut <spa")
 
 
 def test_trailing_windows_and_unavailable_sources(spark):
@@ -296,6 +309,24 @@ def test_capture_in_batches_equals_one_pass(spark, tmp_path):
     assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+def test_sessions_that_land_in_parts_keep_all_rows(spark, tmp_path):
+    schema = "symbol string, date date, close double"
+    d = days(date(2026, 1, 1), 12)
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+        jobs.incremental_bars(stream, out, check).awaitTermination()
+
+    land([("A", x, 1.0) for x in d])
+    land([("B", x, 2.0) for x in d] + [("A", d[0], 9.0), ("A", d[11], 9.0)])
+    land([("C", d[0], 3.0), ("C", d[0], 3.5)])
+    got = {(r["symbol"], r["date"]): r["close"] for r in spark.read.schema(schema).parquet(out).collect()}
+    want = {("A", x): 1.0 for x in d} | {("B", x): 2.0 for x in d} | {("A", d[11]): 9.0, ("C", d[0]): 3.5}
+    assert got == want
+
+
 def test_only_recent_sessions_are_rewritten(spark, tmp_path):
     d = days(date(2026, 1, 1), 12)
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))

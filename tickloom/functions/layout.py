@@ -2,37 +2,30 @@
 
 Bars are unique on (symbol, date), so a window over one symbol is bounded by the calendar; it is still cut into blocks
 of sessions so that a market with few long series spreads over all executors. Rankings over a whole market have no such
-bound and are cut by value range instead.
+bound and are cut into sorted slices of rows instead.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import written
+
 BLOCK_SESSIONS = 256
-CALENDAR_FROM, CALENDAR_TO = "1900-01-01", "2199-12-31"
-# One row per day between the two dates above: a calendar can always be broadcast.
-MAX_CALENDAR_DAYS = 109_573
+# A calendar holds a row per day of these years at most (3,652,059 rows of 12 bytes), so it can always be broadcast.
+CALENDAR_FROM, CALENDAR_TO = "0001-01-01", "9999-12-31"
 
 
 def calendar_days(df: DataFrame, day: str = "date") -> DataFrame:
-    """Distinct days inside the supported range, hence at most ``MAX_CALENDAR_DAYS`` rows."""
-    inside = F.col("date").between(F.lit(CALENDAR_FROM).cast("date"), F.lit(CALENDAR_TO).cast("date"))
-    return df.select(F.col(day).cast("date").alias("date")).filter(inside).distinct()
-
-
-def spread(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """Rebalance a small scan before heavy per-row work.
-
-    Decided from the planner's size estimate alone: only an input that could not fill every core with one split each is
-    moved, so at most ``cores * split_bytes`` are ever shuffled here; a large table is left as it was read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split_bytes else df
+    """Distinct days; null is no day, and a day outside the supported years fails the job instead of vanishing."""
+    own = F.col(day).cast("date")
+    inside = own.between(F.lit(CALENDAR_FROM).cast("date"), F.lit(CALENDAR_TO).cast("date"))
+    checked = F.when(inside, own).otherwise(F.raise_error(F.concat(F.lit("no supported session: "), own.cast("string"))).cast("date"))
+    return df.filter(own.isNotNull()).select(checked.alias("date")).distinct()
 
 
 def blocked(df: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK_SESSIONS, ord_col: str = "ord") -> DataFrame:
@@ -79,7 +72,7 @@ def dimension_join(
 
 
 def magnitude_bucket(value: Column, per_octave: int = 16) -> Column:
-    """A monotone integer bucket of a number of any scale, narrow enough to split a market into many tasks."""
+    """A monotone integer bucket of a number of any scale, narrow enough to split distinct values into many tasks."""
     size = F.floor(F.log2(F.abs(value)) * per_octave) + 1100 * per_octave
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
@@ -92,29 +85,32 @@ def split_rank(
     descending: bool = True,
     out: str = "position",
 ) -> DataFrame:
-    """1-based position of each row in its group by value, then ties; values must not be NULL.
+    """1-based position of each row in its group by value (NULL last), then ties.
 
-    Rows are shuffled by (group, value range). The rows ahead of a range are counted from a partially aggregated
-    histogram whose size is bounded by the bucket function, so no task ever sorts a whole group.
+    Rows are sorted over all tasks by group, value and ties together, so equal values of one group part by their ties.
+    The sorted slices are written once; a slice numbers its own rows, and the rows of a group ahead of a slice are summed
+    from one count for each (group, slice). No task holds a whole group unless it fits one slice.
     """
-    keyed = df.withColumn("_bucket", magnitude_bucket(F.col(value).cast("double")))
-    order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    histogram = keyed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    offsets = histogram.select(
-        *groups,
-        "_bucket",
+    by_value = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    order = [*groups, by_value, *ties]
+    slices = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    sliced = df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
+    rows = written(sliced, f"ranked-{uuid.uuid4().hex}")
+    counts = rows.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(g).alias(f"_group{k}") for k, g in enumerate(groups)],
+        F.col("_slice").alias("_of"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"),
-        F.sum("_n").over(whole).alias("_total"),
+        F.sum("_n").over(Window.partitionBy(*groups)).alias("_total"),
     )
-    by_value = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(by_value, *ties)
-    return (
-        keyed.join(offsets, [*groups, "_bucket"])
-        .withColumn(out, (F.col("_ahead") + F.row_number().over(inside)).cast("long"))
-        .withColumn(out + "_of", F.col("_total"))
-        .drop("_bucket", "_ahead", "_total")
+    inside = Window.partitionBy(*groups, "_slice").orderBy(by_value, *ties)
+    placed = rows.withColumn("_place", F.row_number().over(inside))
+    same = [F.col(g).eqNullSafe(F.col(f"_group{k}")) for k, g in enumerate(groups)] + [F.col("_slice") == F.col("_of")]
+    return placed.join(offsets, same).select(
+        *[c for c in df.columns if c not in (out, out + "_of")],
+        (F.col("_ahead") + F.col("_place")).cast("long").alias(out),
+        F.col("_total").alias(out + "_of"),
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import html
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -23,9 +23,7 @@ AMBIGUOUS_NAMES = (
 # Fixed patterns: words that set a finance context, words that follow a company name, marks that precede one.
 CONTEXT_WORDS = r"股票|股價|台股|持股|營收|買超|賣超|法人|ETF|標的"
 FOLLOWING_WORDS = r"\s*(?:股價|營收|法說會|漲停|跌停|目標價|本益比|董事長|總經理|除息)"
-PRECEDING_TAG = "[標的]"
-PRECEDING_WORD = "標的"
-PRECEDING_COLONS = (":", "：")
+SUBJECT_MARK = r"(?:\[標的\]|標的\s*[:：])\s*$"
 CODE_LEFT = r"(?<![\dA-Za-z/.$])"
 CODE_RIGHT = r"(?![\dA-Za-z/]|\.\d|\s*(?:元|塊|圓|美元|%|張|年|月|日))"
 
@@ -49,47 +47,31 @@ def search_normal(column):
     return F.trim(F.lower(folded(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))))
 
 
-class Occurrences:
-    """Which of many short strings occur in a text: substring tests, narrowed by two-character grams for large sets."""
-
-    FEW = 200
-
-    def __init__(self, values):
-        self.values = sorted({v for v in values if v})
-        self.by_gram: dict[str, list[str]] = {}
-        for v in self.values:
-            self.by_gram.setdefault(v[:2], []).append(v)
-
-    def present(self, text: str) -> list[str]:
-        if len(self.values) <= self.FEW:
-            possible = self.values
-        else:
-            grams = {text[i : i + 2] for i in range(len(text))} | set(text)
-            possible = [v for g in grams & self.by_gram.keys() for v in self.by_gram[g]]
-        return [v for v in possible if v in text]
+_CONTEXT, _FOLLOWING, _SUBJECT = re.compile(CONTEXT_WORDS, re.I), re.compile(FOLLOWING_WORDS), re.compile(SUBJECT_MARK)
+_CODE_LEFT, _CODE_RIGHT = re.compile(CODE_LEFT), re.compile(CODE_RIGHT)
 
 
 class MentionMatcher:
-    """Which securities one text names."""
+    """Which securities one text names, of those whose name or code it holds: (symbol, name, ambiguous) entries."""
 
-    def __init__(self, entries: list[tuple[str, str]], ambiguous=AMBIGUOUS_NAMES):
+    def __init__(self, entries):
         self.symbols_of: dict[str, list[str]] = {}
-        for symbol, name in entries:
+        self.ambiguous: set[str] = set()
+        self.codes, self.long_names = set(), set()
+        for symbol, name, ambiguous in entries:
+            self.codes.add(symbol)
+            if name and len(name) > 2:
+                # Long names set a finance context in their own spelling, which may differ from the folded one.
+                self.long_names.add(name.replace("臺", "台"))
             if fold(name):
                 self.symbols_of.setdefault(fold(name), []).append(symbol)
-        self.ambiguous = frozenset(ambiguous)
-        self.context = re.compile(CONTEXT_WORDS, re.I)
-        self.following = re.compile(FOLLOWING_WORDS)
-        self.code_left, self.code_right = re.compile(CODE_LEFT), re.compile(CODE_RIGHT)
-        self.names = Occurrences(self.symbols_of)
-        self.codes = Occurrences(symbol for symbol, _ in entries)
-        # Long names set a finance context in their own spelling, which may differ from the folded one.
-        self.long_names = Occurrences(n.replace("臺", "台") for _, n in entries if n and len(n) > 2)
+                if ambiguous:
+                    self.ambiguous.add(fold(name))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Name occurrences that lie in no longer occurrence."""
         found = []
-        for name in self.names.present(text):
+        for name in self.symbols_of:
             at = text.find(name)
             while at >= 0:
                 found.append((at, at + len(name), name))
@@ -107,83 +89,88 @@ class MentionMatcher:
     def is_marked(head: str) -> bool:
         """The text before a name ends with the subject mark."""
         head = head.rstrip()
-        return head.endswith(PRECEDING_TAG) or (head.endswith(PRECEDING_COLONS) and head[:-1].rstrip().endswith(PRECEDING_WORD))
+        return head.endswith(("]", ":", "：")) and bool(_SUBJECT.search(head, max(0, head.rfind("標的") - 1)))
 
     def is_code(self, symbol: str, text: str) -> bool:
         """The symbol stands alone somewhere: no number, unit, price or date around it."""
         at = text.find(symbol)
         while at >= 0:
-            if self.code_left.match(text, at) and self.code_right.match(text, at + len(symbol)):
+            if _CODE_LEFT.match(text, at) and _CODE_RIGHT.match(text, at + len(symbol)):
                 return True
             at = text.find(symbol, at + 1)
         return False
 
     def identify(self, raw: str | None) -> list[str]:
         text = fold(raw)
-        context = bool(self.context.search(text)) or bool(self.long_names.present(text))
+        context = bool(_CONTEXT.search(text)) or any(n in text for n in self.long_names)
         hits: set[str] = set()
         for start, end, name in self.spans(text):
             if name in self.ambiguous:
-                named = self.following.match(text, end) or self.is_marked(text[:start])
+                named = _FOLLOWING.match(text, end) or self.is_marked(text[:start])
             else:
                 named = len(name) > 2 or context
             if named:
                 hits.update(self.symbols_of[name])
         if context:
-            hits.update(s for s in self.codes.present(text) if s not in hits and self.is_code(s, text))
+            hits.update(s for s in self.codes if s and s not in hits and self.is_code(s, text))
         return sorted(hits)
 
 
-def mention_udf(entries: list[tuple[str, str]], ambiguous=AMBIGUOUS_NAMES):
-    """Arrow UDF text -> sorted symbols; the matcher is built once per Python worker batch stream."""
-
-    @F.pandas_udf("array<string>")
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = MentionMatcher(entries, ambiguous)
-        for texts in batches:
-            yield texts.map(matcher.identify)
+_MARKUP = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_CLASS_OR_ID = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Classes and elements of a board page that are no article text, and the class of its header values.
+META_CLASS = "article-meta-value"
+NO_TEXT_CLASSES = frozenset(("push", META_CLASS, "article-metaline", "article-metaline-right"))
+NO_TEXT_TAGS = frozenset(("script", "style"))
 
-    # Marked non-deterministic so that a filter on the result is not pushed below it as a second evaluation.
-    return identify.asNondeterministic()
 
+class Region:
+    """An element of a page by counting: from its start tag until as many of its name have ended as began."""
 
-class ArticleParser(HTMLParser):
-    """Collects meta values and the main text of a board article."""
+    def __init__(self):
+        self.name, self.depth = "", 0
 
-    SKIP_CLASSES = ("push", "article-meta-value", "article-metaline", "article-metaline-right")
-    SKIP_TAGS = ("script", "style")
+    def started(self, name: str, begins: bool) -> None:
+        if self.depth:
+            self.depth += name == self.name
+        elif begins:
+            self.name, self.depth = name, 1
 
-    def __init__(self, main_id: str = "main-content"):
-        super().__init__(convert_charrefs=True)
-        self.main_id, self.open_tags, self.meta, self.text = main_id, [], [], []
-        self.value: list[str] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        found = dict(attrs)
-        classes = (found.get("class") or "").split()
-        self.open_tags.append((tag, found.get("id"), classes))
-        if tag == "span" and "article-meta-value" in classes:
-            self.value = []
-
-    def handle_endtag(self, tag):
-        if tag == "span" and self.value is not None:
-            self.meta.append("".join(self.value).strip())
-            self.value = None
-        for at in reversed(range(len(self.open_tags))):
-            if self.open_tags[at][0] == tag:
-                del self.open_tags[at:]
-                break
-
-    def handle_data(self, data):
-        if self.value is not None:
-            self.value.append(data)
-        inside = any(i == self.main_id for _, i, _ in self.open_tags)
-        hidden = any(t in self.SKIP_TAGS or set(c) & set(self.SKIP_CLASSES) for t, _, c in self.open_tags)
-        if inside and not hidden:
-            self.text.append(data)
+    def ended(self, name: str) -> bool:
+        """Whether this end tag closes the region."""
+        if self.depth and name == self.name:
+            self.depth -= 1
+            return not self.depth
+        return False
 
 
-def article_parts(html: str | None, main_id: str = "main-content") -> tuple[list[str], str]:
-    parser = ArticleParser(main_id)
-    parser.feed(html or "")
-    return parser.meta, "".join(parser.text)
+def article_parts(page: str | None, main_id: str = "main-content") -> tuple[list[str], str]:
+    """Header values and the visible text of a board page's main element; a region inside a region needs no stack."""
+    main, dark, header = Region(), Region(), Region()
+    values, text, value = [], [], []
+    page, at = page or "", 0
+    while at < len(page):
+        m = _MARKUP.match(page, at)
+        at = m.end()
+        name = (m[2] or "").lower()
+        if not name:
+            if header.depth:
+                value.append(m[4] or "")
+            if main.depth and not dark.depth:
+                text.append(m[4] or "")
+        elif m[1]:
+            if header.ended(name):
+                values.append(html.unescape("".join(value)).strip())
+                value = []
+            dark.ended(name)
+            main.ended(name)
+        elif name in NO_TEXT_TAGS:  # no tags inside: go on behind its end
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        else:
+            found = {k.lower(): a or b or c for k, a, b, c in _CLASS_OR_ID.findall(m[3])}
+            classes = set(found.get("class", "").split())
+            header.started(name, name == "span" and META_CLASS in classes)
+            dark.started(name, bool(classes & NO_TEXT_CLASSES))
+            main.started(name, found.get("id") == main_id)
+    return values, html.unescape("".join(text))

@@ -178,11 +178,12 @@ def batch_gate(requested: DataFrame, bars: DataFrame, as_of: Column) -> DataFram
     )
 
 
-def allowed_link(url, hosts: Sequence[str]) -> Column:
-    """The link itself when it is https on a listed host, else an empty string."""
-    c = F.col(url) if isinstance(url, str) else url
-    safe = (F.try_parse_url(c, F.lit("PROTOCOL")) == "https") & F.try_parse_url(c, F.lit("HOST")).isin(list(hosts))
-    return F.when(F.coalesce(safe, F.lit(False)), c).otherwise(F.lit(""))
+def allowed_links(rows: DataFrame, hosts: DataFrame, url: str = "url", out: str = "link") -> DataFrame:
+    """Add the link itself when it is https on a host of ``hosts`` (column ``host``), else an empty string."""
+    listed = hosts.select(F.col("host").alias("_host")).filter("_host IS NOT NULL").distinct()
+    own = F.when(F.try_parse_url(F.col(url), F.lit("PROTOCOL")) == "https", F.try_parse_url(F.col(url), F.lit("HOST")))
+    both = rows.withColumn("_own", own).join(listed, F.col("_own") == F.col("_host"), "left")
+    return both.withColumn(out, F.when(F.col("_host").isNotNull(), F.col(url)).otherwise(F.lit(""))).drop("_own", "_host")
 
 
 def source_manifest(evidence: DataFrame, families: dict[str, str]) -> DataFrame:

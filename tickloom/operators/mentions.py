@@ -8,83 +8,69 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.layout import split_rank, spread
-from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, folded, mention_udf
+from tickloom.functions.layout import split_rank
+from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, folded
 
 USABLE = ("success", "partial")
-MAX_SHARED_NAMES = 20_000
+# Names are looked up by their first characters, at most this many; shorter names by all they have.
+GRAM = 4
 
 
-def dictionary_entries(dictionary: DataFrame, limit: int = MAX_SHARED_NAMES) -> list[tuple[str, str]] | None:
-    """The (symbol, name) list if it is small enough to ship with a task, else None; never reads past the limit."""
-    rows = dictionary.select("symbol", "name").orderBy("symbol", "name").limit(limit + 1).collect()
-    return None if len(rows) > limit else [(r["symbol"], r["name"] or "") for r in rows]
+def _grams(text: Column) -> Column:
+    """Distinct runs of 1 to GRAM characters of a text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.concat(*[_runs(text, places, n) for n in range(1, GRAM + 1)]))
 
 
-def mentions(
-    texts: DataFrame, dictionary: DataFrame, key: str, text: str, ambiguous: Sequence[str] = AMBIGUOUS_NAMES, limit: int = MAX_SHARED_NAMES
-) -> DataFrame:
-    """Add ``symbols``: the securities each text names.
+def _runs(text: Column, places: Column, size: int) -> Column:
+    return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+
+
+def held_words(texts: DataFrame, words: DataFrame, key: str, text: str, word: str) -> DataFrame:
+    """Distinct (key, word) where the text holds the word; words of any number.
 
-    A dictionary within ``limit`` travels with the Arrow UDF and texts never move. A larger one is first narrowed by an
-    equi-join on two-character grams, and each text is then matched against the names it can contain.
+    An equi-join on first characters finds candidates (a small word list is broadcast by its measured size), and the
+    words are then looked for in the text itself.
     """
-    entries = dictionary_entries(dictionary, limit)
-    if entries is not None:
-        return spread(texts).withColumn("symbols", mention_udf(entries, ambiguous)(F.col(text)))
-    return mentions_by_join(texts, dictionary, key, text, ambiguous)
-
-
-def mentions_by_join(texts: DataFrame, dictionary: DataFrame, key: str, text: str, ambiguous: Sequence[str] = AMBIGUOUS_NAMES) -> DataFrame:
-    body = folded(F.col(text))
-    positions = F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))
-    grams = F.array_distinct(
-        F.concat(
-            F.transform(positions, lambda i: F.substring(F.col("_t"), i, F.lit(2))),
-            F.transform(positions, lambda i: F.substring(F.col("_t"), i, F.lit(1))),
-        )
-    )
-    occurring = texts.select(key, body.alias("_t")).select(key, F.explode(grams).alias("gram"))
-    heads = dictionary.select("symbol", "name", folded(F.coalesce("name", F.lit(""))).alias("_n"))
-    entry_grams = F.array_distinct(F.array(F.substring("_n", 1, 2), F.substring("symbol", 1, 2)))
-    keyed = heads.select("symbol", "name", F.explode(entry_grams).alias("gram")).filter("gram <> ''")
-    possible = (
-        occurring.join(keyed, "gram")
-        .groupBy(key)
-        .agg(F.collect_set(F.struct("symbol", F.coalesce("name", F.lit("")).alias("name"))).alias("_entries"))
-    )
+    listed = words.select(F.col(word).alias("_w")).filter("_w <> ''").distinct()
+    keyed = listed.select("_w", F.substring("_w", 1, GRAM).alias("_g"))
+    near = texts.select(F.col(key).alias("_k"), F.explode(_grams(F.col(text))).alias("_g")).join(keyed, "_g").select("_k", "_w").distinct()
+    both = near.join(texts.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k")
+    return both.filter(F.contains("_t", "_w")).select(F.col("_k").alias(key), F.col("_w").alias(word)).distinct()
+
+
+def mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str, ambiguous: Sequence[str] = AMBIGUOUS_NAMES) -> DataFrame:
+    """Add ``symbols``: the securities each text names; ``key`` identifies a text.
+
+    Each text meets only the entries whose name or code it holds, so the dictionary may be of any size. A column
+    ``ambiguous`` of the dictionary marks further names that need a finance word beside them.
+    """
+    body = texts.select(key, folded(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    marked = F.col("ambiguous") if "ambiguous" in dictionary.columns else F.lit(False)
+    name = F.coalesce("name", F.lit(""))
+    entries = dictionary.select("symbol", name.alias("name"), (F.coalesce(marked, F.lit(False)) | name.isin(list(ambiguous))).alias("ambiguous"), folded(name).alias("_n"))
+    words = entries.select(F.explode(F.array("_n", "symbol")).alias("_word"))
+    held = held_words(body, words, key, "_t", "_word")
+    whole = F.struct("symbol", "name", "ambiguous")
+    by_word = entries.select(F.explode(F.array_distinct(F.array("_n", "symbol"))).alias("_word"), whole.alias("_e"))
+    found = held.join(by_word, "_word").groupBy(key).agg(F.collect_set("_e").alias("_entries"))
 
     @F.pandas_udf("array<string>")
     def identify(bodies: pd.Series, entries: pd.Series) -> pd.Series:
         def one(body, found):
             if found is None or len(found) == 0:
                 return []
-            return MentionMatcher([(e["symbol"], e["name"]) for e in found], ambiguous).identify(body)
+            return MentionMatcher([(e["symbol"], e["name"], e["ambiguous"]) for e in found]).identify(body)
 
         return pd.Series([one(b, e) for b, e in zip(bodies, entries, strict=True)])
 
-    return texts.join(possible, key, "left").withColumn("symbols", identify.asNondeterministic()(F.col(text), F.col("_entries"))).drop("_entries")
+    # Marked non-deterministic so that a filter on the result is not pushed below it as a second evaluation.
+    return texts.join(found, key, "left").withColumn("symbols", identify.asNondeterministic()(F.col(text), F.col("_entries"))).drop("_entries")
 
 
-def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str, text: str, limit: int = MAX_SHARED_NAMES) -> DataFrame:
-    """(text, name) pairs where the name occurs, as a substring, anywhere in the whole text.
-
-    A dictionary within ``limit`` becomes a literal array tested by native ``contains`` while texts stream past once; a
-    larger one goes through the gram join, with the substring test as residual.
-    """
-    entries = dictionary_entries(dictionary, limit)
-    if entries is not None:
-        names = F.array(*[F.lit(n) for n in sorted({n for _, n in entries if n})])
-        return spread(texts.select(key, text)).select(key, F.explode(F.filter(names, lambda n: F.contains(F.col(text), n))).alias("name"))
-    positions = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.array_distinct(F.transform(positions, lambda i: F.substring(F.col(text), i, F.lit(2))))
-    keyed = dictionary.filter("name <> ''").select("name", F.substring("name", 1, 2).alias("gram")).distinct()
-    pairs = texts.select(key, F.explode(grams).alias("gram")).join(keyed.filter("length(name) > 1"), "gram").select(key, "name")
-    single = keyed.filter("length(name) = 1").select("name", F.col("name").alias("gram"))
-    chars = F.array_distinct(F.transform(positions, lambda i: F.substring(F.col(text), i, F.lit(1))))
-    ones = texts.select(key, F.explode(chars).alias("gram")).join(single, "gram").select(key, "name")
-    wide = pairs.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("name"))).select(key, "name")
-    return wide.unionByName(ones)
+def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, name) pairs where the name occurs, as a substring, anywhere in the whole text."""
+    return held_words(texts, dictionary, key, text, "name")
 
 
 def unique_posts(posts: DataFrame, available: Sequence[str], now: Column, days: int = 7) -> DataFrame:

@@ -178,8 +178,8 @@ def opening_counts(quotes: DataFrame) -> DataFrame:
 
 
 def horizon_ranking(estimates: DataFrame, horizon: int, metric: str) -> DataFrame:
-    """Estimates of one horizon, best metric first, missing values last."""
-    return estimates.filter(F.col("horizon") == horizon).orderBy(F.col(metric).desc_nulls_last(), "symbol")
+    """Estimates of one horizon with their position, best metric first, missing values last, ties by symbol."""
+    return split_rank(estimates.filter(F.col("horizon") == horizon), ["horizon"], metric, ["symbol"]).orderBy("position")
 
 
 def page(ranked: DataFrame, number: int, size: int, groups: Sequence[str] = (), position: str = "position") -> DataFrame:

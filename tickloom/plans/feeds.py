@@ -86,6 +86,39 @@ def a2(m):
     return bar_rows(rows).join(signed.select("symbol", text("date").alias("date"), "sign"), ["symbol", "date"])
 
 
+def broken_days(m: Market):
+    """Day payloads of which some are broken by the day of the month: 1-3 dated a day late, 4-6 with a header gone, 7-9 with
+    the last cell of symbols ending in 5 gone, 10-12 with every row twice."""
+    k = F.dayofmonth(F.col("session").cast("date"))
+    late = F.replace("payload", F.date_format(F.col("session").cast("date"), "yyyyMMdd"), F.date_format(F.date_add(F.col("session").cast("date"), 1), "yyyyMMdd"))
+    gone = F.replace("payload", F.lit("成交金額"), F.lit("?"))
+    short = F.regexp_replace("payload", r'(\["[^"]*5",[^\]]*),"[^"]*"\]', "$1]")
+    twice = F.regexp_replace("payload", r'"(data9?)":\[(\["Brand.*?\])\]', '"$1":[$2,$2]')
+    payload = F.when(k <= 3, late).when(k <= 6, gone).when(k <= 9, short).when(k <= 12, twice).otherwise(F.col("payload"))
+    return day_payloads(m).select("session", payload.alias("payload"))
+
+
+_DAYS = "select symbol, date, cast(regexp_extract(symbol, '([0-9]+)$', 1) as int) // 10 as pg, day(date) as k from bars"
+
+
+@query(
+    "a2_rejects",
+    oracle(
+        f"select cast(date as varchar) as session, symbol, problem, count(*) as n from (select distinct date, pg, cast(null as varchar) as symbol, case when k <= 3 then 'wrong_date' else 'tables' end as problem from ({_DAYS}) a where k <= 6 "
+        f"union all select date, pg, symbol, 'row_width' from ({_DAYS}) b where k between 7 and 9 and symbol like '%5' union all select date, pg, symbol, 'duplicate' from ({_DAYS}) c, (values (1), (2)) t where k between 10 and 12) r group by 1, 2, 3",
+        "bars",
+    ),
+)
+def a2_rejects(m):
+    rows = FD.market_day_rejects(broken_days(m))
+    return rows.groupBy(text("session").alias("session"), "symbol", "problem").agg(F.count("*").alias("n"))
+
+
+@query("a2_kept", oracle(f"select symbol, cast(date as varchar) as date from ({_DAYS}) d where k > 12 or (k between 7 and 9 and symbol not like '%5')", "bars"))
+def a2_kept(m):
+    return FD.market_day_bars(broken_days(m)).select("symbol", text("date").alias("date"))
+
+
 @query("a3_universe_bars", oracle("select b.symbol, count(*) as bars from bars b join sec s on s.symbol = b.symbol and s.kind = 'stock' group by 1", "bars", "sec"))
 def a3(m):
     rows = FD.universe_bars(FD.market_day_bars(day_payloads(m)), m.securities.filter("kind = 'stock'"))
@@ -121,15 +154,23 @@ _FUND = (
 @query(
     "a5_security_master",
     "select cast(c_custkey + 1000 as varchar) as symbol, case when c_custkey % 7 = 0 then 'F' || c_name else c_name end as name, 'stock' as kind, case when c_custkey % 3 <> 0 then '1999-01-31' end as listing_date, 'TWD' as currency, "
-    "case when c_custkey % 5 <> 0 then lpad(cast(c_custkey % 30 as varchar), 2, '0') end as industry, null as etf_style from customer where c_custkey % 10 <> 0 union all "
+    "case when c_custkey % 5 <> 0 then lpad(cast(c_custkey % 30 as varchar), 2, '0') end as industry, null as etf_style from customer where c_custkey % 10 <> 0 and c_custkey < 9000 union all "
     "select symbol, name, 'etf', '2001-02-28', case when symbol like '%K' then case when contains(name, '人民幣') then 'CNY' when contains(name, '美元') then 'USD' else 'unknown' end else 'TWD' end, null, "
-    f"case when symbol like '%A' or name like '主動%' then 'active' else 'passive' end from ({_FUND}) f",
+    f"case when symbol like '%A' or name like '主動%' then 'active' else 'passive' end from (select *, count(*) over (partition by symbol) as copies from ({_FUND}) g) f where copies = 1",
 )
 def a5(m):
-    rows = FD.security_master(companies(m), funds(m))
+    rows = FD.clean_master(FD.security_master(companies(m), funds(m)))
     return rows.select("symbol", "name", "kind", text("listing_date").alias("listing_date"), "currency", "industry", "etf_style")
 
 
+@query(
+    "a5_rejects",
+    f"select cast(c_custkey + 1000 as varchar) as symbol, 'code_shape' as problem from customer where c_custkey % 10 <> 0 and c_custkey >= 9000 union all select symbol, 'duplicate' from ({_FUND}) f group by 1 having count(*) > 1",
+)
+def a5_rejects(m):
+    return FD.master_rejects(FD.security_master(companies(m), funds(m))).select("symbol", "problem")
+
+
 @query("a6_listed_catalog", f"select cast(c_custkey + 1000 as varchar) as symbol, 'stock' as kind from customer where c_custkey % 10 <> 0 and c_custkey < 9000 union all select symbol, 'etf' from ({_FUND}) f")
 def a6(m):
     return FD.listed_catalog(companies(m), funds(m))
@@ -163,6 +204,43 @@ def a11(m):
     return rows.select("symbol", text("data_date").alias("data_date"), cell(2).alias("buy"), cell(3).alias("sell"), "foreign_net", "unit")
 
 
+def broken_institution(m: Market):
+    """Institution payloads broken by the day of the month: 1 status, 2 date, 3 header, 4 unit, 5 one figure a row, 6 one cell a row."""
+    k = F.dayofmonth("requested_date")
+    payload = (
+        F.when(k == 1, F.replace("payload", F.lit('"OK"'), F.lit('"x"')))
+        .when(k == 2, F.replace("payload", F.date_format("requested_date", "yyyyMMdd"), F.lit("20010101")))
+        .when(k == 3, F.replace("payload", F.lit(FL.INSTITUTION_FIELDS[0]), F.lit("?")))
+        .when(k == 4, F.replace("payload", F.lit("單位：股"), F.lit("單位：張")))
+        .when(k == 5, F.regexp_replace("payload", r',"[\d.,]+"\]', ',"--"]'))
+        .when(k == 6, F.regexp_replace("payload", r'\["(\d+)","\d+",', '["$1",'))
+        .otherwise(F.col("payload"))
+    )
+    return institution_payloads(m).select("requested_date", payload.alias("payload"))
+
+
+_BROKEN = "select distinct d, cast(symbol as int) // 500 as pg, day(d) as k from (select lpad(cast(user_id as varchar), 4, '0') as symbol, cast(ts as date) as d from events) e"
+_BROKEN_ROWS = "select distinct cast(user_id as varchar) as symbol, cast(ts as date) as d, day(ts) as k from events"
+_NAMED = "case k when 1 then 'bad_status' when 2 then 'wrong_date' when 3 then '{0}' when 4 then '{1}' when 5 then 'number' else 'row_width' end"
+
+
+def rejects_sql(third: str, fourth: str) -> str:
+    named = _NAMED.format(third, fourth)
+    return (
+        f"select cast(d as varchar) as day, symbol, problem, count(*) as n from (select d, pg, cast(null as varchar) as symbol, {named} as problem from ({_BROKEN}) a where k <= 4 "
+        f"union all select d, 0, symbol, {named} from ({_BROKEN_ROWS}) b where k in (5, 6)) r group by 1, 2, 3"
+    )
+
+
+def counted(rejects):
+    return rejects.groupBy(text("day").alias("day"), "symbol", "problem").agg(F.count("*").alias("n"))
+
+
+@query("a11_rejects", rejects_sql("headers_changed", "unit_changed"))
+def a11_rejects(m):
+    return counted(FD.institution_rejects(broken_institution(m)))
+
+
 def margin_payloads(m: Market):
     f = m.events.groupBy(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.max("event_id").alias("k"))
     cells = [F.col("symbol"), F.col("symbol")] + [text(F.col("n") * (i + 1)) for i in range(13)] + [F.concat(F.lit(" note "), text("k"))]
@@ -183,6 +261,22 @@ def a12(m):
     return rows.select("symbol", text("data_date").alias("data_date"), "financing_previous", "financing_current", "short_previous", "offset", "note")
 
 
+@query("a12_rejects", rejects_sql("tables", "groups_changed"))
+def a12_rejects(m):
+    """Margin payloads broken by the day of the month: 1 status, 2 date, 3 header, 4 spans, 5 one figure a row, 6 one cell a row."""
+    k = F.dayofmonth("requested_date")
+    payload = (
+        F.when(k == 1, F.replace("payload", F.lit('"ok"'), F.lit('"x"')))
+        .when(k == 2, F.replace("payload", F.date_format("requested_date", "yyyyMMdd"), F.lit("20010101")))
+        .when(k == 3, F.replace("payload", F.lit('"資券互抵"'), F.lit('"?"')))
+        .when(k == 4, F.replace("payload", F.lit('"span":2'), F.lit('"span":3')))
+        .when(k == 5, F.regexp_replace("payload", r',"\d+",(" note)', ',"--",$1'))
+        .when(k == 6, F.regexp_replace("payload", r'\["(\d+)","\d+",', '["$1",'))
+        .otherwise(F.col("payload"))
+    )
+    return counted(FD.margin_rejects(margin_payloads(m).select("requested_date", payload.alias("payload"))))
+
+
 PAGE_ROWS = 500
 
 
@@ -215,6 +309,18 @@ def a13(m):
     return rows.select("symbol", "period", "yoy_pct", text("export_date").alias("export_date"))
 
 
+@query(
+    "a13_rejects",
+    "select case when event_id % 7 <> 0 then lpad(cast(event_id as varchar), 6, '0') end as symbol, case when event_id % 7 = 0 then 'headers_collide' else 'no_date' end as problem from events where event_id % 7 = 0 or event_id % 11 = 0",
+)
+def a13_rejects(m):
+    """Every seventh row has a header twice but for a space, every eleventh no month."""
+    month = F.when(F.col("event_id") % 11 == 0, "--").otherwise("11508")
+    row = F.create_map(F.lit("資料年月 "), month, F.lit("公司代號"), F.lpad(text("event_id"), 6, "0"))
+    entry = F.when(F.col("event_id") % 7 == 0, F.map_concat(row, F.create_map(F.lit("資料年月"), month))).otherwise(row)
+    return FD.list_rejects(FD.trimmed_rows(list_payloads(m.events, entry)), "公司代號", FD.list_day("revenue"))
+
+
 def announcement_rows(m: Market):
     clock = F.when(F.col("event_id") % 6 == 0, "250000").otherwise(F.regexp_replace(F.date_format("ts", "HHmmss"), "^0+(?=.)", ""))
     entry = F.create_map(
@@ -315,6 +421,21 @@ def a21(m):
     return rows.groupBy("symbol").agg(F.count("*").alias("quotes"), F.round(F.sum("close_price"), 4).alias("price"), stamp(F.max("updated_at")).alias("updated"))
 
 
+@query(
+    "a21_rejects",
+    "select case when h % 2 = 0 then 'OTC' else 'TSE' end as market, case when h % 2 = 0 then 'wrong_market' else 'bad_time' end as problem, count(*) as n from (select distinct date_trunc('hour', ts) as t, hour(ts) as h from events) e where h % 2 = 0 or h % 3 = 0 group by 1, 2",
+)
+def a21_rejects(m):
+    """Payloads of an hour: even ones of another market, every third without a readable time."""
+    hours = m.events.select(F.date_trunc("hour", "ts").alias("h")).distinct()
+    body = F.struct(
+        F.when(F.hour("h") % 2 == 0, "OTC").otherwise("TSE").alias("market"), F.date_format("h", "yyyy-MM-dd").alias("date"),
+        F.when(F.hour("h") % 3 == 0, "noon").otherwise(F.date_format("h", "HHmmss")).alias("time"),
+    )
+    rows = FD.snapshot_rejects(hours.select(F.to_json(body).alias("payload")))
+    return rows.groupBy("market", "problem").agg(F.count("*").alias("n"))
+
+
 @query(
     "c14_source_manifest",
     "select url, case when host = 'www.thathe.example.net' then 'A' else 'unknown' end as source_family, dataset, requested from (select url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, "
@@ -327,12 +448,13 @@ def c14(m):
 
 @query(
     "c16_allowed_links",
-    "select page_id, case when url like 'https://%' and regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) in (select h from (select regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as h, count(*) as n from pages group by 1 order by n desc, h limit 20) t) then url else '' end as link from pages",
+    "select page_id, case when url like 'https://%' and regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) in (select h from (select regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as h from pages group by 1 having count(*) > 1) t) then url else '' end as link from pages",
 )
 def c16(m):
-    pages = m.table("pages")
-    top = pages.groupBy(S.url_host("url").alias("h")).count().orderBy(F.desc("count"), "h").limit(20)
-    return pages.select("page_id", C.allowed_link("url", [r["h"] for r in top.collect()]).alias("link"))
+    """The listed hosts are those of more than one page."""
+    pages = m.table("pages").select("page_id", "url")
+    hosts = pages.groupBy(S.url_host("url").alias("host")).count().filter("count > 1")
+    return C.allowed_links(pages, hosts).select("page_id", "link")
 
 
 # --- scalar functions ---------------------------------------------------------------------------------------------

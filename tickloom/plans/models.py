@@ -136,12 +136,8 @@ _B2 = ("expected_return", "p_positive", "p_recovery", "score")
     oracle("select symbol, " + rnd("p_positive", 6, "p_positive") + ", row_number() over (order by p_positive desc nulls last, symbol) as position from day_est where horizon = 7", "day_est"),
 )
 def r4(m):
-    from pyspark.sql import Window
-
     ranked = R.horizon_ranking(day_estimates(m), 7, "p_positive")
-    # Positions for the comparison only; the operator itself returns a distributed sort.
-    pos = F.row_number().over(Window.orderBy(F.col("p_positive").desc_nulls_last(), "symbol")).cast("long")
-    return ranked.select("symbol", F.round("p_positive", 6).alias("p_positive"), pos.alias("position"))
+    return ranked.select("symbol", F.round("p_positive", 6).alias("p_positive"), "position")
 
 
 @query(

@@ -77,10 +77,13 @@ def s8(m):
 
 @query("s9_incremental_bars", oracle("select symbol, cast(date as varchar) as date, " + rlist("open", "close") + " from bars", "bars"))
 def s9(m):
+    """Every session lands in three parts, each a micro-batch of its own, and the first part lands twice."""
     source = folder(m, "landing")
-    m.bars.write.parquet(source)
+    for part in (0, 1, 2, 0):
+        some = m.bars.filter(F.pmod(F.xxhash64("symbol", "date"), F.lit(3)) == part)
+        some.coalesce(1).write.mode("append").parquet(source)
     out = folder(m, "bars")
-    stream = jobs.file_stream(m.spark, source, m.bars.schema)
+    stream = jobs.file_stream(m.spark, source, m.bars.schema, files_per_trigger=1)
     jobs.incremental_bars(stream, out, folder(m, "bars-check")).awaitTermination()
     rows = m.spark.read.schema(m.bars.schema).parquet(out)
     return rounded(rows.select("symbol", text("date").alias("date"), "open", "close"), "open", "close")

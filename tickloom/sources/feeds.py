@@ -1,14 +1,15 @@
 """Landing-zone ingest: raw JSON payloads as text rows -> typed tables with fixed schemas.
 
 Every reader takes a DataFrame with one payload per row (for files: ``spark.read.text(path, wholetext=True)``) and
-returns typed rows. Contract violations become reject rows; ``require_clean`` turns them into a failed job.
+returns typed rows. What breaks the contract of a feed is left out of its rows and named by the feed's ``*_rejects``, row for
+row or for a whole payload; ``require_clean`` turns rejects into a failed job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import (
@@ -48,6 +49,7 @@ MARGIN_FIELDS = (
     "買進", "賣出", "現券償還", "前日餘額", "今日餘額", "次一營業日限額", "資券互抵", "註記",
 )
 MARGIN_SPANS = (("股票", 2), ("融資", 6), ("融券", 6), ("", 1), ("", 1))
+# Shapes of codes, and words of a feed that say there is no data or that a day opens.
 CODE_PATTERN = r"^[A-Za-z0-9]{4,12}$"
 STOCK_CODE = r"^[1-9]\d{3}$"
 FUND_CODE = r"^00(\d{2,4}|\d{3}[AK])$"
@@ -74,6 +76,14 @@ def require_clean(rejects: DataFrame) -> None:
         raise ValueError(f"feed contract violated: {first[0].asDict()}")
 
 
+def _first_problem(*cases: tuple[str, Column]) -> Column:
+    """Name of the first case that holds; a case that can't be judged (null) holds."""
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(cases):
+        out = F.when(F.coalesce(holds, F.lit(True)), F.lit(name)).otherwise(out)
+    return out
+
+
 def _is_ok(stat: Column) -> Column:
     return F.lower(F.coalesce(stat, F.lit(""))) == "ok"
 
@@ -135,8 +145,8 @@ def last_load_wins(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "date").agg(F.max_by(row, "load_seq").alias("_b")).select("symbol", "date", "_b.*")
 
 
-def market_day_bars(payloads: DataFrame) -> DataFrame:
-    """Whole-market day payloads (session, payload) -> bars. Exactly one table must carry all required headers."""
+def _market_day(payloads: DataFrame) -> DataFrame:
+    """Payloads with their tables that carry all required headers, and the problem of a payload as a whole."""
     parsed = payloads.withColumn("_p", F.from_json("payload", DAY_SCHEMA)).withColumn("_old", F.from_json("payload", "map<string,string>"))
     numbered = F.map_filter("_old", lambda k, v: k.rlike(r"^fields\d*$"))
     old = F.transform(
@@ -153,12 +163,25 @@ def market_day_bars(payloads: DataFrame) -> DataFrame:
         lambda t: F.struct(t["fields"].alias("fields"), t["data"].alias("data")),
     )
     tables = F.filter(F.concat(new, F.coalesce(old, F.array().cast("array<struct<fields:array<string>,data:array<array<string>>>>"))), lambda t: _has_all(t["fields"], DAY_REQUIRED))
-    usable = parsed.filter(
-        (F.col("_p.stat") == "OK") & (F.col("_p.date") == F.date_format(F.col("session").cast("date"), "yyyyMMdd"))
-    ).withColumn("_t", tables)
-    rows = usable.filter(F.size("_t") == 1).select(
-        F.col("session").cast("date").alias("_day"), F.col("_t")[0]["fields"].alias("_f"), F.explode(F.col("_t")[0]["data"]).alias("_v")
-    ).filter(F.size("_v") == F.size("_f"))
+    dated = F.col("_p.date") == F.date_format(F.col("session").cast("date"), "yyyyMMdd")
+    problem = _first_problem(("bad_status", F.col("_p.stat") != "OK"), ("wrong_date", ~dated), ("tables", F.size("_t") != 1))
+    return parsed.withColumn("_t", tables).withColumn("_problem", problem)
+
+
+def _market_day_rows(payloads: DataFrame) -> DataFrame:
+    """Rows of sound payloads: _day, _f, _v, _symbol and the problem of a row (its width, a symbol given twice for a day)."""
+    sound = _market_day(payloads).filter("_problem IS NULL")
+    rows = sound.select(F.col("session").cast("date").alias("_day"), F.col("_t")[0]["fields"].alias("_f"), F.explode(F.col("_t")[0]["data"]).alias("_v"))
+    place = F.array_position("_f", "證券代號").cast("int")
+    rows = rows.withColumn("_symbol", F.get("_v", place - 1))
+    copies = F.count("*").over(Window.partitionBy("_day", "_symbol"))
+    problem = _first_problem(("row_width", F.size("_v") != F.size("_f")), ("duplicate", copies > 1))
+    return rows.withColumn("_problem", problem)
+
+
+def market_day_bars(payloads: DataFrame) -> DataFrame:
+    """Whole-market day payloads (session, payload) -> bars. Exactly one table must carry all required headers."""
+    rows = _market_day_rows(payloads).filter("_problem IS NULL")
     rows = rows.withColumn("_m", _as_map(F.col("_f"), F.col("_v")))
     cell = lambda name: F.try_element_at("_m", F.lit(name))
     change = F.concat(strip_tags(cell("漲跌(+/-)")), strip_tags(cell(COL["change"])))
@@ -166,6 +189,13 @@ def market_day_bars(payloads: DataFrame) -> DataFrame:
     return rows.select(cell("證券代號").alias("symbol"), cell("證券名稱").alias("name"), *columns).withColumn("valid", valid_bar())
 
 
+def market_day_rejects(payloads: DataFrame) -> DataFrame:
+    """session, symbol (null for a whole payload), problem of everything ``market_day_bars`` leaves out."""
+    whole = _market_day(payloads).filter("_problem IS NOT NULL").select(F.col("session").cast("date").alias("session"), F.lit(None).cast("string").alias("symbol"), F.col("_problem").alias("problem"))
+    rows = _market_day_rows(payloads).filter("_problem IS NOT NULL").select(F.col("_day").alias("session"), F.col("_symbol").alias("symbol"), F.col("_problem").alias("problem"))
+    return whole.unionByName(rows)
+
+
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
 
@@ -213,6 +243,13 @@ def master_rejects(master: DataFrame) -> DataFrame:
     return odd.unionByName(twice)
 
 
+def clean_master(master: DataFrame) -> DataFrame:
+    """The master without what ``master_rejects`` names: a code of an odd shape, and every row of a code given twice."""
+    shape = F.when(F.col("kind") == "stock", F.col("symbol").rlike(STOCK_CODE)).otherwise(F.col("symbol").rlike(FUND_CODE))
+    once = master.groupBy("symbol").agg(F.count("*").alias("_n")).filter("_n = 1").select("symbol")
+    return master.filter(shape).join(once, "symbol", "left_semi")
+
+
 def listed_catalog(companies: DataFrame, funds: DataFrame) -> DataFrame:
     """(symbol, kind) of ordinary shares and of every fund type."""
     code = F.trim("code")
@@ -244,17 +281,46 @@ def _observation(symbol: Column, key: Column, day: Column, unit: str, period: Co
     ]
 
 
-def institution_flows(payloads: DataFrame) -> DataFrame:
-    """Institution feed (requested_date, payload): exact header, unit hint and date, or no rows at all."""
+def _institution(payloads: DataFrame) -> DataFrame:
     p = payloads.withColumn("_p", F.from_json("payload", TABLE_SCHEMA)).withColumn("_d", compact_date("_p.date"))
     header = F.array(*[F.lit(n) for n in INSTITUTION_FIELDS])
-    sound = (
-        _is_ok(F.col("_p.stat"))
-        & (F.col("_d") == F.col("requested_date"))
-        & (F.col("_p.fields") == header)
-        & F.contains(F.coalesce("_p.hints", F.lit("")), F.lit("單位：股"))
+    problem = _first_problem(
+        ("bad_status", ~_is_ok(F.col("_p.stat"))),
+        ("wrong_date", F.col("_d") != F.col("requested_date")),
+        ("headers_changed", F.col("_p.fields") != header),
+        ("unit_changed", ~F.contains(F.col("_p.hints"), F.lit("單位：股"))),
     )
-    rows = p.filter(sound).select("_d", F.explode("_p.data").alias("_v")).filter(F.size("_v") == len(INSTITUTION_FIELDS))
+    return p.withColumn("_problem", problem)
+
+
+def _figures(width: int, first: int, last: int) -> Column:
+    """Problem of a row ``_v``: its width, or a figure that is no number."""
+    cells = [number(F.get("_v", F.lit(i))).isNull() for i in range(first, last)]
+    broken = cells[0]
+    for c in cells[1:]:
+        broken = broken | c
+    return _first_problem(("row_width", F.size("_v") != width), ("number", broken))
+
+
+def _institution_rows(payloads: DataFrame) -> DataFrame:
+    rows = _institution(payloads).filter("_problem IS NULL").select("_d", F.explode("_p.data").alias("_v"))
+    return rows.withColumn("_problem", _figures(len(INSTITUTION_FIELDS), 2, 19))
+
+
+def _all_rejects(whole: DataFrame, rows: DataFrame) -> DataFrame:
+    bad = F.col("_problem").isNotNull()
+    one = whole.filter(bad).select(F.col("requested_date").cast("date").alias("day"), F.lit(None).cast("string").alias("symbol"), F.col("_problem").alias("problem"))
+    return one.unionByName(rows.filter(bad).select(F.col("_d").alias("day"), F.get("_v", F.lit(0)).alias("symbol"), F.col("_problem").alias("problem")))
+
+
+def institution_rejects(payloads: DataFrame) -> DataFrame:
+    """day, symbol (null for a whole payload), problem of everything ``institution_flows`` leaves out."""
+    return _all_rejects(_institution(payloads), _institution_rows(payloads))
+
+
+def institution_flows(payloads: DataFrame) -> DataFrame:
+    """Institution feed (requested_date, payload): exact header, unit hint and date, and rows of numbers only."""
+    rows = _institution_rows(payloads).filter("_problem IS NULL")
     cell = lambda i: number(F.get("_v", F.lit(i)))
     fields = F.map_from_arrays(F.array(*[F.lit(INSTITUTION_FIELDS[i]) for i in range(2, 19)]), F.array(*[cell(i) for i in range(2, 19)]))
     text_day = F.date_format("_d", "yyyy-MM-dd")
@@ -269,15 +335,33 @@ def institution_flows(payloads: DataFrame) -> DataFrame:
     )
 
 
-def margin_balances(payloads: DataFrame) -> DataFrame:
-    """Margin feed (requested_date, payload). Headers repeat, so columns are positional behind a check of the groups."""
+def _margin(payloads: DataFrame) -> DataFrame:
     p = payloads.withColumn("_p", F.from_json("payload", DAY_SCHEMA)).withColumn("_d", compact_date("_p.date"))
     header = F.array(*[F.lit(n) for n in MARGIN_FIELDS])
     spans = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(s).alias("span")) for t, s in MARGIN_SPANS])
-    matching = F.filter("_p.tables", lambda t: t["fields"] == header)
-    tables = p.filter(_is_ok(F.col("_p.stat")) & (F.col("_d") == F.col("requested_date"))).withColumn("_t", matching)
-    sound = tables.filter((F.size("_t") == 1) & (F.get("_t", F.lit(0))["groups"] == spans))
-    rows = sound.select("_d", F.explode(F.get("_t", F.lit(0))["data"]).alias("_v")).filter(F.size("_v") == len(MARGIN_FIELDS))
+    p = p.withColumn("_t", F.filter("_p.tables", lambda t: t["fields"] == header))
+    problem = _first_problem(
+        ("bad_status", ~_is_ok(F.col("_p.stat"))),
+        ("wrong_date", F.col("_d") != F.col("requested_date")),
+        ("tables", F.size("_t") != 1),
+        ("groups_changed", F.get("_t", F.lit(0))["groups"] != spans),
+    )
+    return p.withColumn("_problem", problem)
+
+
+def _margin_rows(payloads: DataFrame) -> DataFrame:
+    rows = _margin(payloads).filter("_problem IS NULL").select("_d", F.explode(F.get("_t", F.lit(0))["data"]).alias("_v"))
+    return rows.withColumn("_problem", _figures(len(MARGIN_FIELDS), 2, 15))
+
+
+def margin_rejects(payloads: DataFrame) -> DataFrame:
+    """day, symbol (null for a whole payload), problem of everything ``margin_balances`` leaves out."""
+    return _all_rejects(_margin(payloads), _margin_rows(payloads))
+
+
+def margin_balances(payloads: DataFrame) -> DataFrame:
+    """Margin feed (requested_date, payload). Headers repeat, so columns are positional behind a check of the groups."""
+    rows = _margin_rows(payloads).filter("_problem IS NULL")
     cell = lambda i: number(F.get("_v", F.lit(i)))
     names = {
         "financing_redemption": 4, "financing_previous": 5, "financing_current": 6, "financing_limit": 7,
@@ -302,6 +386,21 @@ def trimmed_rows(payloads: DataFrame) -> DataFrame:
     )
 
 
+def list_rejects(rows: DataFrame, code: str, day: Column) -> DataFrame:
+    """Rows of ``trimmed_rows`` that a list feed leaves out: colliding headers, or no readable date.
+
+    symbol is null where headers collide. ``day`` is the feed's own date, from ``list_day``.
+    """
+    problem = _first_problem(("headers_collide", F.col("collides")), ("no_date", day.isNull()))
+    return rows.select(F.try_element_at("row", F.lit(code)).alias("symbol"), problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def list_day(feed: str) -> Column:
+    """The date of a row of the revenue, announcement or dividend feed."""
+    name, read = {"revenue": ("資料年月", era_month), "announcement": ("發言日期", compact_date), "dividend": ("Date", compact_date)}[feed]
+    return read(F.try_element_at("row", F.lit(name)))
+
+
 def monthly_revenue(rows: DataFrame) -> DataFrame:
     """Revenue rows (``row`` maps): growth is void when last year's base is missing or zero."""
     cell = lambda name: F.try_element_at("row", F.lit(name))
@@ -371,6 +470,7 @@ def calendar_months(payloads: DataFrame) -> DataFrame:
 
 FORUM_SCHEMA = "array<struct<id string, title string, excerpt string, createdAt string>>"
 SOCIAL_SCHEMA = "struct<data: array<struct<id string, text string, timestamp string, permalink string>>>"
+# Hosts of a post's permalink.
 SOCIAL_HOSTS = ("www.threads.net", "www.threads.com", "threads.net", "threads.com")
 
 
@@ -412,11 +512,22 @@ QUOTE_FEED_SCHEMA = (
 )
 
 
+def _snapshot(payloads: DataFrame, market: str) -> DataFrame:
+    p = payloads.withColumn("_p", F.from_json("payload", QUOTE_FEED_SCHEMA))
+    p = p.withColumn("_at", F.try_to_timestamp(F.concat_ws(" ", "_p.date", "_p.time"), F.lit("yyyy-MM-dd HHmmss")))
+    return p.withColumn("_problem", _first_problem(("wrong_market", F.col("_p.market") != market), ("bad_time", F.col("_at").isNull())))
+
+
+def snapshot_rejects(payloads: DataFrame, market: str = "TSE") -> DataFrame:
+    """market, day, time and problem of the payloads that ``snapshot_quotes`` leaves out."""
+    p = _snapshot(payloads, market).filter("_problem IS NOT NULL")
+    return p.select(F.col("_p.market").alias("market"), F.col("_p.date").alias("day"), F.col("_p.time").alias("time"), F.col("_problem").alias("problem"))
+
+
 def snapshot_quotes(payloads: DataFrame, market: str = "TSE", zone: str = "Asia/Taipei") -> DataFrame:
     """Nested quote snapshots of one market -> one row per quote with the snapshot time; works on streams as well."""
-    p = payloads.withColumn("_p", F.from_json("payload", QUOTE_FEED_SCHEMA)).filter(F.col("_p.market") == market)
-    stamp = F.try_to_timestamp(F.concat_ws(" ", "_p.date", "_p.time"), F.lit("yyyy-MM-dd HHmmss"))
-    rows = p.select(stamp.alias("snapshot_at"), F.explode("_p.data").alias("_q"), *[c for c in ("seq",) if c in payloads.columns])
+    p = _snapshot(payloads, market).filter("_problem IS NULL")
+    rows = p.select(F.col("_at").alias("snapshot_at"), F.explode("_p.data").alias("_q"), *[c for c in ("seq",) if c in payloads.columns])
     return rows.select(
         "snapshot_at",
         F.col("_q.type").alias("type"),

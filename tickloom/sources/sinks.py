@@ -26,11 +26,7 @@ def _export_rows(estimates: DataFrame, securities: DataFrame) -> DataFrame:
 
 def _positions(rows: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Best value first, missing values after all others, ties by symbol."""
-    present = split_rank(rows.filter(F.col(value).isNotNull()), groups, value, ["symbol"])
-    counted = rows.groupBy(*groups).agg(F.count(value).alias("_known"))
-    w = Window.partitionBy(*groups).orderBy("symbol")
-    absent = rows.filter(F.col(value).isNull()).join(counted, list(groups)).withColumn("position", F.col("_known") + F.row_number().over(w))
-    return present.drop("position_of").unionByName(absent.drop("_known"))
+    return split_rank(rows, groups, value, ["symbol"]).drop("position_of")
 
 
 def ranked_export(estimates: DataFrame, securities: DataFrame, horizon: int, metric: str) -> DataFrame:

@@ -12,7 +12,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.layout import spread
 from tickloom.functions.scalars import valid_bar
 from tickloom.operators.calendar import session_table
 from tickloom.schemas import conform
@@ -36,7 +35,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str, grain: str = "brand") -> DataFrame:
     columns = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
-    li = spread(table(spark, sf_dir, "lineitem").select(*columns))
+    li = table(spark, sf_dir, "lineitem").select(*columns)
     week = F.date_trunc("week", "l_shipdate").cast("date")
     if grain == "brand":
         part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
@@ -166,7 +165,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mention_dictionary(spark: SparkSession, sf_dir: str, size: int = 40) -> DataFrame:
-    """Names that occur in texts: the most frequent long tokens of the benchmark passages."""
+def mention_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that occur in texts: all long tokens of the benchmark passages; those of five letters are ambiguous."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"), F.lit(1))).alias("name"))
-    return words.groupBy("name").count().orderBy(F.desc("count"), "name").limit(size).select(F.col("name").alias("symbol"), "name")
+    return words.distinct().select(F.col("name").alias("symbol"), "name", (F.length("name") == 5).alias("ambiguous"))

@@ -119,22 +119,43 @@ def capture_changes(arrivals: DataFrame, path: str, checkpoint: str, every: str
 
 
 def incremental_bars(bars: DataFrame, path: str, checkpoint: str, recheck: int = 5, every: str | None = None) -> StreamingQuery:
-    """Bars by session partition: new sessions are added, the latest ``recheck`` may be corrected, older ones never change."""
+    """Bars by session partition; a batch may hold any part of a session.
+
+    A bar that isn't stored yet is always added. A stored one is replaced only in the latest ``recheck`` sessions and
+    never changes in older ones. Sessions a batch touches are merged with their stored rows, written aside and then put in
+    place, so a batch that is run again leaves the same rows. A bar that a batch brings twice counts once (the greater row).
+    """
+    keys = ["symbol", "date"]
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        days = batch.select("date").distinct()
+        rest = F.struct(*[c for c in batch.columns if c not in keys])
+        arrived = batch.groupBy(*keys).agg(F.max(rest).alias("_new"))
         if _exists(spark, path):
-            known = spark.read.schema(batch.schema).parquet(path).select("date").distinct()
-            recent = session_table(known, days).orderBy(F.desc("ord")).limit(recheck).select("date")
-            fresh = days.join(known, "date", "left_anti")
-            days = fresh.unionByName(days.join(F.broadcast(recent), "date", "left_semi")).distinct()
-        rows = batch.join(F.broadcast(days), "date", "left_semi")
-        rows.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+            stored = spark.read.schema(batch.schema).parquet(path)
+            days = arrived.select("date").distinct()
+            recent = session_table(stored, days).orderBy(F.desc("ord")).limit(recheck).select("date", F.lit(True).alias("_open"))
+            held = stored.join(days, "date", "left_semi").select(*keys, rest.alias("_old"))
+            both = held.join(arrived, keys, "full_outer").join(F.broadcast(recent), "date", "left")
+            kept = F.when(F.col("_old").isNull() | (F.col("_open") & F.col("_new").isNotNull()), F.col("_new")).otherwise(F.col("_old"))
+        else:
+            both, kept = arrived, F.col("_new")
+        rows = both.select(*keys, kept.alias("_kept")).select(*[c if c in keys else F.col("_kept")[c].alias(c) for c in batch.columns])
+        aside = f"{path}-merged/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(aside)
+        merged = spark.read.schema(batch.schema).parquet(aside)
+        spread = merged.repartition("date", F.pmod(F.xxhash64("symbol"), F.lit(8)))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        _removed(spark, aside)
 
     return run(bars, upsert, checkpoint, "append", every)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
