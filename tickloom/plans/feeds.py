@@ -446,6 +446,19 @@ def c14(m):
     return rows.select("url", "source_family", "dataset", S.url_param("url", "page").alias("requested"))
 
 
+@query(
+    "c14_source_status",
+    "select count(*) as items, count(distinct family) as families, case when count(*) > 0 and bool_and(family = 'A') then 'single_source' else 'missing_evidence' end as verification_status, lang from "
+    "(select case when regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) like '%.example.net' then 'A' else 'unknown' end as family, case when contains(url, '/en/') then 'en' else 'other' end as lang from pages) q group by lang",
+)
+def c14_status(m):
+    """Pages of one host family are one source; the status is taken for English pages and for all others."""
+    family = F.when(S.url_host("url").endswith(".example.net"), "A").otherwise("unknown")
+    rows = m.table("pages").select(family.alias("source_family"), F.contains("url", F.lit("/en/")).alias("_en"))
+    parts = [C.source_status(rows.filter(F.col("_en") == en), "A").withColumn("lang", F.lit(name)) for en, name in ((True, "en"), (False, "other"))]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "c16_allowed_links",
     "select page_id, case when url like 'https://%' and regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) in (select h from (select regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as h from pages group by 1 having count(*) > 1) t) then url else '' end as link from pages",

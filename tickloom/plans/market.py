@@ -684,7 +684,9 @@ def g4(m):
 
 @query("g5_classification_sources", "select distinct p_type as url, p_name as retrieved_at from part where p_size > 25")
 def g5(m):
-    rows = m.table("part").filter("p_size > 25").select(F.lit("stock").alias("kind"), F.col("p_type").alias("industry_source"), F.col("p_name").alias("industry_retrieved_at"))
+    """Parts over size 25 play stocks; the operator leaves the others out."""
+    kind = F.when(F.col("p_size") > 25, "stock").otherwise("etf")
+    rows = m.table("part").select(kind.alias("kind"), F.col("p_type").alias("industry_source"), F.col("p_name").alias("industry_retrieved_at"))
     return B.classification_sources(rows)
 
 

@@ -49,9 +49,9 @@ def k2(m):
     return keyed(rows.select(*A.ANCHOR, "c_ord", F.round("distance", 6).alias("distance")))
 
 
-@query("k3_top_k", oracle(f"select {DAY_KEYS}, c_ord, rk as rank from day_near where rk <= 10", "day_near"))
+@query("k3_top_k", oracle(f"select {DAY_KEYS}, c_ord, rk as rank from day_near where rk <= 60", "day_near"))
 def k3(m):
-    rows = A.nearest(day_anchors(m), m.research, 10)
+    rows = A.nearest(day_anchors(m), m.research, 60)
     return keyed(rows.select(*A.ANCHOR, "c_ord", F.col("rank").cast("long").alias("rank")))
 
 
@@ -176,6 +176,18 @@ def g12(m):
     return B.eligible_per_horizon(day_estimates(m))
 
 
+@query(
+    "g12_universe_counts",
+    oracle(
+        "select count(*) as universe_count, count(*) filter (where reasons = '') as analyzed_count, count(*) filter (where reasons <> '') as unavailable_count, count(*) filter (where s.kind = 'stock') as stocks, count(*) filter (where s.kind = 'etf') as etfs from day_est d join sec s on s.symbol = d.symbol where horizon = 7",
+        "day_est", "sec",
+    ),
+)
+def g12_universe(m):
+    rows = day_estimates(m).filter("horizon = 7").select("symbol", "reasons").join(m.securities.select("symbol", "kind"), "symbol")
+    return B.snapshot_coverage(rows)
+
+
 # --- walk-forward validation --------------------------------------------------------------------------------------
 
 
@@ -604,8 +616,12 @@ def b4(m):
     return home_rows(listed, m.features).select(text("as_of").alias("as_of"), "symbol", F.round("close", 6).alias("close"), "momentum5_pct")
 
 
-@query("b3_summary_split", oracle("select symbol, horizon, cast(date as varchar) as as_of, reasons = '' as eligible, score from day_est", "day_est"))
+@query("b3_summary_split", oracle("select symbol, horizon, cast(date as varchar) as as_of, reasons = '' as eligible, score, 0 as detail_columns from day_est", "day_est"))
 def b3(m):
-    from tickloom.sources.sinks import brief_rows
+    """Estimates that carry every detail column lose them all."""
+    from tickloom.sources.sinks import DETAIL_COLUMNS, brief_rows
 
-    return brief_rows(day_estimates(m)).select("symbol", "horizon", text("anchor_date").alias("as_of"), "eligible", "score")
+    detailed = day_estimates(m).withColumns({c: F.lit("detail") for c in DETAIL_COLUMNS})
+    brief = brief_rows(detailed)
+    left = sum(c in brief.columns for c in DETAIL_COLUMNS)
+    return brief.select("symbol", "horizon", text("anchor_date").alias("as_of"), "eligible", "score", F.lit(left).alias("detail_columns"))

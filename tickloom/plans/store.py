@@ -280,6 +280,11 @@ def p3(m):
     return M.mention_counts(unique(m), _SOURCES, AVAILABLE, m.now).withColumnRenamed("window", "win")
 
 
+@query("p3_mention_evidence", oracle("select symbol, source, id from uposts", "uposts"))
+def p3_evidence(m):
+    return M.mention_evidence(unique(m), m.now).select("symbol", "source", "id")
+
+
 @query("r7_mention_ranking", oracle(f"select win, symbol, total, row_number() over (partition by win order by total desc, symbol) as position from ({_COUNTS}) c", "uposts", "nowts"))
 def r7(m):
     rows = M.mention_ranking(M.mention_counts(unique(m), _SOURCES, AVAILABLE, m.now))
@@ -299,12 +304,32 @@ def p4(m):
     return M.retained_posts(previous, fresh, 2, m.now).select("source", "id", "refreshed")
 
 
+_ROLLUP = (
+    "select event_type as source, case when bool_and(ok) then 'success' when bool_or(ok) then 'partial' else 'failed' end as status from "
+    "(select event_type, cast(ts as date) as d, max(value) > case when event_type = 'view' then 1000 when event_type = 'click' then -1 else 100 end as ok from events group by 1, 2) q group by 1"
+)
+
+
+@query("p4_collection_gate", f"select bool_or(status in ('success', 'partial')) as accepted from ({_ROLLUP}) r")
+def p4_gate(m):
+    return M.refuse_empty_collection(p5_statuses(m))
+
+
+@query("p5_overall_status", f"select case when bool_and(status = 'success') then 'success' when bool_or(status in ('success', 'partial')) then 'partial' else 'failed' end as status from ({_ROLLUP}) r")
+def p5_overall(m):
+    return M.overall_status(p5_statuses(m))
+
+
 @query(
     "p5_status_rollup",
     "select event_type as source, count(*) as expected_batches, count(*) filter (where ok) as successful_batches, case when bool_and(ok) then 'success' when bool_or(ok) then 'partial' else 'failed' end as status from "
     "(select event_type, cast(ts as date) as d, max(value) > case when event_type = 'view' then 1000 when event_type = 'click' then -1 else 100 end as ok from events group by 1, 2) q group by 1",
 )
 def p5(m):
+    return p5_statuses(m)
+
+
+def p5_statuses(m: Market):
     limit = F.when(F.col("source") == "view", 1000).when(F.col("source") == "click", -1).otherwise(100)
     batches = m.events.groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("day")).agg(F.max("value").alias("v")).withColumn("ok", F.col("v") > limit)
     return M.status_rollup(batches)
@@ -456,6 +481,19 @@ def r9(m):
     return rows.select("symbol", F.round("gap_pct", 4).alias("gap_pct"), "direction", "position")
 
 
+@query("r9_opening_counts", oracle("select count(*) filter (where gap_pct > 0) as up, count(*) filter (where gap_pct < 0) as down, count(*) filter (where gap_pct = 0) as flat from lastq where gap_pct is not null", "lastq"))
+def r9_counts(m):
+    return R.opening_counts(Q.latest_quotes(quote_rows(m)))
+
+
+@query(
+    "s5_session_state",
+    "select event_id, case when isodow(ts) >= 6 or strftime(ts, '%H:%M:%S') < '09:00:00' then 'outside_session' when strftime(ts, '%H:%M:%S') < '13:30:00' then 'trading' else 'after_close' end as state from events",
+)
+def s5_session(m):
+    return m.events.select("event_id", Q.session_state(F.col("ts")).alias("state"))
+
+
 @query(
     "a22_batch_union",
     "select count(*) as batch_count, count(*) filter (where ok) as batches_ok, cast(sum(case when ok then n else 0 end) as bigint) as rows from (select user_id // 10 as batch, bool_and(event_type <> 'error' or value < 300) as ok, "
