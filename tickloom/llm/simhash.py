@@ -316,7 +316,7 @@ def _similarity(words: int):
     return run
 
 
-def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, within: int = 7, prints: int = 3, least: float = 0.8) -> DataFrame:
+def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, within: int = 7, prints: int = 5, least: float = 0.8) -> DataFrame:
     """`key` and `component` for every row of `df`, over links of texts whose shingles are alike (Jaccard) by `least` or more.
 
     Candidates come from `prints` independent fingerprints, each searched to `within` bits; the nearest candidates that connect all others are
