@@ -18,13 +18,24 @@ def folder(m: Market, name: str) -> str:
     return f"{checkpoint_dir(m.spark)}/streams-{m.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def event_stream(m: Market):
-    return jobs.file_stream(m.spark, f"{m.sf_dir}/events*.parquet", m.table("events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+def landed_events(m: Market, repeat: bool = False, late: int = 3):
+    """Events landed in four files of equal time, each a micro-batch; every fifth event comes up to ``late`` days late.
+
+    With ``repeat`` the third file lands twice.
+    """
+    events = m.table("events")
+    day = F.datediff("ts", F.lit("1970-01-01").cast("date")) + F.when(F.col("event_id") % 5 == 0, late).otherwise(0)
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    part = F.floor((day - first) * 4 / (last - first + 1))
+    source = folder(m, "events")
+    for k in (0, 1, 2, 2, 3) if repeat else (0, 1, 2, 3):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(source)
+    return jobs.file_stream(m.spark, source, events.schema, files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def quote_stream(m: Market):
     """Events as quotes; the filters against now are left to the watermark."""
-    e = event_stream(m)
+    e = landed_events(m, repeat=True)
     price = F.col("value")
     return e.filter(F.hour("ts") >= 9).select(
         F.col("event_id").alias("seq"), text("user_id").alias("symbol"), F.when(F.col("user_id") % 5 == 0, "etf").otherwise("stock").alias("kind"), price.alias("price"),
@@ -37,28 +48,24 @@ _DAYQ = "select *, row_number() over (partition by symbol order by ts desc, seq)
 
 @query("s2_latest_quote_stream", f"select symbol, seq, price from ({_DAYQ}) q where rn = 1")
 def s2(m):
-    out, check = folder(m, "latest"), folder(m, "latest-check")
-
-    def keep(batch, batch_id):
-        newest = batch.agg(F.max("day_start").alias("day_start"))
-        batch.join(F.broadcast(newest), "day_start").write.mode("overwrite").parquet(out)
-
-    jobs.run(jobs.latest_quote_stream(quote_stream(m)), keep, check, "complete").awaitTermination()
-    return m.spark.read.parquet(out).select("symbol", "seq", "price")
+    out = folder(m, "latest")
+    jobs.keep_latest(quote_stream(m), out, folder(m, "latest-check")).awaitTermination()
+    return jobs.newest_version(m.spark, out).select("symbol", "seq", "price")
 
 
 @query("s6_live_rankings", f"with q4 as (select * from ({_DAYQ}) q where rn = 1) select list, symbol, {rnd('value', 4, 'value')}, position from ({_INTRA}) z")
 def s6(m):
     out = folder(m, "lists")
     jobs.live_rankings(quote_stream(m), out, folder(m, "lists-check")).awaitTermination()
-    return m.spark.read.parquet(out).select("list", "symbol", F.round("value", 4).alias("value"), "position")
+    rows = jobs.newest_version(m.spark, f"{out}/lists")
+    return rows.select("list", "symbol", F.round("value", 4).alias("value"), "position")
 
 
 @query("s7_mention_partials_stream", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type as source, cast(user_id as varchar) as symbol, count(*) as mentions from events group by 1, 2, 3")
 def s7(m):
-    posts = event_stream(m).select(F.col("event_type").alias("source"), F.array(text("user_id")).alias("symbols"), F.col("ts").alias("published_at"))
+    posts = landed_events(m).select(F.col("event_type").alias("source"), F.array(text("user_id")).alias("symbols"), F.col("ts").alias("published_at"))
     out = folder(m, "partials")
-    jobs.mention_partials(posts, out, folder(m, "partials-check")).awaitTermination()
+    jobs.mention_partials(posts, out, folder(m, "partials-check"), compact_every=2).awaitTermination()
     rows = jobs.current_partials(m.spark, out)
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "source", "symbol", "mentions")
 
@@ -66,7 +73,7 @@ def s7(m):
 @query("s8_change_capture", oracle("select source, symbol, key, value, seq from ver", "ver"))
 def s8(m):
     week = F.date_trunc("week", "ts").cast("date")
-    arrivals = event_stream(m).select(
+    arrivals = landed_events(m, repeat=True, late=0).select(
         F.col("event_type").alias("source"), text("user_id").alias("symbol"), F.date_format(week, "yyyy-MM-dd").alias("key"), week.alias("data_date"), F.floor(F.col("value") / 100).cast("double").alias("value"),
         F.col("ts").alias("acquired_at"), F.lit(None).cast("timestamp").alias("published_at"), F.col("event_id").alias("seq"),
     )

@@ -36,8 +36,8 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
 def latest_quote_stream(quotes: DataFrame, late: str = LATE) -> DataFrame:
     """Newest quote per symbol and day as a native stateful aggregate.
 
-    State is one row per symbol and open day; a day closes once the watermark passes it, and quotes later than the
-    watermark of a closed day are dropped.
+    In update mode state is one row per symbol and open day; a day closes once the watermark passes it and leaves the
+    state, and quotes later than the watermark of a closed day are dropped.
     """
     row = F.struct(*[F.col(c) for c in quotes.columns if c not in ("symbol", "updated_at")])
     order = F.struct(F.col("updated_at"), (-F.col("seq")).alias("_s"))
@@ -49,15 +49,62 @@ def latest_quote_stream(quotes: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
+def published_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions under a path, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [(f.getPath().getName(), f.getPath().toString()) for f in fs.listStatus(root)]
+    return sorted(int(n[6:]) for n, full in names if n.startswith("batch=") and _exists(spark, f"{full}/_SUCCESS"))
+
+
+def publish_version(df: DataFrame, path: str, batch_id: int, keep: int = 2) -> None:
+    """Write a version beside the ones before it: readers never meet a half-written one. All but the newest go."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    for old in published_versions(spark, path)[:-keep]:
+        _removed(spark, f"{path}/batch={old}")
+
+
+def newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    known = [v for v in published_versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/batch={known[-1]}") if known else None
+
+
+def merge_latest(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """The newest day's latest quote per symbol: what was published before, replaced by what a micro-batch updated."""
+    spark = batch.sparkSession
+    stored = newest_version(spark, path, batch_id)
+    rows = batch.withColumn("_age", F.lit(1))
+    if stored is not None:
+        rows = rows.unionByName(stored.withColumn("_age", F.lit(0)))
+    row = F.struct(*[c for c in batch.columns if c not in ("symbol", "day_start")])
+    latest = rows.groupBy("day_start", "symbol").agg(F.max_by(row, F.struct("updated_at", "_age")).alias("_q"))
+    newest = rows.agg(F.max("day_start")).first()[0]
+    publish_version(latest.filter(F.col("day_start") == F.lit(newest)).select("day_start", "symbol", "_q.*"), path, batch_id)
+    return newest_version(spark, path)
+
+
+def keep_latest(quotes: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Publish the newest day's latest quotes after every trigger; ``newest_version`` reads them."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        merge_latest(batch.persist(), batch_id, path)
+        batch.unpersist()
+
+    return run(latest_quote_stream(quotes), publish, checkpoint, "update", every)
+
+
 def live_rankings(quotes: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Rank the latest quotes of the newest day after every trigger and replace the published lists."""
+    """Rank the latest quotes of the newest day after every trigger; ``newest_version`` of ``path/lists`` reads them."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("day_start").alias("day_start"))
-        current = batch.join(F.broadcast(newest), "day_start")
-        ranking.intraday_lists(current).write.mode("overwrite").parquet(path)
+        current = merge_latest(batch.persist(), batch_id, f"{path}/quotes")
+        publish_version(ranking.intraday_lists(current), f"{path}/lists", batch_id)
+        batch.unpersist()
 
-    return run(latest_quote_stream(quotes), publish, checkpoint, "complete", every)
+    return run(latest_quote_stream(quotes), publish, checkpoint, "update", every)
 
 
 def mention_partial_stream(posts: DataFrame, late: str = "7 days") -> DataFrame:
@@ -70,11 +117,24 @@ def mention_partial_stream(posts: DataFrame, late: str = "7 days") -> DataFrame:
     )
 
 
-def mention_partials(posts: DataFrame, path: str, checkpoint: str, late: str = "7 days", every: str | None = None) -> StreamingQuery:
-    """Publish updated hours as batch folders; ``current_partials`` reads the newest count of each hour."""
+def mention_partials(
+    posts: DataFrame, path: str, checkpoint: str, late: str = "7 days", every: str | None = None, compact_every: int = 20
+) -> StreamingQuery:
+    """Publish updated hours as batch folders; ``current_partials`` reads the newest count of each hour.
+
+    Every ``compact_every`` batches the folders so far become one, so readers never merge more than that many.
+    """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            aside = f"{path}-compact"
+            older = [v for v in published_versions(spark, path) if v < batch_id]
+            current_partials(spark, path).write.mode("overwrite").parquet(aside)
+            spark.read.parquet(aside).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            for v in older:
+                _removed(spark, f"{path}/batch={v}")
 
     return run(mention_partial_stream(posts, late), publish, checkpoint, "update", every)
 
@@ -104,16 +164,37 @@ def merge_arrivals(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
     return merged.filter("NOT _held").drop("_held")
 
 
+BUCKETS = 64
+
+
 def capture_changes(arrivals: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append-if-changed as a stream. A replayed batch reads only earlier batches and overwrites its own folder."""
+    """Append-if-changed as a stream: new versions per batch under ``path``, current versions under ``path-current``.
+
+    The current table is cut into buckets of identities, and a batch reads and rewrites only the buckets it touches. A
+    batch writes its versions before it updates the current table; run again, it finds them and only repeats the update.
+    """
+    current = f"{path}-current"
+    bucket = F.pmod(F.xxhash64(*pit.IDENTITY), F.lit(BUCKETS)).cast("int")
+
+    def held(spark: SparkSession, touched: list[int]) -> DataFrame | None:
+        if not _exists(spark, current):
+            return None
+        return spark.read.parquet(current).filter(F.col("bucket").isin(touched))
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = None
-        if batch_id > 0 and _exists(spark, f"{path}/batch=0"):
-            earlier = [f"{path}/batch={i}" for i in range(batch_id)]
-            stored = spark.read.option("basePath", path).parquet(*earlier).drop("batch")
-        merge_arrivals(stored, batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most BUCKETS numbers
+        out = f"{path}/batch={batch_id}"
+        stored = held(spark, touched)
+        if not _exists(spark, f"{out}/_SUCCESS"):
+            merge_arrivals(None if stored is None else stored.drop("bucket"), batch).write.mode("overwrite").parquet(out)
+        rows = spark.read.parquet(out).withColumn("bucket", bucket)
+        if stored is not None:
+            rows = rows.unionByName(stored)
+        latest = pit.latest_versions(rows)
+        latest.write.mode("overwrite").parquet(f"{path}-merged")
+        merged = spark.read.parquet(f"{path}-merged").repartition("bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(current)
 
     return run(arrivals, append, checkpoint, "append", every)
 
