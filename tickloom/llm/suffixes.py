@@ -119,7 +119,7 @@ def _key_rows(length: int):
     return run
 
 
-def _span_rows(length: int, kept: int = 20_000):
+def _span_rows(length: int, kept: int = 100_000):
     """Rows of two kinds: a place (doc, start) of each span with a repeated key, and the bytes of each distinct span with the
     number of its places, combined before they leave the task as far as `kept` entries go."""
 
@@ -133,7 +133,7 @@ def _span_rows(length: int, kept: int = 20_000):
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
             wanted = [np.array(w, dtype=np.int64) for w in batch.column(2).to_pylist()]
             for b, ends, number, offset in _pieces([raw(t) for t in batch.column(1).to_pylist()], length):
                 starts, counts, key = spans(b, ends, length)
@@ -147,18 +147,23 @@ def _span_rows(length: int, kept: int = 20_000):
                         keep[lo:hi] = np.isin(key[lo:hi], wanted[owner[lo]])
                 begin = np.r_[0, ends[:-1]]
                 data = b.tobytes()
-                rows = []
-                for s, n, k, p in zip(starts[keep].tolist(), counts[keep].tolist(), key[keep].tolist(), part[keep].tolist()):
+                starts, counts, key, part = starts[keep], counts[keep], key[keep], part[keep]
+                contents = []
+                for s, n, k in zip(starts.tolist(), counts.tolist(), key.tolist()):
                     own = data[s : s + n + length - 1]
                     content = xxhash.xxh3_64_intdigest(own) - (1 << 63)
-                    rows.append((k, content, n, docs[number[p]], s - int(begin[p]) + int(offset[p]), None, None))
+                    contents.append(content)
                     entry = held.get((k, content))
                     if entry is None:
                         held[k, content] = [n, 1, own]
                     else:
                         entry[1] += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                if contents:
+                    doc = docs[number[part]]
+                    at = starts - begin[part] + offset[part]
+                    columns = [key, np.array(contents, dtype=np.int64), counts.astype(np.int32), doc, at.astype(np.int64)]
+                    columns = [pa.array(x) for x in columns] + [pa.nulls(len(contents), pa.int64()), pa.nulls(len(contents), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 if len(held) > kept:
                     yield flushed()
         if held:
@@ -274,20 +279,27 @@ def _shard(length: int):
 def _cleaned(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Marks of all documents laid flat: for each run of window starts its first and end in the document.
+            marks = batch.column(2)
+            per_doc = np.r_[0, np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False))]
+            spans_ = marks.flatten()
+            lo, hi = spans_.field("lo"), spans_.field("hi")
+            runs = lo.value_lengths().to_numpy(zero_copy_only=False)
+            base = np.repeat(spans_.field("start").to_numpy(zero_copy_only=False), runs)
+            first = lo.flatten().to_numpy(zero_copy_only=False) + base
+            end = hi.flatten().to_numpy(zero_copy_only=False) + base + length - 1
+            per_span = np.r_[0, np.cumsum(runs)]
             rows = []
-            for doc, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 b = raw(text)
-                edge = np.zeros(len(b) + 1, dtype=np.int32)
-                for m in marks:
-                    lo = np.array(m["lo"], dtype=np.int64) + m["start"]
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, np.array(m["hi"], dtype=np.int64) + m["start"] + length - 1, -1)
+                own = slice(per_span[per_doc[k]], per_span[per_doc[k + 1]])
+                edge = np.bincount(first[own], minlength=len(b) + 1) - np.bincount(end[own], minlength=len(b) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
-                rows.append((doc, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), kept))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), kept))
+            cols = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds)]], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -309,7 +321,8 @@ def _removed(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
         raise ValueError(f"repeats are found from {2 * GRAM} bytes on")
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("doc", row_key("id", "text"))
     keys = parked(rows.select("doc", "text").mapInArrow(_key_rows(length), "doc long, key long"), "span-keys")
-    again = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Written, so that the join below reads plain shuffles and a key with many places can be split over tasks.
+    again = parked(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated-keys")
     wanted = keys.join(again, "key").groupBy("doc").agg(F.collect_set("key").alias("wanted"))
     held = parked(rows.join(wanted, "doc"), "span-documents")
     found = parked(
