@@ -11,7 +11,8 @@ from tickloom.llm.common import parked, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the active policy."""
-    return quality.apply_policy(quality.ledger(docs)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # no column of the input can clash
+    return quality.apply_policy(quality.ledger(rows)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
