@@ -305,7 +305,7 @@ def _cleaned(length: int):
 
 
 def row_key(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+    return F.xxhash64(F.col(key), F.col(text).cast("string"))
 
 
 def repeats_removed(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -313,39 +313,35 @@ def repeats_removed(df: DataFrame, key: str = "doc_id", text: str = "text", leng
 
     A document that isn't in the result keeps all it has; `removed_digest` adds those.
     """
-    return _removed(df, key, text, length).select(key, "n_bytes", "n_removed", "n_spans", "kept")
+    ids = df.select(F.col(key), row_key(key, text).alias("doc")).distinct()
+    return _removed(df, key, text, length).join(ids, "doc").select(key, "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def _removed(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """doc, n_bytes, n_removed, n_spans and kept; `doc` is the row's key."""
     if length < 2 * GRAM:
         raise ValueError(f"repeats are found from {2 * GRAM} bytes on")
-    rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("doc", row_key("id", "text"))
-    keys = parked(rows.select("doc", "text").mapInArrow(_key_rows(length), "doc long, key long"), "span-keys")
+    rows = df.select(row_key(key, text).alias("doc"), F.col(text).cast("string").alias("text"))
+    keys = parked(rows.mapInArrow(_key_rows(length), "doc long, key long"), "span-keys")
     # Written, so that the join below reads plain shuffles and a key with many places can be split over tasks.
     again = parked(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated-keys")
     wanted = keys.join(again, "key").groupBy("doc").agg(F.collect_set("key").alias("wanted"))
-    held = parked(rows.join(wanted, "doc"), "span-documents")
-    found = parked(
-        held.select("doc", "text", "wanted").mapInArrow(
-            _span_rows(length), "key long, content long, n int, doc long, start long, places long, data binary"
-        ),
-        "span-rows",
-    )
+    spans_schema = "key long, content long, n int, doc long, start long, places long, data binary"
+    found = parked(rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_span_rows(length), spans_schema), "span-rows")
     bytes_ = found.filter("places IS NOT NULL").select("key", "content", "places", "data")
     marks = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_shard(length), "key long, content long, lo array<bigint>, hi array<bigint>")
     places = found.filter("doc IS NOT NULL").select("key", "content", "doc", "start").join(marks, ["key", "content"])
     by_doc = places.groupBy("doc").agg(F.collect_set(F.struct("start", "lo", "hi")).alias("marks"))
-    cleaned = held.select("doc", "text", "id").join(by_doc, "doc")
-    out = cleaned.select("doc", "text", "marks").mapInArrow(_cleaned(length), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    ids = held.select("doc", "id").distinct()
-    return out.join(ids, "doc").select(F.col("id").alias(key), "doc", "n_bytes", "n_removed", "n_spans", "kept")
+    # Texts are shuffled anew from the input: holding those with repeats in between would take more room than that.
+    cleaned = rows.join(by_doc, "doc").select("doc", "text", "marks")
+    return cleaned.mapInArrow(_cleaned(length), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def removed_digest(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """`key`, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes, for every document."""
     gone = _removed(df, key, text, length).select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc"])
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    whole = df.select(F.col(key), F.xxhash64(F.col(key), F.col(text).cast("string")).alias("doc"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("_whole"))
+    whole = df.select(F.col(key), row_key(key, text).alias("doc"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("_whole"))
     return whole.join(gone, "doc", "left").select(
         key, "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256")
     )
