@@ -263,6 +263,15 @@ def test_alike_groups(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 4, 6: 6}
 
 
+def test_alike_groups_keeps_long_texts_with_one_recurring_line(spark):
+    line = " ".join(f"menu{k}" for k in range(11))
+    long = [" ".join(f"{line} {prose(700 + 1000 * k + j, 6, 10**6)}" for j in range(800)) for k in range(3)]
+    assert len({simhash.prints_of(t, 5)[0] for t in long}) == 1
+    rows = docs(spark, [*long, long[1].upper(), long[2] + " end"])
+    got = {r.doc_id: r.component for r in simhash.alike_groups(rows).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 2}
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]

@@ -39,19 +39,27 @@ SEED = 42
 SAMPLE = 4096
 
 
+def hashes_of(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included."""
+    return np.array([xxhash.xxh64_intdigest(r, SEED) for r in shingles(lower_words(text), words)], dtype="<u8")
+
+
 def prints_of(text: str | None, words: int = 4, count: int = 1) -> list[int]:
     """Fingerprints of a text: the first from the shingles' hashes, others from the same hashes mixed anew."""
-    runs = shingles(lower_words(text), words)
-    if not runs:
+    return _prints(hashes_of(text, words), count)
+
+
+def _prints(hashes: np.ndarray, count: int) -> list[int]:
+    if not len(hashes):
         return [0] * count
     total = np.zeros((count, 64), dtype=np.int64)
-    for at in range(0, len(runs), 65536):  # a long text is counted piece by piece
-        h = np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs[at : at + 65536]], dtype="<u8")
+    for at in range(0, len(hashes), 65536):  # a long text is counted piece by piece
+        h = hashes[at : at + 65536]
         for k in range(count):
             own = h if k == 0 else _mixed(h, k)
             bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(runs), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -316,34 +324,53 @@ def _similarity(words: int):
     return run
 
 
+def _described(words: int, count: int):
+    """For texts: a hash of the whole shingle set, and `count` fingerprints."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(texts), 1 + count), dtype=np.uint64)
+        for k, t in enumerate(texts):
+            h = hashes_of(t, words)
+            out[k, 0] = xxhash.xxh3_64_intdigest(np.unique(h).tobytes())
+            out[k, 1:] = _prints(h, count)
+        return pd.DataFrame(out.view(np.int64), columns=["node", *(f"fp{k}" for k in range(count))])
+
+    return run
+
+
+def _alike(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs of nodes `x`, `y` whose texts are alike by `least` or more."""
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    named = firsts.select("node", "own").join(nodes, "node")
+    texts = parked(rows.select("own", "text").join(named, "own").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("t")), "y")
+    return both.filter(F.pandas_udf(_similarity(words), "double")("s", "t") >= least).select(*pairs.columns)
+
+
 def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, within: int = 7, prints: int = 5, least: float = 0.8) -> DataFrame:
     """`key` and `component` for every row of `df`, over links of texts whose shingles are alike (Jaccard) by `least` or more.
 
-    Candidates come from `prints` independent fingerprints, each searched to `within` bits; the nearest candidates that connect all others are
-    verified on the texts. Texts with the same first fingerprint count as copies.
+    Texts with the same set of shingles are copies, one node. Candidates come from `prints` independent fingerprints, each searched to
+    `within` bits; the nearest candidates that connect all others are verified on the texts, and so are nodes that share a fingerprint.
     """
     names = tuple(f"fp{k}" for k in range(prints))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    all_prints = parked(fingerprints(rows, "text", words, names).select("key", *names), "prints")
-    firsts = parked(all_prints.groupBy("fp0").agg(*[F.min(c).alias(c) for c in ("key", *names[1:])]), "first-prints")
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
+    schema = ", ".join(f"{n} long" for n in ("node", *names))
+    described = rows.withColumn("_d", F.pandas_udf(_described(words, prints), schema)("text")).select("key", "own", "_d.*")
+    all_prints = parked(described, "prints")
+    firsts = parked(all_prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "own", *names)]), "first-prints")
     pairs = None
     for name in names:
-        held = firsts.groupBy(F.col(name).alias("fp")).agg(F.min("fp0").alias("node"))
+        held = firsts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("x"))
         near = parked(links(held.select("fp"), within), "near")
-        left, right = held.select(F.col("fp").alias("a"), F.col("node").alias("x")), held.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+        left, right = held.select(F.col("fp").alias("a"), "x"), held.select(F.col("fp").alias("b"), F.col("x").alias("y"))
         own = near.join(left, "a").join(right, "b").select("x", "y")
-        if name != "fp0":
-            same = firsts.select(F.col(name).alias("fp"), F.col("fp0").alias("y")).join(held, "fp").select(F.col("node").alias("x"), "y").filter("x != y")
-            own = own.unionByName(same)
+        same = firsts.select(F.col(name).alias("fp"), F.col("node").alias("y")).join(held, "fp").select("x", "y").filter("x != y")
+        own = own.unionByName(same)
         pairs = own if pairs is None else pairs.unionByName(own)
     pairs = parked(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    keys = firsts.join(nodes, firsts.fp0 == nodes.node).select("node", "key")
-    texts = parked(rows.join(keys, "key").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("t")), "y")
-    alike = both.filter(F.pandas_udf(_similarity(words), "double")("s", "t") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(alike)
-    rooted = firsts.select("fp0", F.col("key").alias("first")).join(roots, F.col("fp0") == F.col("node"), "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
+    roots = components(_alike(pairs, firsts, rows, words, least), "x", "y")
+    rooted = firsts.select(F.col("node").alias("of"), F.col("key").alias("first")).join(roots, F.col("of") == F.col("node"), "left").select("of", "first", F.coalesce("root", "of").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(lowest, "root").select("fp0", "component")
-    return all_prints.join(named, "fp0").select(F.col("key").alias(key), "component")
+    named = rooted.join(lowest, "root").select(F.col("of").alias("node"), "component")
+    return all_prints.join(named, "node").select(F.col("key").alias(key), "component")
