@@ -272,6 +272,42 @@ def test_alike_groups_keeps_long_texts_with_one_recurring_line(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 2}
 
 
+def test_alike_groups_finds_every_pair_near_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIR_ROWS", 300)  # runs go over many batches
+    template, texts = prose(80, 60, 10**6), []
+    for k in range(40):
+        words = f"{template if k % 2 else prose(3000 + k, 60, 10**6)} {prose(5000 + k, 140, 10**6)}".split()
+        texts.append(" ".join(words))
+        for j in range(k % 3 + 1):  # J of 0.78 to 0.85 with the first, changed in other places
+            at, n = 60 + 45 * j, 13 + k % 7
+            texts.append(" ".join([*words[:at], *(f"new{k}x{j}x{i}" for i in range(n)), *words[at + n :]]))
+    sets = [set(shingles(lower_words(t), 5)) for t in texts]
+    own = simhash.Forest(len(texts))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                own.join(i, j)
+    got = {r.doc_id: r.component for r in simhash.alike_groups(docs(spark, texts)).collect()}
+    assert got == {k: own.root(k) for k in range(len(texts))} and len(set(got.values())) < len(texts) - 30
+
+
+def test_set_pairs_meet_all_alike_sets(spark):
+    rng, nodes = random.Random(8), []
+    for k in range(60):
+        base = set(range(1000 * (k % 12), 1000 * (k % 12) + 40 + k % 5))
+        nodes.append(np.array(sorted(base - {rng.choice(sorted(base)) for _ in range(k % 6)} | {10**6 + 7 * k}), dtype=np.uint64))
+    common = np.arange(0, 12000, 3, dtype=np.uint64)
+    rows = []
+    for k, own in enumerate(nodes):
+        first, rare = simhash.prefix(own, common, common.astype(np.int64) % 50 + 3, 0.8)
+        rows.append((k, k % 7, len(own), rare, first.astype(np.int64).tolist()))
+    table = spark.createDataFrame(rows, "node long, group long, size long, rare long, prefix array<bigint>")
+    sets = [set(n.tolist()) for n in nodes]
+    want = {(i, j) for j in range(60) for i in range(j) if i % 7 != j % 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    for run_rows in (5000, 2):  # the second deals common shingles into blocks
+        assert want and want <= {(r.x, r.y) for r in simhash.set_pairs(table, 0.8, run_rows).collect()}
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]

@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -35,8 +35,10 @@ from tickloom.llm.common import lower_words, parked, shingles
 from tickloom.llm.graph import components
 
 SEED = 42
-# The sample that only steers cost.
-SAMPLE = 4096
+# Samples that only steer cost: fingerprints of a plan, texts whose shingles are counted, and how many common shingles are kept.
+SAMPLE, SAMPLE_TEXTS, MAX_COMMON = 4096, 16384, 500_000
+# Rows of shingles that are paired at a time.
+PAIR_ROWS = 65536
 
 
 def hashes_of(text: str | None, words: int) -> np.ndarray:
@@ -324,20 +326,114 @@ def _similarity(words: int):
     return run
 
 
-def _described(words: int, count: int):
-    """For texts: a hash of the whole shingle set, and `count` fingerprints."""
+def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that several texts of a sample have."""
+    step = max(1, rows.count() // SAMPLE_TEXTS)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(hashes_of(t, words)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["h"])
+
+    some = rows.filter(F.pmod("own", F.lit(step)) == 0).select("text").mapInArrow(each, "h long")
+    counted = some.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MAX_COMMON).toPandas()
+    h, n = counted["h"].to_numpy(dtype=np.int64).view(np.uint64), counted["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The rarest of a set's sorted hashes, by sampled count and hash, and how many of them aren't common.
+
+    There are so many that two sets alike by `least` share one of them, whatever the counts.
+    """
+    size = min(len(own), len(own) - ceil(least * len(own) - 1e-9) + 1)
+    rank = np.zeros(len(own), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, counts[at], 0)
+    first = np.argsort(rank, kind="stable")[:size]
+    return own[first], int((rank[first] == 0).sum())
+
+
+def _described(words: int, count: int, least: float, common):
+    """For texts: a hash of the whole shingle set, `count` fingerprints, the set's size and its rarest shingles."""
+    names = [*(f"fp{k}" for k in range(count)), "node", "size", "rare", "prefix"]
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(texts), 1 + count), dtype=np.uint64)
-        for k, t in enumerate(texts):
+        rows = []
+        for t in texts:
             h = hashes_of(t, words)
-            out[k, 0] = xxhash.xxh3_64_intdigest(np.unique(h).tobytes())
-            out[k, 1:] = _prints(h, count)
-        return pd.DataFrame(out.view(np.int64), columns=["node", *(f"fp{k}" for k in range(count))])
+            own = np.unique(h)
+            first, rare = prefix(own, *common.value, least)
+            ids = np.array([*_prints(h, count), xxhash.xxh3_64_intdigest(own.tobytes())], dtype=np.uint64).view(np.int64)
+            rows.append((*ids.tolist(), len(own), rare, first.view(np.int64)))
+        return pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def _set_pairs(least: float):
+    """Pairs of nodes of different groups that share a shingle, of rows sorted by file: those that sizes and places in the sets' order allow."""
+
+    def pairs(file: np.ndarray, shingle: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, far = np.arange(len(file)), 0
+        while True:
+            far += 1
+            i = i[i + far < len(file)]
+            i = i[file[i] == file[i + far]]
+            if not len(i):
+                return
+            j = i + far
+            keep = (shingle[i] == shingle[j]) & (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+            both = np.minimum(size[i] - place[i], size[j] - place[j])  # at most so many in common, if this is their first
+            keep &= (1 + least) * both >= least * (size[i] + size[j]) - 1e-6
+            a, b = i[keep], j[keep]
+            if len(a):
+                turn = node[a] > node[b]
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], group[a], group[b])], ["x", "y", "gx", "gy"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held.append(now)
+            rows += len(now[0])
+            if rows < PAIR_ROWS:
+                continue
+            every = tuple(map(np.concatenate, zip(*held)))
+            cut = int(np.searchsorted(every[0], every[0][-1]))  # the last run may go on in the next batch
+            if cut:
+                yield from pairs(*(x[:cut] for x in every))
+            held = [tuple(x[cut:] for x in every)]
+            rows = 0  # a long run is looked at again after as many rows
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held)))
 
     return run
 
 
+def set_pairs(sets: DataFrame, least: float, run_rows: int = 5_000) -> DataFrame:
+    """Distinct pairs `x`, `y` with groups `gx`, `gy`: among them all nodes of different groups that are alike by `least`.
+
+    `sets` has node, group, size, rare and prefix. Common shingles are counted first: those of one group alone need no pairs, and those of many
+    rows are dealt into blocks, each pair of which is a file of its own.
+    """
+    rows = sets.select("node", "group", "size", "rare", F.posexplode("prefix").alias("place", "shingle"))
+    short = rows.filter("place < rare").withColumn("file", F.col("shingle"))
+    common = rows.filter("place >= rare")
+    sizes = common.groupBy("shingle").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+    sizes = parked(sizes.select("shingle", F.ceil(F.col("n") / run_rows).cast("int").alias("blocks")), "common-shingles")
+    dealt = common.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("file", F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other")))
+    columns = ("file", "shingle", "node", "group", "size", "place")
+    filed = short.select(*columns).unionByName(dealt.select(*columns))
+    return filed.repartition("file").sortWithinPartitions("file").mapInArrow(_set_pairs(least), "x long, y long, gx long, gy long").distinct()
+
+
 def _alike(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs of nodes `x`, `y` whose texts are alike by `least` or more."""
     nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
@@ -352,13 +448,17 @@ def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     Texts with the same set of shingles are copies, one node. Candidates come from `prints` independent fingerprints, each searched to
     `within` bits; the nearest candidates that connect all others are verified on the texts, and so are nodes that share a fingerprint.
+    What this links are groups, found cheaply. An exact join completes them: alike sets share one of their rarest shingles, so every pair of
+    nodes of different groups that does is verified as well. No link is lost, however the fingerprints fall.
     """
     names = tuple(f"fp{k}" for k in range(prints))
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
-    schema = ", ".join(f"{n} long" for n in ("node", *names))
-    described = rows.withColumn("_d", F.pandas_udf(_described(words, prints), schema)("text")).select("key", "own", "_d.*")
+    schema = ", ".join(f"{n} long" for n in (*names, "node", "size", "rare")) + ", prefix array<bigint>"
+    common = df.sparkSession.sparkContext.broadcast(_common_shingles(rows, words))
+    described = rows.withColumn("_d", F.pandas_udf(_described(words, prints, least, common), schema)("text")).select("key", "own", "_d.*")
     all_prints = parked(described, "prints")
-    firsts = parked(all_prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "own", *names)]), "first-prints")
+    firsts = all_prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "own", "size", "rare", *names)], F.first("prefix").alias("prefix"))
+    firsts = parked(firsts, "first-prints")
     pairs = None
     for name in names:
         held = firsts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("x"))
@@ -369,8 +469,12 @@ def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
         own = own.unionByName(same)
         pairs = own if pairs is None else pairs.unionByName(own)
     pairs = parked(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    roots = components(_alike(pairs, firsts, rows, words, least), "x", "y")
-    rooted = firsts.select(F.col("node").alias("of"), F.col("key").alias("first")).join(roots, F.col("of") == F.col("node"), "left").select("of", "first", F.coalesce("root", "of").alias("root"))
+    roots = components(_alike(pairs, firsts, rows, words, least), "x", "y").withColumnRenamed("node", "of")
+    grouped = firsts.join(roots, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("root", "node"))
+    grouped = parked(grouped.select("node", "key", "group", "size", "rare", "prefix"), "groups")
+    more = _alike(parked(set_pairs(grouped, least), "set-pairs"), firsts, rows, words, least)
+    roots = components(more, "gx", "gy").withColumnRenamed("node", "of")
+    rooted = grouped.join(roots, F.col("group") == F.col("of"), "left").select(F.col("node").alias("of"), F.col("key").alias("first"), F.coalesce("root", "group").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(lowest, "root").select(F.col("of").alias("node"), "component")
     return all_prints.join(named, "node").select(F.col("key").alias(key), "component")
