@@ -164,6 +164,21 @@ def test_containment_against_brute_force(spark):
     assert containment.contained(docs(spark, texts).limit(0), table).count() == 0
 
 
+def test_containment_of_short_items_in_long_documents(spark):
+    items = [prose(9000 + k, 5 + k % 16, 5000) for k in range(120)]
+    texts = []
+    for k in range(120):
+        words = items[k].split()
+        if len(words) >= 14 and k % 2:
+            words[-1] = "changed"  # 0.9 to 0.94 is left
+        texts.append(f"{prose(k, 900, 5000)} {' '.join(words)} {prose(300 + k, 900, 5000)}")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    sets = [set(shingles(plain_words(t), 5)) for t in texts]
+    own = [set(shingles(plain_words(t), 5)) for t in items]
+    want = {(d, i) for d, s in enumerate(sets) for i, o in enumerate(own) if len(o & s) >= 0.8 * len(o)}
+    assert {(r.doc_id, r.item_id) for r in containment.contained(docs(spark, texts), table).collect()} == want and len(want) >= 120
+
+
 def test_pieces_are_the_best_and_exact(spark):
     codec = pieces.built(pieces.model_bytes())
     import sentencepiece

@@ -1,7 +1,8 @@
 """Benchmark decontamination: which documents hold a test item, by size-partitioned MinHash containment search.
 
 Items and documents are sets of five-word shingles over letters and digits (A-Z lower-cased). Items are partitioned by size:
-class B holds items of B/2 < n <= B shingles. For each class a document is read as overlapping windows of two neighbouring
+class B holds items of B/2 < n <= B shingles. Items of up to 32 shingles are too small for minima; they are keyed by as many of
+their shingles as a document that holds enough of them can't all lack (n - 0.8 n + 1), and are found exactly. For each other class a document is read as overlapping windows of two neighbouring
 blocks of B shingles, so a short item inside a document of any length meets a window of about its own size, and a MinHash
 signature finds it: with containment 0.8 a window and the item agree in one of 48 minima with probability over 0.9999.
 The minima of larger blocks come from those of smaller ones, so each shingle is hashed once.
@@ -17,6 +18,7 @@ found only where it is a whole document. Repeated documents and items give a row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -62,23 +64,38 @@ def size_class(n: int) -> int:
 
 def keys(minima: np.ndarray, cls: int) -> np.ndarray:
     """Minima made distinct by class and permutation."""
-    salt = np.arange(MINIMA, dtype=np.uint64) + np.uint64(cls * MINIMA + 1)
+    salt = np.arange(minima.shape[1], dtype=np.uint64) + np.uint64(cls * MINIMA + 1)
     mixed = (minima ^ salt[None, :] * _MIX) * _MIX
     return mixed ^ mixed >> np.uint64(29)
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, classes, rows = [], [], []
-        for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h = np.unique(hashes(text))
-            if len(h):
-                cls = size_class(len(h))
-                own = np.unique(keys((h[:, None] * _ODD[None, :]).min(axis=0)[None, :], cls)).view(np.int64).tolist()
-                rows += own
-                ids += [k] * len(own)
-                classes += [cls] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.int32())], ["key", "item", "cls"])
+def shingle_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of single shingles, distinct from those of minima."""
+    return keys(h[:, None], 0)[:, 0]
+
+
+def item_keys(h: np.ndarray, least: float) -> np.ndarray:
+    """The keys of an item with the distinct hashes `h`."""
+    cls = size_class(len(h))
+    if cls:
+        return np.unique(keys((h[:, None] * _ODD[None, :]).min(axis=0)[None, :], cls))
+    return np.unique(shingle_keys(h))[: max(1, len(h) - ceil(least * len(h) - 1e-9) + 1)]
+
+
+def _item_rows(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, classes, rows = [], [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.unique(hashes(text))
+                if len(h):
+                    own = item_keys(h, least).view(np.int64).tolist()
+                    rows += own
+                    ids += [k] * len(own)
+                    classes += [size_class(len(h))] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.int32())], ["key", "item", "cls"])
+
+    return run
 
 
 def _bits(key: np.ndarray, size: int, k: int) -> np.ndarray:
@@ -111,15 +128,18 @@ def _searcher(classes: list[int], filled):
         for batch in batches:
             rows, hits = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                minima = block_minima(hashes(text))
-                if not len(minima) or not classes:
+                h = hashes(text)
+                if not len(h) or not classes:
                     continue
+                minima = block_minima(h) if classes[-1] else None
                 passed, cls = [], 0
                 for wanted in classes:
                     while cls < wanted:
                         minima, cls = merged(minima), cls + 1
-                    windows = np.minimum(minima[:-1], minima[1:]) if len(minima) > 1 else minima
-                    key = np.unique(keys(windows, cls))
+                    if cls:
+                        key = np.unique(keys(np.minimum(minima[:-1], minima[1:]) if len(minima) > 1 else minima, cls))
+                    else:
+                        key = np.unique(shingle_keys(h))
                     for k in range(4):
                         at = _bits(key, size, k)
                         key = key[table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1]
@@ -145,7 +165,7 @@ def _shared(doc: pd.Series, item: pd.Series) -> pd.DataFrame:
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", least: float = LEAST, text: str = "text") -> DataFrame:
     """Pairs `doc_id`, `item_id` with n_shingles (of the item), n_shared and containment of `least` or more."""
     items = items.select(F.col(item_id).alias("item"), F.col(text).cast("string").alias("words"))
-    found = parked(items.mapInArrow(_item_rows, f"key long, item {items.schema['item'].dataType.simpleString()}, cls int"), "item-keys")
+    found = parked(items.mapInArrow(_item_rows(least), f"key long, item {items.schema['item'].dataType.simpleString()}, cls int"), "item-keys")
     classes = sorted(r[0] for r in found.select("cls").distinct().collect())  # one for each doubling of size
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, text string, keys array<bigint>"
