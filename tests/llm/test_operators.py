@@ -425,5 +425,15 @@ def test_wrappers_align_and_find_the_main_element(spark):
     assert [(n[0], n[2], n[5]) for n in both[6]] == [("p", False, " same"), ("table", True, ""), ("div", False, None)]
 
 
+def test_pages_keep_every_article_and_compare_whole_texts(spark):
+    pages = [(k, f"http://a.net/{k}", f"<body><article class=x><p>short {k}</article><div class=ad>buy</div><article class=y><p>the longer one {k}</article></body>") for k in range(5)]
+    table = spark.createDataFrame([*pages, (9, None, "<article>a</article><article>longer</article>")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extracted(table).collect()}
+    assert got == {**{k: f"short {k}\n\nthe longer one {k}" for k in range(5)}, 9: "a\n\nlonger"}
+    start = "the same first words of a text " * 4
+    both = wrappers.merged(wrappers.tree(f"<p>{start} one</p><div>{start}</div>"), wrappers.tree(f"<p>{start} two</p><div>{start}</div>"))
+    assert both[6][0][5] is None and both[6][1][5] is not None
+
+
 def test_batches_are_small():
     assert BATCH_ROWS <= 1000

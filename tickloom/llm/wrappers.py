@@ -26,6 +26,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,32 +174,44 @@ def _node(signature: str) -> list:
     return [signature, False, False, 1, 0, "", []]
 
 
+def _literal(parts: list[str]) -> str:
+    """The text of a block as wrappers compare it: the words, or if they are long, the first and a hash of all."""
+    words = "".join(f" {p}" for p in parts)
+    return words if len(words) <= 64 else f"{words[:48]}#{xxhash.xxh3_128_hexdigest(words.encode('utf-8', 'surrogatepass'))}"
+
+
 class _Tree(Walk):
     def __init__(self):
         super().__init__()
         self.root = _node("page")
         self.open = [self.root]
+        self.texts: list[list[str]] = [[]]
 
     def opened(self, name, signature, inside, main):
         own = _node(("!" if inside else "") + signature)
         self.open[-1][CHILDREN].append(own)
         self.open.append(own)
+        self.texts.append([])
 
     def closed(self, name, signature, inside):
+        self.finished()
+
+    def finished(self):
         own = self.open.pop()
+        own[LITERAL] = _literal(self.texts.pop())
         own[CHILDREN] = folded(own[CHILDREN])
 
     def text(self, value):
         own, words = self.open[-1], " ".join(value.split())
         if words:
             own[CHARS] += len(words)
-            own[LITERAL] = (own[LITERAL] + " " + words)[:64]
+            self.texts[-1].append(words)
 
 
 def tree(page: str) -> list:
     built = _Tree()
     built.run(page)
-    built.root[CHILDREN] = folded(built.root[CHILDREN])
+    built.finished()
     return built.root
 
 
@@ -262,6 +275,9 @@ def main_path(wrapper: list) -> dict:
     return {"path": path, "articles": repeats(wrapper)}
 
 
+NO_WRAPPER = {"path": [], "articles": False}
+
+
 class _Text(Walk):
     """Blocks of visible text under each candidate for the main element."""
 
@@ -309,14 +325,16 @@ class _Text(Walk):
 
 
 def main_text(page: str | None, wrapper: dict | None = None) -> str:
-    """The main text of a page: its blocks in order with two line breaks between."""
-    wrapper = wrapper or {"path": [], "articles": False}
-    walk = _Text(wrapper["path"])
+    """The main text of a page: its blocks in order with two line breaks between.
+
+    All articles outside boilerplate are kept; without any wrapper (a page alone) the longest one is.
+    """
+    walk = _Text(wrapper["path"] if wrapper else [])
     walk.run(page or "")
     for kind in ("article", "main", "wrapper", "body"):
         found = [blocks for k, blocks in walk.regions if k == kind and blocks]
         if found:
-            if kind == "article" and not wrapper["articles"]:
+            if kind == "article" and wrapper is None:
                 found = [max(found, key=lambda blocks: sum(map(len, blocks)))]
             return "\n\n".join(block for blocks in found for block in blocks)
     return ""
@@ -390,7 +408,7 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", out: str =
         for p, w in zip(html_, wrapper):
             if w is not None and w not in read:
                 read[w] = json.loads(w)
-            texts.append(main_text(p, read.get(w)))
+            texts.append(main_text(p, read.get(w, NO_WRAPPER)))
         return pd.Series(texts, dtype=object)
 
     rows = pages.select(F.struct(*pages.columns).alias("_row"), host_of(F.col(url).cast("string")).alias("_of"))
