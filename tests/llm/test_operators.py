@@ -435,5 +435,14 @@ def test_pages_keep_every_article_and_compare_whole_texts(spark):
     assert both[6][0][5] is None and both[6][1][5] is not None
 
 
+def test_pages_with_thousands_of_open_blocks(spark):
+    pages = [(k, "http://deep.net/", "<body>" + "<div><blockquote>" * (2000 + k) + f"<p>deep text {k}") for k in range(4)]
+    pages += [(8, "http://flat.net/", "<body><div><p>one</div>"), (9, "http://deep.net/", "<body>" + "<ul>" * 5000 + "<li>end")]
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {**{k: f"deep text {k}" for k in range(4)}, 8: "one", 9: "end"}
+    built = wrappers.tree("<ul><li>a<li>b</ul><h2>x</h2><p>y<div><p>z</div>")
+    assert wrappers._read(wrappers._json(built)) == built
+
+
 def test_batches_are_small():
     assert BATCH_ROWS <= 1000

@@ -21,7 +21,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -215,64 +215,105 @@ def tree(page: str) -> list:
     return built.root
 
 
+def _run(step: Generator):
+    """Runs steps that yield the steps they need: pages nest deeper than Python recurses, so open steps are held in a list."""
+    held, value = [step], None
+    while held:
+        try:
+            held.append(held[-1].send(value))
+            value = None
+        except StopIteration as end:
+            held.pop()
+            value = end.value
+    return value
+
+
 def merged(a: list, b: list, pages: bool = True) -> list:
     """Two nodes of one signature as one: the alignment of their children, a slot where their texts differ."""
+    return _run(_merged(a, b, pages))
+
+
+def aligned(a: list[list], b: list[list], pages: bool = True) -> list[list]:
+    return _run(_aligned(a, b, pages))
+
+
+def folded(nodes: list[list]) -> list[list]:
+    """Equal neighbours, alone or as sequences of two or three, as one repeated group."""
+    return _run(_folded(nodes)) if len(nodes) > 1 else nodes
+
+
+def _merged(a: list, b: list, pages: bool) -> Generator:
+    children = (yield _aligned(a[CHILDREN], b[CHILDREN], pages)) if a[CHILDREN] or b[CHILDREN] else []
     return [
         a[SIG], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]),
-        a[CHARS] + b[CHARS], a[LITERAL] if a[LITERAL] == b[LITERAL] else None, aligned(a[CHILDREN], b[CHILDREN], pages),
+        a[CHARS] + b[CHARS], a[LITERAL] if a[LITERAL] == b[LITERAL] else None, children,
     ]
 
 
-def aligned(a: list[list], b: list[list], pages: bool = True) -> list[list]:
-    if not a and not b:
-        return []
+def _aligned(a: list[list], b: list[list], pages: bool) -> Generator:
     out = []
     for kind, i, j, k, m in SequenceMatcher(None, [x[SIG] for x in a], [x[SIG] for x in b], autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [merged(x, y, pages) for x, y in zip(a[i:j], b[k:m])]
+            for x, y in zip(a[i:j], b[k:m]):
+                out.append((yield _merged(x, y, pages)))
         else:
             out += [[*x[:OPTIONAL], True, *x[PAGES:]] for x in (*a[i:j], *b[k:m])]
-    return folded(out)
+    return (yield _folded(out)) if len(out) > 1 else out
 
 
-def folded(nodes: list[list]) -> list[list]:
-    """Equal neighbours, alone or as sequences of two or three, as one repeated group."""
+def _folded(nodes: list[list]) -> Generator:
     out: list[list] = []
     for own in nodes:
         if out and out[-1][SIG] == own[SIG]:
-            out[-1] = merged(out[-1], own, False)
+            out[-1] = yield _merged(out[-1], own, False)
             out[-1][REPEATED] = True
         else:
             out.append(own)
         for size in (2, 3):
             if len(out) >= 2 * size and all(x[SIG] == y[SIG] for x, y in zip(out[-2 * size : -size], out[-size:])):
-                out[-2 * size :] = [[*merged(x, y, False)[:1], True, *merged(x, y, False)[2:]] for x, y in zip(out[-2 * size : -size], out[-size:])]
+                both = []
+                for x, y in zip(out[-2 * size : -size], out[-size:]):
+                    both.append((yield _merged(x, y, False)))
+                    both[-1][REPEATED] = True
+                out[-2 * size :] = both
+    return out
+
+
+def _every(node: list) -> list[list]:
+    """A node and all below it, in page order."""
+    out, todo = [], [node]
+    while todo:
+        own = todo.pop()
+        out.append(own)
+        todo += reversed(own[CHILDREN])
     return out
 
 
 def slot_chars(node: list) -> int:
     """Characters in a node's slots; boilerplate and texts that all pages share don't count."""
-    if node[SIG].startswith("!"):
-        return 0
-    own = node[CHARS] if node[LITERAL] is None or node[PAGES] < 2 else 0
-    return own + sum(slot_chars(x) for x in node[CHILDREN])
+    return _slots(node)[id(node)]
+
+
+def _slots(node: list) -> dict[int, int]:
+    """`slot_chars` of a node and of all below it, by their identity."""
+    out: dict[int, int] = {}
+    for own in reversed(_every(node)):
+        slots = own[CHARS] if own[LITERAL] is None or own[PAGES] < 2 else 0
+        out[id(own)] = 0 if own[SIG].startswith("!") else slots + sum(out[id(x)] for x in own[CHILDREN])
+    return out
 
 
 def main_path(wrapper: list) -> dict:
     """Path of signatures to the deepest element that keeps most of the text, and whether articles repeat."""
-    path, at = [], wrapper
+    path, at, slots = [], wrapper, _slots(wrapper)
     while True:
-        best = max(at[CHILDREN], key=slot_chars, default=None)
+        best = max(at[CHILDREN], key=lambda x: slots[id(x)], default=None)
         name = best[SIG].split(".")[0] if best else ""
-        if best is None or name not in ("html", "body", "div", "section", "main", "article", "table", "tbody", "tr", "td", "center") or 10 * slot_chars(best) < 6 * slot_chars(at) or not slot_chars(best):
+        if best is None or name not in ("html", "body", "div", "section", "main", "article", "table", "tbody", "tr", "td", "center") or 10 * slots[id(best)] < 6 * slots[id(at)] or not slots[id(best)]:
             break
         path.append(best[SIG])
         at = best
-
-    def repeats(node: list) -> bool:
-        return node[SIG].split(".")[0] == "article" and node[REPEATED] or any(repeats(x) for x in node[CHILDREN])
-
-    return {"path": path, "articles": repeats(wrapper)}
+    return {"path": path, "articles": any(x[REPEATED] and x[SIG].split(".")[0] == "article" for x in _every(wrapper))}
 
 
 NO_WRAPPER = {"path": [], "articles": False}
@@ -341,7 +382,21 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
 
 
 def _json(node: list) -> str:
-    return json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+    """A tree as a flat list: every node in page order with the number of its children in their place."""
+    return json.dumps([[*x[:CHILDREN], len(x[CHILDREN])] for x in _every(node)], ensure_ascii=False, separators=(",", ":"))
+
+
+def _read(shape: str) -> list:
+    nodes = json.loads(shape)
+    wanting: list[tuple[list, int]] = []  # open nodes and how many children they should have
+    for own in nodes:
+        count, own[CHILDREN] = own[CHILDREN], []
+        while wanting and len(wanting[-1][0]) == wanting[-1][1]:
+            wanting.pop()
+        if wanting:
+            wanting[-1][0].append(own)
+        wanting.append((own[CHILDREN], count))
+    return nodes[0]
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +424,7 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for batch in batches:
         for p, h, shape in zip(*(c.to_pylist() for c in batch.columns)):
-            own = json.loads(shape)
+            own = _read(shape)
             if (p, h) != (part, host):
                 if wrapper is not None:
                     out.append((host, _json(wrapper)))
@@ -394,7 +449,7 @@ def inferred(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
 
 
 def _path_of(wrappers: pd.Series) -> pd.Series:
-    return pd.Series([json.dumps(main_path(json.loads(w))) for w in wrappers], dtype=object)
+    return pd.Series([json.dumps(main_path(_read(w))) for w in wrappers], dtype=object)
 
 
 def extracted(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
