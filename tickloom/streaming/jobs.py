@@ -122,25 +122,30 @@ def mention_partials(
 ) -> StreamingQuery:
     """Publish updated hours as batch folders; ``current_partials`` reads the newest count of each hour.
 
-    Every ``compact_every`` batches the folders so far become one, so readers never merge more than that many.
+    Every ``compact_every`` batches the folders so far become one version beside them, so readers never merge more than that
+    many. A replayed batch overwrites only its own folder, never a compacted version.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         if (batch_id + 1) % compact_every == 0:
-            aside = f"{path}-compact"
-            older = [v for v in published_versions(spark, path) if v < batch_id]
-            current_partials(spark, path).write.mode("overwrite").parquet(aside)
-            spark.read.parquet(aside).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-            for v in older:
-                _removed(spark, f"{path}/batch={v}")
+            whole = f"{path}-compact"
+            if batch_id not in published_versions(spark, whole):
+                publish_version(current_partials(spark, path), whole, batch_id)
+            for v in published_versions(spark, path):
+                if v < batch_id:
+                    _removed(spark, f"{path}/batch={v}")
 
     return run(mention_partial_stream(posts, late), publish, checkpoint, "update", every)
 
 
 def current_partials(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
+    compacted = published_versions(spark, f"{path}-compact")
+    if compacted:
+        whole = spark.read.parquet(f"{path}-compact/batch={compacted[-1]}").withColumn("batch", F.lit(compacted[-1]))
+        rows = rows.filter(F.col("batch") > compacted[-1]).unionByName(whole)
     return rows.groupBy("hour", "source", "symbol").agg(F.max_by("mentions", "batch").alias("mentions"))
 
 
