@@ -109,24 +109,28 @@ ALPHABET = [*"ab 1.'\n\t é日　\x0b\x0c\r\x1c\x85 ​!<|>s,²3½_", "'s", "
 def test_chunks_give_the_tokenizers_ids(parts):
     text = "".join(parts)
     tokenizer = tokenfile._tokenizer(tokenfile.definition_of(BPE))
-    assert tokenizer.encode(text).tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+    own = tokenizer.encode_all([text, text + "x"])
+    assert [x.tolist() for x in own] == [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, text + "x")]
 
 
 def test_memory_of_chunks_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokenfile, "KEPT_BYTES", 2000)
+    monkeypatch.setattr(tokenfile, "KEPT_BYTES", 4000)
+    monkeypatch.setattr(tokenfile, "PART_CHARS", 100)
     tokenizer = tokenfile.Chunked(tokenfile.definition_of(BPE))
     for k in range(50):
         text = " ".join(f"word{k}{j}" for j in range(20)) + " " + "y" * 500
-        assert tokenizer.encode(text).tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
-        assert tokenizer.held <= 2000 and all(len(c) <= tokenfile.KEPT_CHARS for c in tokenizer.known)
+        assert tokenizer.encode_all([text[:90], text])[1].tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+        assert tokenizer.encode_all([text[:90]])[0].tolist() == tokenizer.tokenizer.encode(text[:90], add_special_tokens=False).ids
+        held = [*tokenizer.known, *tokenizer.old]
+        assert len(held) < 60 and all(len(c) <= tokenfile.KEPT_CHARS for c in held)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=9), min_size=1, max_size=6))
 def test_codes_round_trip(docs):
-    two = [tokenfile.coded(np.array(d, dtype=np.int64)) for d in docs]
-    control, data = (np.frombuffer(b"".join(x), np.uint8) for x in zip(*two))
-    assert tokenfile.decoded(control, data, np.array([len(d) for d in docs])).tolist() == [x for d in docs for x in d]
+    flat, counts = [x for d in docs for x in d], np.array([len(d) for d in docs])
+    control, data = (np.frombuffer(x, np.uint8) for x in tokenfile.coded(np.array(flat, dtype=np.int64), counts))
+    assert tokenfile.decoded(control, data, counts).tolist() == flat and len(control) == sum(-(-counts // 4))
 
 
 def test_query_of_token_files(spark, folder):

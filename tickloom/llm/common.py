@@ -29,14 +29,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def parked(df: DataFrame, name: str) -> DataFrame:
+def parked(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to a new folder under the shared checkpoint folder and read it back.
 
     It cuts the lineage, so that a lost executor repeats one scan and not the work before it.
     """
     spark = df.sparkSession
     path = fresh_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.parked_at = path
     return back

@@ -169,4 +169,4 @@ def manifest(df: DataFrame, group: str, order: str, fields: list[str], fan: int
 
 def root_path(df: DataFrame, root: str | None) -> DataFrame:
     """The top of the tree of groups: nothing goes on above it."""
-    return df.sparkSession.range(1).select(F.lit("").alias("_tree"), F.array().cast(PATH).alias("_path"), F.lit(root).cast("string").alias("_root"))
+    return df.sparkSession.createDataFrame([("", [], root)], f"_tree string, _path {PATH}, _root string")

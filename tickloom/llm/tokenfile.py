@@ -21,8 +21,10 @@ come first; other columns are dropped. An empty table gives a folder without fil
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,43 +40,79 @@ from tokenizers import Tokenizer
 from tickloom.llm.common import forget, parked
 
 MAGIC = b"TLTOKEN1"
-# Bytes of a block and bytes of remembered chunks in one worker; both steer cost only.
-BLOCK_BYTES, KEPT_BYTES, KEPT_CHARS = 1 << 20, 128 << 20, 64
-# The tokenizer always cuts between a character and white space behind it, and between a letter and these marks. Characters that Python and the tokenizer may
-# not both take for white space make a text go to the tokenizer whole.
-_UNCLEAR, _CHUNK = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]"), re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,;:!?*()\"])|\s*\S+|\s+")
+# Bytes of a block, bytes of remembered words in one worker, the longest such word, characters of a text taken at a time, and texts
+# encoded together; they steer cost only.
+BLOCK_BYTES, KEPT_BYTES, KEPT_CHARS, PART_CHARS, TEXTS = 1 << 20, 256 << 20, 64, 1 << 20, 64
+# The tokenizer always cuts between a character and white space behind it, and white space but its last character before a word
+# is a unit of its own. So in a text in which no space stands between white space (or ends the text), it cuts before each space. Characters
+# that Python and the tokenizer may not both take for white space, and marks of special tokens, count as unclear.
+_ODD = re.compile("  | \n| $|<\\||[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\ufeff])(?=[ \n])")
 BYTES_OF = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 class Chunked:
-    """A tokenizer that remembers the ids of short chunks; every id comes from the library."""
+    """A tokenizer that remembers the ids of words behind a space; every id comes from the library.
+
+    Two generations are kept, so that words that are used again outlive a full memory.
+    """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # the ids of a chunk, little-endian 32 bits each
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(not s.startswith("<|") or re.search(r"\s", s) for s in special):
+            raise ValueError("special tokens are expected to begin with <| and to hold no white space")
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        if _UNCLEAR.search(text) or any(s in text for s in self.special):
-            return np.frombuffer(self.direct(text), dtype="<u4")
-        known, chunks = self.known, _CHUNK.findall(text)
-        new = set(chunks).difference(known)
-        for chunk in new:
-            known[chunk] = ids = self.direct(chunk)
-            self.held += 150 + 4 * len(chunk) + len(ids)
-        out = np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u4")
-        for chunk in new:
-            if len(chunk) > KEPT_CHARS:
-                self.held -= 150 + 4 * len(chunk) + len(known.pop(chunk))
-        if self.held > KEPT_BYTES:
-            known.clear()
-            self.held = 0
-        return out
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Look up or encode new words; returns those that are too long to be kept."""
+        known, old = self.known, self.old
+        new = []
+        for w in words:
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        known.update(zip(new, self.direct([" " + w for w in new])))
+        self.held += sum(200 + 2 * len(w) for w in words)
+        return [w for w in new if len(w) > KEPT_CHARS]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, little-endian 32 bits each."""
+        out: list[bytes | None] = [None] * len(texts)
+        plain, split = [], []
+        for k, text in enumerate(texts):
+            if len(text) > PART_CHARS or _ODD.search(text):
+                out[k] = b"".join(ids for part in self._cut(text) for ids in self.direct([part]))
+            else:
+                plain.append(k)
+                split.append(text.split(" "))
+        firsts = self.direct([words[0] for words in split])
+        for k, first, words in zip(plain, firsts, split):
+            del words[0]
+            long = self._learn(set(words).difference(self.known))
+            out[k] = b"".join([first, *map(self.known.__getitem__, words)])
+            for w in long:
+                del self.known[w]
+            if self.held > KEPT_BYTES // 2:
+                self.known, self.old, self.held = {}, self.known, 0
+        return [np.frombuffer(b, dtype="<u4") for b in out]
+
+    def _cut(self, text: str) -> list[str]:
+        """A very long text in parts, cut where the tokenizer cuts as well."""
+        out, at = [], 0
+        while len(text) - at > PART_CHARS and (cut := _CUT.search(text, at + PART_CHARS)):
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        return [*out, text[at:]]
 
 
 _built: dict[int, Chunked] = {}
@@ -106,9 +144,9 @@ def tokenised(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         tokenizer = _tokenizer(held.value)
         tail = b"" if end is None else np.array([end], dtype=f"<u{width}").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [tokenizer.encode(t or "").astype(f"<u{width}").tobytes() + tail for t in part.column(2).to_pylist()]
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                ids = [x.astype(f"<u{width}").tobytes() + tail for x in tokenizer.encode_all([t or "" for t in part.column(2).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["key", "row", "ids"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
@@ -134,13 +172,14 @@ def ranked(rows: DataFrame, width: int) -> np.ndarray:
     return counts["id"].to_numpy(dtype=np.int64)[order].astype("<u4")
 
 
-def coded(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of one document's ranks."""
-    n = len(ranks)
+def coded(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of documents' ranks, which stand one after another."""
     raw = np.ascontiguousarray(ranks, dtype="<u4")
     size = 1 + (raw > 0xFF).astype(np.uint8) + (raw > 0xFFFF) + (raw > 0xFFFFFF)
-    places = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    places[:n] = size - 1
+    groups = -(-counts // 4)
+    ahead = np.cumsum(4 * groups) - 4 * groups - (np.cumsum(counts) - counts)  # unused places before each document
+    places = np.zeros(4 * int(groups.sum()), dtype=np.uint8)
+    places[np.arange(len(raw)) + np.repeat(ahead, counts)] = size - 1
     control = places.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)
     used = np.arange(4, dtype=np.uint8)[None, :] < size[:, None]
     return control.sum(axis=1, dtype=np.uint8).tobytes(), raw.view(np.uint8).reshape(-1, 4)[used].tobytes()
@@ -164,24 +203,6 @@ def decoded(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.nda
     return value & MASKS[size]
 
 
-def _coded_rows(rows: DataFrame, width: int, ranks: np.ndarray) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(ranks.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(held.value, dtype="<u4")
-        rank = np.zeros(int(order.max()) + 1 if len(order) else 0, dtype=np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        for batch in batches:
-            own = [np.frombuffer(b, dtype=f"<u{width}") for b in batch.column(2).to_pylist()]
-            two = [coded(rank[ids]) for ids in own]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(ids) for ids in own], pa.int64()), pa.array([c for c, _ in two], pa.binary()), pa.array([d for _, d in two], pa.binary())],
-                ["key", "row", "n", "control", "data"],
-            )
-
-    return rows.mapInArrow(run, "key long, row long, n long, control binary, data binary")
-
-
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), path)
 
@@ -210,25 +231,29 @@ class Committed(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Writes coded rows, sorted within and over partitions, as one file for each task."""
+    """Codes rows `key`, `row`, `ids`, sorted within and over partitions, into one file for each task; `ranks.bin` is there."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, width: int):
+        self.path, self.width = path, width
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         part, name = TaskContext.get().partitionId(), ""
         fs, base = _files(self.path)
         keys, nulls, counts, blocks = [], [], [], []
-        controls, datas, n, size = [], [], 0, 0
-        out = None
+        held, size, out = [], 0, None
+        order = np.frombuffer(_read_all(self.path, "ranks.bin"), dtype="<u4")
+        rank = np.zeros(int(order.max()) + 1 if len(order) else 0, dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
 
         def flush():
-            nonlocal controls, datas, n, size
-            c, d = b"".join(controls), b"".join(datas)
+            nonlocal held, size
+            own = np.array([len(b) for b in held]) // self.width
+            c, d = coded(rank[np.frombuffer(b"".join(held), dtype=f"<u{self.width}")], own)
             out.write(c)
             out.write(d)
-            blocks.append((n, len(c), len(d)))
-            controls, datas, n, size = [], [], 0, 0
+            counts.append(own)
+            blocks.append((len(own), len(c), len(d)))
+            held, size = [], 0
 
         for batch in iterator:
             if not batch.num_rows:
@@ -241,16 +266,14 @@ class TokenWriter(DataSourceArrowWriter):
             key = batch.column(0)
             keys.append(key.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(key.is_null().to_numpy(zero_copy_only=False))
-            counts.append(batch.column(2).to_numpy(zero_copy_only=False))
-            for c, d in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                controls.append(c)
-                datas.append(d)
-                n, size = n + 1, size + len(c) + len(d)
+            for ids in batch.column(2).to_pylist():
+                held.append(ids)
+                size += len(ids)
                 if size >= BLOCK_BYTES:
                     flush()
         if out is None:
             return Committed(part, "", 0, 0)
-        if n:
+        if held:
             flush()
         counts = np.concatenate(counts)
         index = [np.concatenate(keys).astype("<i8"), np.concatenate(nulls).astype("u1"), counts.astype("<i8"), np.array(blocks, dtype="<i8").ravel()]
@@ -338,25 +361,24 @@ class TokenFiles(DataSource):
         return TokenReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return TokenWriter(self.options["path"])
+        return TokenWriter(self.options["path"], int(self.options["width"]))
 
 
 def write(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", end: int | None = 0, files: int | None = None) -> None:
     """Write the ids of a text table to a new folder, in ascending order of `key`; in about `files` files, else as many as the shuffle makes.
 
-    Texts are tokenised once; the ids wait in the shared folder until all are counted. Only coded bytes are shuffled, by
-    ranges of key and row number, so that rows of one key spread as well.
+    Texts are tokenised once; the ids wait in the shared folder until all are counted, and are shuffled by ranges of key and
+    row number, so that rows of one key spread as well.
     """
     spark = df.sparkSession
     made, width = tokenised(df, path, key, text, end)
-    rows = parked(made, "ids")
+    rows = parked(made, "ids", "zstd")
     ranks = ranked(rows, width)
     _write_all(folder, "ranks.bin", ranks.tobytes())
     spark.dataSource.register(TokenFiles)
     order = [F.col("key").asc_nulls_first(), F.col("row").asc()]
-    made = _coded_rows(rows, width, ranks)
-    ordered = (made.repartitionByRange(files, *order) if files else made.repartitionByRange(*order)).sortWithinPartitions(*order)
-    ordered.write.format("tokenfiles").mode("append").save(folder)
+    ordered = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    ordered.write.format("tokenfiles").option("width", width).mode("append").save(folder)
     forget(rows)
 
 
