@@ -340,3 +340,29 @@ def test_only_recent_sessions_are_rewritten(spark, tmp_path):
     land([bar(x, close=100.5) for x in d])
     closes = {r["date"]: r["close"] for r in spark.read.parquet(out).collect()}
     assert [closes[x] for x in d] == [100.0] * 7 + [100.5] * 5
+
+
+def test_words_held_by_long_texts(spark):
+    """Texts of 500,000 characters, names with a common head, short and folded names, repeated and null keys; time grows with the length."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    names = [f"Brand#{k}" for k in range(300)] + ["a", "xy", "日本", "日本語の", "🎉x", ""]
+    long = "".join(rng.choice(["Brand#", "q", "7", " ", "xy", "日本", "🎉"]) for _ in range(200_000))
+    texts = [(1, "no name"), (2, "Brand#12 and xy"), (2, "日本語の🎉x"), (None, "Brand#299"), (3, None), (4, ""), (5, long[:500_000])]
+    words = spark.createDataFrame([(n,) for n in names] * 2, "name string")
+    got = {tuple(r) for r in M.held_words(spark.createDataFrame(texts, "k long, t string"), words, "k", "t", "name").collect()}
+    assert got == {(k, n) for k, t in texts for n in names if n and t and n in t}
+    seconds = []
+    for size in (50_000, 500_000):
+        start = time.perf_counter()
+        for _ in range(3):
+            M.gram_codes(long[:size], [1, 2, 3, 4])
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 60 * seconds[0]
+
+
+def test_subject_mark_before_a_name():
+    marked = [MentionMatcher.is_marked(t, len(t)) for t in ("[標的]", "x標的 : \n", "標的：", "[標的] ", "標的", "標的]", ":", "", "標 的:", "[標的")]
+    assert marked == [True, True, True, True, False, False, False, False, False, False]

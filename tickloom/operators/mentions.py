@@ -2,41 +2,102 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import split_rank
 from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, folded
+from tickloom.session import written
 
 USABLE = ("success", "partial")
-# Names are looked up by their first characters, at most this many; shorter names by all they have.
-GRAM = 4
+# A name is looked up by one run of GRAM characters (a shorter name by all it has). Runs of the whole dictionary mark bits of a bitmap of
+# fixed size, which goes to every task; tasks that share one much-used run are SALTS.
+GRAM, BITS, SALTS = 4, 1 << 24, 16
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of 1 to GRAM characters of a text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.concat(*[_runs(text, places, n) for n in range(1, GRAM + 1)]))
+def gram_codes(text: str, sizes: Sequence[int]) -> np.ndarray:
+    """Codes of the runs of each size, place by place: one pass of array operations over the text."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    out = []
+    for size in sizes:
+        if len(chars) < size:
+            continue
+        h = np.full(len(chars) - size + 1, size, dtype=np.uint64)
+        for k in range(size):
+            h = (h ^ chars[k : len(chars) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out.append(h)
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def _runs(text: Column, places: Column, size: int) -> Column:
-    return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def keyed_words(words: DataFrame) -> DataFrame:
+    """`_w` and `_g`, the code of its run that the fewest words have (ties by code)."""
+
+    def codes(batch: pa.Array) -> pa.Array:
+        return _lists([np.unique(gram_codes(w, [min(GRAM, len(w))])) for w in batch.to_pylist()])
+
+    runs = words.select("_w", F.explode(F.arrow_udf(codes, "array<bigint>")("_w")).alias("_g"))
+    shared = runs.groupBy("_g").agg(F.count("*").alias("_n"))
+    return runs.join(shared, "_g").groupBy("_w").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+
+
+def _bit(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(BITS - 1))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A flag for each possible low part of a code; at most BITS / 64 rows come to the driver, however large the dictionary."""
+    place = _bit(F.col("_g"))
+    parts = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_g & 63 as int))")).alias("bits")).toPandas()
+    held = np.zeros(BITS // 64, dtype=np.int64)
+    held[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
+    return held.view(np.uint8)
 
 
 def held_words(texts: DataFrame, words: DataFrame, key: str, text: str, word: str) -> DataFrame:
-    """Distinct (key, word) where the text holds the word; words of any number.
+    """Distinct (key, word) where the text holds the word; words of any number, texts of any length.
 
-    An equi-join on first characters finds candidates (a small word list is broadcast by its measured size), and the
-    words are then looked for in the text itself.
+    Every word has one key, the rarest of its runs of characters, so a head that all words share costs nothing. A text is
+    walked once: its runs whose bit is set are the candidates' keys, an equi-join gives the words, and each text looks for its
+    candidates once. A text that repeats a key, or a null one, is found under each of its rows' keys once.
     """
     listed = words.select(F.col(word).alias("_w")).filter("_w <> ''").distinct()
-    keyed = listed.select("_w", F.substring("_w", 1, GRAM).alias("_g"))
-    near = texts.select(F.col(key).alias("_k"), F.explode(_grams(F.col(text))).alias("_g")).join(keyed, "_g").select("_k", "_w").distinct()
-    both = near.join(texts.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k")
-    return both.filter(F.contains("_t", "_w")).select(F.col("_k").alias(key), F.col("_w").alias(word)).distinct()
+    keys = written(keyed_words(listed), f"word-keys-{uuid.uuid4().hex}")
+    sizes = sorted({r[0] for r in keys.select(F.least(F.length("_w"), F.lit(GRAM))).distinct().collect()})
+    flags = texts.sparkSession.sparkContext.broadcast(bitmap(keys).tobytes())
+
+    def known(batch: pa.Array) -> pa.Array:
+        bits, out = np.frombuffer(flags.value, dtype=np.uint8), []
+        for t in batch.to_pylist():
+            codes = gram_codes(t or "", sizes)
+            low = codes & (BITS - 1)
+            out.append(np.unique(codes[(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)]))
+        return _lists(out)
+
+    rows = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    hits = rows.select("_k", F.explode(F.arrow_udf(known, "array<bigint>")("_t")).alias("_g"))
+    hits = hits.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int"))
+    spread = keys.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = hits.join(spread, ["_g", "_s"]).groupBy(F.col("_k").alias("_of")).agg(F.collect_set("_w").alias("_near"))
+    both = rows.join(near, F.col("_k").eqNullSafe(F.col("_of")))
+
+    def looked_for(bodies: pa.Array, near: pa.Array) -> pa.Array:
+        return pa.array([[w for w in ws if w in t] for t, ws in zip(bodies.to_pylist(), near.to_pylist())], pa.list_(pa.string()))
+
+    found = both.select("_k", F.explode(F.arrow_udf(looked_for, "array<string>")("_t", "_near")).alias("_w"))
+    return found.select(F.col("_k").alias(key), F.col("_w").alias(word)).distinct()
 
 
 def mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str, ambiguous: Sequence[str] = AMBIGUOUS_NAMES) -> DataFrame:

