@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import containment, pieces, pseudonyms, quality, simhash
@@ -15,21 +15,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(quality.ledger(rows)).select("row.*")
 
 
+def text_key(text: str = "text") -> Column:
+    """A key of the text alone, of two hashes, for rows whose ids are missing or repeated."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), F.col(text)).alias("b"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group that is alike by 0.8 or more on five-word shingles.
 
-    A document without an id stays, as nothing else could stand for it.
+    Of rows with one id each text counts for itself; rows of one id and text are copies. A document without an id stays, as nothing
+    else could stand for it.
     """
-    groups = simhash.alike_groups(docs.select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text_key().alias("t")))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), own.alias("key"), "text")
+    groups = simhash.alike_groups(keyed.select("key", "text"), "key")
+    first = groups.filter(F.col("key") == F.col("component")).select("key").distinct()
+    named = keyed.join(first, "key", "left_semi").dropDuplicates(["key"])
+    return named.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold 0.8 or more of a benchmark item's five-word shingles."""
-    leaks = containment.contained(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Drops the documents that hold 0.8 or more of a benchmark item's five-word shingles, whatever their ids."""
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("key"), "text")
+    leaks = containment.contained(keyed.select("key", "text"), table(spark, sf_dir, "benchmark"), doc_id="key")
+    return keyed.join(leaks.select("key").distinct(), "key", "left_anti").select("row.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
