@@ -90,3 +90,13 @@ def test_stages_on_odd_rows(spark, folder):
         counts.append(out.count())
     # Texts under 20 words go; rows without an id stay, of rows with one id a single one.
     assert counts == [4, 3, 3, 3, 3]
+
+
+def test_rows_with_one_id_or_none_are_judged_by_their_texts(spark, folder):
+    path, _, items = folder
+    rows = [(1, prose(60, 80), "en", "s", 1), (1, prose(61, 80), "en", "s", 1), (2, prose(62, 80), "en", "s", 1), (None, prose(63, 30) + " " + items[0], "en", "s", 1), (None, prose(64, 80), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, path)
+    assert sorted(r.text for r in kept.collect()) == sorted(r[1] for r in rows)
+    clean = corpus_pipeline.decontamination(spark, docs, path)
+    assert sorted(r.text for r in clean.collect()) == sorted(r[1] for r in rows if items[0] not in r[1])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import lower_words, parked, shingles
+from tickloom.llm.common import forget, lower_words, parked, shingles
 from tickloom.llm.graph import components
 
 SEED = 42
@@ -100,8 +100,8 @@ def ball(bits: int, within: int) -> int:
 def correlated_parts(sample: np.ndarray, parts: int) -> tuple[tuple[int, ...], ...]:
     """Bits dealt into parts of equal size: a part grows by the bit most correlated with those it has."""
     bits = (sample[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.float64)
-    bits -= bits.mean(axis=0)
-    spread = bits.std(axis=0) + 1e-9
+    bits -= bits.mean(axis=0) if len(bits) else 0
+    spread = (bits.std(axis=0) if len(bits) else np.zeros(64)) + 1e-9
     like = np.abs(bits.T @ bits / max(1, len(bits)) / np.outer(spread, spread))
     free, out = list(range(64)), []
     for p in range(parts):
@@ -356,23 +356,57 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
     return own[first], int((rank[first] == 0).sum())
 
 
-def _described(words: int, count: int, least: float, common):
-    """For texts: a hash of the whole shingle set, `count` fingerprints, the set's size and its rarest shingles."""
-    names = [*(f"fp{k}" for k in range(count)), "node", "size", "rare", "prefix"]
+def _node(own: np.ndarray) -> int:
+    """A hash of a set of shingles, as a signed long: texts with the same set are copies."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
+
+
+def _described(words: int, count: int):
+    """For texts: `count` fingerprints, a hash of the whole shingle set and the set's size."""
+    names = [*(f"fp{k}" for k in range(count)), "node", "size"]
 
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             h = hashes_of(t, words)
             own = np.unique(h)
-            first, rare = prefix(own, *common.value, least)
-            ids = np.array([*_prints(h, count), xxhash.xxh3_64_intdigest(own.tobytes())], dtype=np.uint64).view(np.int64)
-            rows.append((*ids.tolist(), len(own), rare, first.view(np.int64)))
+            rows.append((*np.array(_prints(h, count), dtype=np.uint64).view(np.int64).tolist(), _node(own), len(own)))
         return pd.DataFrame(rows, columns=names)
 
     return run
 
 
+def _prefixes(words: int, least: float, common):
+    """For texts: the hash of the shingle set and its rarest shingles."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            own = np.unique(hashes_of(t, words))
+            first, rare = prefix(own, *common.value, least)
+            rows.append((_node(own), rare, first.view(np.int64)))
+        return pd.DataFrame(rows, columns=["node", "rare", "prefix"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column those that share its value with a neighbour; a run goes over batch borders."""
+    held, before = None, None  # the last row, not yet judged, and the value before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        every = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        v = every.column(0).to_numpy(zero_copy_only=False)
+        same = v[1:] == v[:-1]
+        keep = np.r_[before is not None and before == v[0], same]
+        keep[:-1] |= same
+        yield every.slice(0, len(v) - 1).filter(pa.array(keep[:-1]))
+        held, before = every.slice(len(v) - 1), v[-2] if len(v) > 1 else before
+    if held is not None and before is not None and before == held.column(0)[0].as_py():
+        yield held
+
+
 def _set_pairs(least: float):
     """Pairs of nodes of different groups that share a shingle, of rows sorted by file: those that sizes and places in the sets' order allow."""
 
@@ -421,9 +455,12 @@ def set_pairs(sets: DataFrame, least: float, run_rows: int = 5_000) -> DataFrame
     `sets` has node, group, size, rare and prefix. Common shingles are counted first: those of one group alone need no pairs, and those of many
     rows are dealt into blocks, each pair of which is a file of its own.
     """
-    rows = sets.select("node", "group", "size", "rare", F.posexplode("prefix").alias("place", "shingle"))
-    short = rows.filter("place < rare").withColumn("file", F.col("shingle"))
-    common = rows.filter("place >= rare")
+    rows = sets.select("node", "rare", F.posexplode("prefix").alias("place", "shingle"))
+    groups = sets.select("node", "group", "size")
+    lone = rows.filter("place < rare").select("shingle", "node", "place")
+    met = parked(lone.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_met, "shingle long, node long, place int"), "met-shingles")
+    short = met.join(groups, "node").withColumn("file", F.col("shingle"))
+    common = rows.filter("place >= rare").select("shingle", "node", "place").join(groups, "node")
     sizes = common.groupBy("shingle").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     sizes = parked(sizes.select("shingle", F.ceil(F.col("n") / run_rows).cast("int").alias("blocks")), "common-shingles")
     dealt = common.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
@@ -431,50 +468,64 @@ def set_pairs(sets: DataFrame, least: float, run_rows: int = 5_000) -> DataFrame
     dealt = dealt.withColumn("file", F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other")))
     columns = ("file", "shingle", "node", "group", "size", "place")
     filed = short.select(*columns).unionByName(dealt.select(*columns))
-    return filed.repartition("file").sortWithinPartitions("file").mapInArrow(_set_pairs(least), "x long, y long, gx long, gy long").distinct()
+    pairs = filed.repartition("file").sortWithinPartitions("file").mapInArrow(_set_pairs(least), "x long, y long, gx long, gy long").distinct()
+    found = parked(pairs, "set-pairs")
+    forget(met, sizes)
+    return found
 
 
 def _alike(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs of nodes `x`, `y` whose texts are alike by `least` or more."""
+    """Those of the (written) pairs of nodes `x`, `y` whose texts are alike by `least` or more, written."""
     nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
     named = firsts.select("node", "own").join(nodes, "node")
     texts = parked(rows.select("own", "text").join(named, "own").groupBy("node").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("t")), "y")
-    return both.filter(F.pandas_udf(_similarity(words), "double")("s", "t") >= least).select(*pairs.columns)
+    found = parked(both.filter(F.pandas_udf(_similarity(words), "double")("s", "t") >= least).select(*pairs.columns), "alike")
+    forget(texts, pairs)
+    return found
 
 
-def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, within: int = 7, prints: int = 5, least: float = 0.8) -> DataFrame:
+def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, within: int = 7, prints: int = 2, least: float = 0.8) -> DataFrame:
     """`key` and `component` for every row of `df`, over links of texts whose shingles are alike (Jaccard) by `least` or more.
 
     Texts with the same set of shingles are copies, one node. Candidates come from `prints` independent fingerprints, each searched to
     `within` bits; the nearest candidates that connect all others are verified on the texts, and so are nodes that share a fingerprint.
     What this links are groups, found cheaply. An exact join completes them: alike sets share one of their rarest shingles, so every pair of
-    nodes of different groups that does is verified as well. No link is lost, however the fingerprints fall.
+    nodes of different groups that does is verified as well. No link is lost, however the fingerprints fall. The rarest shingles are
+    worked out from the texts only then. Tables are deleted once their last reader is written.
     """
     names = tuple(f"fp{k}" for k in range(prints))
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
-    schema = ", ".join(f"{n} long" for n in (*names, "node", "size", "rare")) + ", prefix array<bigint>"
-    common = df.sparkSession.sparkContext.broadcast(_common_shingles(rows, words))
-    described = rows.withColumn("_d", F.pandas_udf(_described(words, prints, least, common), schema)("text")).select("key", "own", "_d.*")
+    schema = ", ".join(f"{n} long" for n in (*names, "node", "size"))
+    described = rows.withColumn("_d", F.pandas_udf(_described(words, prints), schema)("text")).select("key", "own", "_d.*")
     all_prints = parked(described, "prints")
-    firsts = all_prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "own", "size", "rare", *names)], F.first("prefix").alias("prefix"))
-    firsts = parked(firsts, "first-prints")
-    pairs = None
+    firsts = parked(all_prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "own", "size", *names)]), "first-prints")
+    pairs, searched = None, []
     for name in names:
         held = firsts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("x"))
         near = parked(links(held.select("fp"), within), "near")
+        searched.append(near)
         left, right = held.select(F.col("fp").alias("a"), "x"), held.select(F.col("fp").alias("b"), F.col("x").alias("y"))
         own = near.join(left, "a").join(right, "b").select("x", "y")
         same = firsts.select(F.col(name).alias("fp"), F.col("node").alias("y")).join(held, "fp").select("x", "y").filter("x != y")
         own = own.unionByName(same)
         pairs = own if pairs is None else pairs.unionByName(own)
     pairs = parked(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    roots = components(_alike(pairs, firsts, rows, words, least), "x", "y").withColumnRenamed("node", "of")
+    forget(*searched)
+    alike = _alike(pairs, firsts, rows, words, least)
+    roots = components(alike, "x", "y").withColumnRenamed("node", "of")
     grouped = firsts.join(roots, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("root", "node"))
-    grouped = parked(grouped.select("node", "key", "group", "size", "rare", "prefix"), "groups")
-    more = _alike(parked(set_pairs(grouped, least), "set-pairs"), firsts, rows, words, least)
+    grouped = parked(grouped.select("node", "key", "group", "size"), "groups")
+    common = df.sparkSession.sparkContext.broadcast(_common_shingles(rows, words))
+    rarest = rows.select(F.pandas_udf(_prefixes(words, least, common), "node long, rare long, prefix array<bigint>")("text").alias("_p")).select("_p.*")
+    rarest = rarest.groupBy("node").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    sets = parked(rarest.join(grouped.select("node", "group", "size"), "node"), "sets")
+    candidates = set_pairs(sets, least)
+    forget(sets)
+    more = _alike(candidates, firsts, rows, words, least)
     roots = components(more, "gx", "gy").withColumnRenamed("node", "of")
     rooted = grouped.join(roots, F.col("group") == F.col("of"), "left").select(F.col("node").alias("of"), F.col("key").alias("first"), F.coalesce("root", "group").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(lowest, "root").select(F.col("of").alias("node"), "component")
+    forget(firsts, alike, more)
     return all_prints.join(named, "node").select(F.col("key").alias(key), "component")
