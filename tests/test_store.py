@@ -366,3 +366,29 @@ def test_words_held_by_long_texts(spark):
 def test_subject_mark_before_a_name():
     marked = [MentionMatcher.is_marked(t, len(t)) for t in ("[標的]", "x標的 : \n", "標的：", "[標的] ", "標的", "標的]", ":", "", "標 的:", "[標的")]
     assert marked == [True, True, True, True, False, False, False, False, False, False]
+
+
+def test_versions_at_many_cutoffs_equal_one_by_one(spark):
+    """Late publication, equal times, cut-offs before, between and after all versions, several on one day, and one twice."""
+    import random
+    rng, start = random.Random(8), datetime(2024, 1, 30)
+    rows = []
+    for seq in range(400):
+        seen = start + timedelta(hours=rng.randrange(24 * 60))
+        identity = rng.randrange(12)
+        late = seen + timedelta(hours=rng.choice([0, 0, 0, 30, 500]))
+        rows.append((f"s{identity % 3}", "x", f"k{identity}", (start + timedelta(days=identity * 4)).date(), seen, late, seq, seq * 10))
+    table = spark.createDataFrame(rows, "source string, symbol string, key string, data_date date, first_seen_at timestamp, available_at timestamp, seq long, value long")
+    cuts = [start - timedelta(days=9), *[start + timedelta(hours=rng.randrange(24 * 80)) for _ in range(12)], rows[5][5], start + timedelta(hours=5), start + timedelta(hours=7), start + timedelta(days=900)]
+    manifest = [(f"n{k}", c, (c - timedelta(days=k % 5)).date()) for k, c in enumerate([*cuts, cuts[3]])] + [("none", None, None)]
+    stored = spark.createDataFrame(manifest, "snapshot_id string, cutoff timestamp, as_of date")
+    got = {(r.snapshot_id, r.source, r.key, r.value) for r in T.versions_at(table, stored).collect()}
+    want = set()
+    for name, cutoff, as_of in manifest[:-1]:
+        best = {}
+        for r in rows:
+            if r[5] <= cutoff and r[3] <= as_of and (r[4], r[6]) >= best.get((r[0], r[2]), ((datetime.min, 0), 0))[0]:
+                best[r[0], r[2]] = ((r[4], r[6]), r[7])
+        want |= {(name, *identity, value) for identity, (_, value) in best.items()}
+    assert got == want and len(want) > 60
+    assert T.versions_at(table, stored.filter("snapshot_id = 'none'")).count() == 0 == T.versions_at(table.limit(0), stored).count()

@@ -73,6 +73,58 @@ def latest_versions(
     return known.groupBy(*keys).agg(F.max_by(row, order).alias("_v")).select(*keys, "_v.*")
 
 
+def superseded(observations: DataFrame, grain: str = "month", keys: Sequence[str] = IDENTITY) -> DataFrame:
+    """The versions with ``superseded_at``: when the first version acquired after them became available (null: never yet).
+
+    A version that is published late can be overtaken before it is available; it then has no time of its own and is left
+    out. A hot identity is cut by ``grain``: inside a slice the least time of the following rows is a window, the slices behind
+    it come from one summary row each.
+    """
+    sliced = observations.withColumn("_slice", F.date_trunc(grain, "first_seen_at"))
+    least = sliced.groupBy(*keys, "_slice").agg(F.min("available_at").alias("_least"))
+    behind = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    later = least.select(*keys, "_slice", F.min("_least").over(behind).alias("_later"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("first_seen_at", "seq").rowsBetween(1, Window.unboundedFollowing)
+    timed = sliced.withColumn("_next", F.min("available_at").over(inside)).join(later, [*keys, "_slice"])
+    held = timed.withColumn("superseded_at", F.least("_next", "_later")).drop("_slice", "_next", "_later")
+    return held.filter(F.col("superseded_at").isNull() | (F.col("available_at") < F.col("superseded_at")))
+
+
+def _ordinals(rows: DataFrame, days: DataFrame, first_day, moment: str, out: str, last: int) -> DataFrame:
+    """Add how many cut-offs lie before a moment (null: all of them); ``days`` is a whole calendar from the first to the last cut-off."""
+    own = days.select(F.col("day").alias("_day"), F.col("before").alias("_before"), F.col("moments").alias("_moments"))
+    joined = rows.join(F.broadcast(own), F.to_date(moment) == F.col("_day"), "left")
+    inside = F.col("_before") + F.size(F.filter("_moments", lambda c: c < F.col(moment)))
+    count = F.when(F.col(moment).isNull(), F.lit(last)).when(F.to_date(moment) < F.lit(first_day), F.lit(0)).otherwise(F.coalesce(inside, F.lit(last)))
+    return joined.withColumn(out, count.cast("int")).drop("_day", "_before", "_moments")
+
+
+def versions_at(observations: DataFrame, manifest: DataFrame, keys: Sequence[str] = IDENTITY) -> DataFrame:
+    """For every snapshot of ``manifest`` (snapshot_id, cutoff, as_of) the version of each identity that was available at its
+    cut-off, for data up to its as_of: one pass over the versions for all cut-offs.
+
+    Each version knows from when to when it was the latest, so it meets a contiguous run of the cut-offs, counted by a
+    calendar of days. The data date belongs to the identity: all versions of one have the same. A manifest has one row per
+    snapshot; rows without a cut-off are no snapshots.
+    """
+    moments = manifest.filter("cutoff IS NOT NULL").select("cutoff").distinct()
+    numbered = moments.withColumn("_at", F.row_number().over(Window.orderBy("cutoff")) - 1)
+    found = moments.agg(F.count("*"), F.min(F.to_date("cutoff")), F.max(F.to_date("cutoff"))).first()
+    if not found[0]:
+        return manifest.select("snapshot_id").join(observations, F.lit(False))
+    listed = numbered.groupBy(F.to_date("cutoff").alias("day")).agg(F.sort_array(F.collect_list("cutoff")).alias("moments"), F.min("_at").alias("_first"))
+    span = observations.sparkSession.range(1).select(F.explode(F.sequence(F.lit(found[1]), F.lit(found[2]))).alias("day"))
+    ahead = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = span.join(listed, "day", "left").withColumn("moments", F.coalesce("moments", F.array().cast("array<timestamp>")))
+    days = days.withColumn("before", F.coalesce(F.sum(F.size("moments")).over(ahead), F.lit(0)))
+    timed = _ordinals(superseded(observations, keys=keys), days, found[1], "available_at", "_lo", found[0])
+    timed = _ordinals(timed, days, found[1], "superseded_at", "_hi", found[0])
+    each = timed.filter("_lo < _hi").withColumn("_at", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
+    snapshots = manifest.join(numbered, "cutoff").select("snapshot_id", F.col("as_of").alias("_as_of"), "_at")
+    met = each.join(F.broadcast(snapshots), "_at").filter(F.col("data_date") <= F.col("_as_of"))
+    return met.select("snapshot_id", *observations.columns)
+
+
 def pit_features(
     symbols: DataFrame,
     institution: DataFrame,

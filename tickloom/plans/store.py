@@ -144,6 +144,22 @@ def t5(m):
     return T.dual_view(versions(m), cutoff(m), last_day(m)).select("view", "source", "symbol", "key", "value")
 
 
+@query(
+    "t5_views_of_snapshots",
+    oracle(
+        "select snapshot_id, source, symbol, key, value from (select s.snapshot_id, v.source, v.symbol, v.key, v.value, row_number() over (partition by s.snapshot_id, v.source, v.symbol, v.key order by v.ts desc, v.seq desc) as r "
+        "from (select distinct strftime(date_trunc('week', ts), '%Y-%m-%d') as snapshot_id, cast(date_trunc('week', ts) as timestamp) + interval 60 hour as cutoff, cast(date_trunc('week', ts) as date) as as_of from events) s "
+        "join ver v on v.ts <= s.cutoff and v.data_date <= s.as_of) q where r = 1",
+        "ver",
+    ),
+)
+def t5_snapshots(m):
+    """What each weekly snapshot could know at its own cut-off."""
+    week = F.date_trunc("week", "ts")
+    manifest = m.events.select(F.date_format(week, "yyyy-MM-dd").alias("snapshot_id"), (week + F.expr("interval 60 hours")).alias("cutoff"), F.to_date(week).alias("as_of")).distinct()
+    return T.versions_at(versions(m), manifest).select("snapshot_id", "source", "symbol", "key", "value")
+
+
 @query(
     "g14_source_summary",
     oracle(
