@@ -409,6 +409,25 @@ def test_main_text():
     assert wrappers.main_text("<article>short</article><article>the longer one</article>") == "the longer one"
 
 
+def test_article_text_is_not_taken_for_boilerplate():
+    kept = [
+        ('<div class="layout no-sidebar"><article><p>text</article></div>', "text"),
+        ('<body class="has-header"><div class="page with-sidebar"><article>text</article></div>', "text"),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>text</article>', "Title\n\ntext"),
+        ('<article><h2 class="section-header">Head</h2><p data-id="search">a<p class="legal">b<blockquote class="social-contract">c</blockquote><div class="alert">d</div></article>', "Head\n\na\n\nb\n\nc\n\nd"),
+        ('<div class="sidebar-right"><main><p>text</main></div>', "text"),
+        ('<p title="class=ad" data-class="ad">one<p>two', "one\n\ntwo"),
+    ]
+    for page, text in kept:
+        assert wrappers.main_text(page, wrappers.NO_WRAPPER) == text
+    for mark in ("ad", "inline-ad", "ad slot-2", "share-buttons", "post-comments", "related_posts", "newsletter", "notice", "cookie-notice"):
+        assert wrappers.main_text(f'<article><p>a<div class="{mark}">no<p>no</div><p>b</article>', wrappers.NO_WRAPPER) == "a\n\nb"
+    for mark in ("site-header", "sidebar", "alert", "page legal", "top-search-box"):
+        assert wrappers.main_text(f'<body><div class="{mark}">no</div><p>b', wrappers.NO_WRAPPER) == "b"
+    assert wrappers.main_text('<div class="related"><article>teaser</article></div><article>a</article>', wrappers.NO_WRAPPER) == "a"
+    assert wrappers.main_text("<nav><main>no</main></nav><p>b", wrappers.NO_WRAPPER) == "b"
+
+
 def test_wrappers_align_and_find_the_main_element(spark):
     pages = [
         (k, f"http://h{k % 2}.net/{k}", f"<body><div class=x1>same</div><div class=box{k}><p>{prose(k, 30)}</p>" + "<p>more</p>" * (k % 3) + ("<h2>opt</h2>" if k % 4 == 0 else "") + "</div><div class=x2>always the same long line of words that no page changes</div></body>", "w")

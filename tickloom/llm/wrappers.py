@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -52,10 +53,15 @@ BOILERPLATE = re.compile(
     r"newsletter|subscribe|subscription|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|pagination|pager|skip|toolbar|widget|login|search\w*|copyright|legal|disclaimer)(?:$|[-_ ])",
     re.I,
 )
+# Words of a class that says how its element is laid out; such a class names no boilerplate.
+LAYOUT = frozenset("no not has with without layout hide show".split())
+# Within an article, boilerplate is a class or id that begins or ends with one of the first words or is one of the second.
+INSERTED = re.compile(r"ad|ads|advert\w*|sponsor\w*|promo|promos|promotions?|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|share|sharing|related|recommend\w*|comments?|commentlist|disqus|respond|pagination|pager|breadcrumbs?|nav|navbar|navigation|sidebar|popup|modal", re.I)
+INSERTED_WHOLE = frozenset("menu banner social notice notices widget toolbar login search footer side reply replies skip overlay".split())
 MAIN = re.compile(r"(?:^|[-_ ])(?:main|content|article|post|entry|story|body-?text|text-?body)(?:$|[-_ ])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -80,29 +86,48 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", m[0], ""
 
 
-def described(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature (name and first class or id), whether the element is boilerplate, whether it names itself main."""
-    hidden, main, mark = name in HIDDEN, name == "main", ""
+@lru_cache(1 << 14)
+def names_boilerplate(value: str, in_article: bool) -> bool:
+    """Whether a class or id names boilerplate. Inside an article few names do, and never as a part in the middle."""
+    for mark in value.lower().split():
+        words = re.split("[-_]+", mark)
+        if not LAYOUT.isdisjoint(words):
+            continue
+        if not in_article:
+            if BOILERPLATE.search(mark):
+                return True
+        elif mark in INSERTED_WHOLE or INSERTED.fullmatch(words[0]) or INSERTED.fullmatch(words[-1]):
+            return True
+    return False
+
+
+SHOWN, BY_NAME, HARD = 0, 1, 2
+
+
+def described(name: str, attributes: str, in_article: bool = False) -> tuple[str, int, bool]:
+    """Signature (name and first class or id), whether the element is boilerplate (by its class alone or surely), whether it names itself main."""
+    hidden, main, mark, named = name in HIDDEN, name == "main", "", False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 mark = mark or re.sub(r"\d+", "", value.split(" ")[0]).lower()
-                hidden |= name not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(value))
+                named |= name not in ("html", "body", "article", "main") and names_boilerplate(value, in_article)
                 main |= name in ("div", "section", "td") and bool(MAIN.search(value))
             elif key == "role":
                 hidden |= value.lower() in ROLES
                 main |= value.lower() == "main"
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                hidden |= not m[0].lower().startswith("hidden") or name not in ("html", "body")
-    return f"{name}.{mark}" if mark else name, hidden, main
+                hidden |= key != "hidden" or name not in ("html", "body")
+    return f"{name}.{mark}" if mark else name, HARD if hidden else BY_NAME if named else SHOWN, main
 
 
 class Walk:
     """Reads a page in order and calls `opened`, `closed` and `text` with the open block elements in `stack`."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []  # name, signature, inside boilerplate
+        self.stack: list[tuple[str, str, int]] = []  # name, signature, inside boilerplate
+        self.articles = 0  # open ones
 
     def run(self, page: str) -> None:
         for kind, value, attributes in tokens(page):
@@ -127,13 +152,16 @@ class Walk:
             self._imply(("p",))
         if name in ENDS:
             self._imply(ENDS[name])
-        signature, hidden, main = described(name, attributes)
+        signature, hidden, main = described(name, attributes, self.articles > 0)
         if name in VOID:
             self.broken()
             return
         if name in ("html", "body") and any(n == name for n, _, _ in self.stack):
             return
-        inside = hidden or bool(self.stack) and self.stack[-1][2]
+        inside = max(hidden, self.stack[-1][2] if self.stack else SHOWN)
+        if name == "main" and inside == BY_NAME:
+            inside = SHOWN  # a class around the main element is that of a layout
+        self.articles += name == "article"
         self.stack.append((name, signature, inside))
         self.opened(name, signature, inside, main)
 
@@ -158,10 +186,10 @@ class Walk:
 
     def _pop(self) -> None:
         self.closed(*self.stack[-1])
-        self.stack.pop()
+        self.articles -= self.stack.pop()[0] == "article"
 
-    def opened(self, name: str, signature: str, inside: bool, main: bool) -> None: ...
-    def closed(self, name: str, signature: str, inside: bool) -> None: ...
+    def opened(self, name: str, signature: str, inside: int, main: bool) -> None: ...
+    def closed(self, name: str, signature: str, inside: int) -> None: ...
     def text(self, value: str) -> None: ...
     def broken(self) -> None: ...
 
@@ -359,8 +387,8 @@ class _Text(Walk):
         if not self.stack:
             if not value.strip():
                 return
-            self.stack.append(("body", "body", False))
-            self.opened("body", "body", False, False)
+            self.stack.append(("body", "body", SHOWN))
+            self.opened("body", "body", SHOWN, False)
         if not self.stack[-1][2]:
             self.buffer.append(value)
 
