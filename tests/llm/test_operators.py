@@ -428,6 +428,11 @@ def test_article_text_is_not_taken_for_boilerplate():
     assert wrappers.main_text("<nav><main>no</main></nav><p>b", wrappers.NO_WRAPPER) == "b"
 
 
+def test_pages_without_a_body_tag_keep_their_text():
+    for page in ("<p>a<p>b", "<html><p>a<p>b", "<html><head><title>t</title><p>a</p>b", "<head><meta x></head>a<p>b</html>", "<title>t</title><div>a</div><script>no</script><div>b", "<body><p>a</body><p>b"):
+        assert wrappers.main_text(page, wrappers.NO_WRAPPER) == "a\n\nb", page
+
+
 def test_wrappers_align_and_find_the_main_element(spark):
     pages = [
         (k, f"http://h{k % 2}.net/{k}", f"<body><div class=x1>same</div><div class=box{k}><p>{prose(k, 30)}</p>" + "<p>more</p>" * (k % 3) + ("<h2>opt</h2>" if k % 4 == 0 else "") + "</div><div class=x2>always the same long line of words that no page changes</div></body>", "w")

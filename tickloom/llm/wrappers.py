@@ -43,6 +43,8 @@ BLOCKS = frozenset(
     "html body div section article main header footer nav aside form ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 "
     "blockquote pre figure figcaption address fieldset details summary hr center hgroup search dialog menu".split()
 )
+# Elements that stand in a head and begin no body.
+IN_HEAD = frozenset("head title meta link style script base noscript template".split())
 # A start tag of the key ends an open element of the value.
 _CELL = ("td", "th")
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", *_CELL), "td": _CELL, "th": _CELL, "tbody": ("tbody", "thead", "tr", *_CELL), "option": ("option",)}
@@ -132,6 +134,8 @@ class Walk:
     def run(self, page: str) -> None:
         for kind, value, attributes in tokens(page):
             if kind == "text":
+                if value.strip():
+                    self._imply_body()
                 self.text(value)
             elif kind == "start":
                 self._start(value, attributes)
@@ -148,6 +152,8 @@ class Walk:
             return
         if name not in BLOCKS and name not in HIDDEN:
             return
+        if name not in IN_HEAD:
+            self._imply_body(name)
         if name in BLOCKS and name not in ("html", "body"):
             self._imply(("p",))
         if name in ENDS:
@@ -165,6 +171,11 @@ class Walk:
         self.stack.append((name, signature, inside))
         self.opened(name, signature, inside, main)
 
+    def _imply_body(self, name: str = "") -> None:
+        """Where a head is not ended by its tag."""
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop()
+
     def _imply(self, names: tuple[str, ...]) -> None:
         """Ends an open element of these names that no scope shields."""
         for k in range(len(self.stack) - 1, -1, -1):
@@ -357,6 +368,13 @@ class _Text(Walk):
         self.live: list[tuple[int, int]] = []  # depth, region
         self.buffer: list[str] = []
 
+    def _imply_body(self, name=""):
+        """Begins a body as well where its tag is left out; it has no signature, as wrappers don't have it."""
+        super()._imply_body(name)
+        if name not in ("html", "body") and (not self.stack or self.stack[-1][0] == "html"):
+            self.stack.append(("body", "", SHOWN))
+            self.opened("body", "", SHOWN, False)
+
     def broken(self):
         block = " ".join(html.unescape("".join(self.buffer)).split())
         self.buffer.clear()
@@ -373,7 +391,7 @@ class _Text(Walk):
             kinds.append("article")
         if main and not any(self.regions[k][0] == "main" for _, k in self.live):
             kinds.append("main")
-        if self.path and len(self.stack) == len(self.path) and [s for _, s, _ in self.stack] == self.path:
+        if self.path and len(self.stack) <= len(self.path) + 1 and [s for _, s, _ in self.stack if s] == self.path:
             kinds.append("wrapper")
         for kind in kinds:
             self.regions.append((kind, []))
@@ -384,12 +402,7 @@ class _Text(Walk):
         self.live = [x for x in self.live if x[0] < len(self.stack)]
 
     def text(self, value):
-        if not self.stack:
-            if not value.strip():
-                return
-            self.stack.append(("body", "body", SHOWN))
-            self.opened("body", "body", SHOWN, False)
-        if not self.stack[-1][2]:
+        if self.stack and not self.stack[-1][2]:
             self.buffer.append(value)
 
 
