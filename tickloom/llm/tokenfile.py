@@ -40,18 +40,24 @@ from tokenizers import Tokenizer
 from tickloom.llm.common import forget, parked
 
 MAGIC = b"TLTOKEN1"
-# Bytes of a block, bytes of remembered words in one worker, the longest such word, characters of a text taken at a time, and texts
-# encoded together; they steer cost only.
-BLOCK_BYTES, KEPT_BYTES, KEPT_CHARS, PART_CHARS, TEXTS = 1 << 20, 256 << 20, 64, 1 << 20, 64
+# Bytes of a block, bytes of remembered words in one worker, the longest such word, characters of a text taken at a time, texts
+# encoded together, and new words encoded as one line; they steer cost only.
+BLOCK_BYTES, KEPT_BYTES, KEPT_CHARS, PART_CHARS, TEXTS, LINE = 1 << 20, 256 << 20, 64, 1 << 20, 64, 512
 # The tokenizer always cuts between a character and white space behind it, and white space but its last character before a word
 # is a unit of its own. So in a text in which no space stands between white space (or ends the text), it cuts before each space. Characters
 # that Python and the tokenizer may not both take for white space, and marks of special tokens, count as unclear.
-_ODD = re.compile("  | \n| $|<\\||[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_ODD = ("  ", " \n", "<|", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_ODD_WIDE = (*"\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200C)))
 _CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\ufeff])(?=[ \n])")
 BYTES_OF = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
+def unclear(text: str) -> bool:
+    """Whether a text may be cut elsewhere than before its spaces; a search for each mark costs less than one pattern for all."""
+    return text.endswith(" ") or any(x in text for x in _ODD) or not text.isascii() and any(x in text for x in _ODD_WIDE)
+
+
 class Chunked:
     """A tokenizer that remembers the ids of words behind a space; every id comes from the library.
 
@@ -64,6 +70,13 @@ class Chunked:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(not s.startswith("<|") or re.search(r"\s", s) for s in special):
             raise ValueError("special tokens are expected to begin with <| and to hold no white space")
+        vocabulary = self.tokenizer.get_vocab()
+        # Ids that begin with a space, as byte-level tokenizers spell it. A space is one byte of one id.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        # The ids of a full stop and a comma, if the tokenizer cuts between letters and them.
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer and not self.tokenizer.normalizer else lambda text: []
+        self.marks = {c: self.direct([c])[0] for c in ".," if [at for _, at in pieces(f" ab{c} c")] == [(0, 3), (3, 4), (4, 6)]}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -71,39 +84,56 @@ class Chunked:
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def behind_space(self, words: list[str]) -> list[bytes]:
+        """The ids of each word behind a space. Many are encoded as one line, which the ids that begin with a space part again."""
+        out: list[bytes] = []
+        for at in range(0, len(words), LINE):
+            part = words[at : at + LINE]
+            line = self.direct([" " + " ".join(part)])[0]
+            first = np.flatnonzero(self.spaced[np.frombuffer(line, dtype=np.uint32)])
+            if len(first) == len(part) and first[0] == 0:
+                edges = [*(4 * first).tolist(), len(line)]
+                out += [line[a:b] for a, b in zip(edges, edges[1:])]
+            else:  # a tokenizer that spells spaces otherwise
+                out += self.direct([" " + w for w in part])
+        return out
+
     def _learn(self, words: set[str]) -> list[str]:
         """Look up or encode new words; returns those that are too long to be kept."""
-        known, old = self.known, self.old
-        new = []
-        for w in words:
-            ids = old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                known[w] = ids
-        known.update(zip(new, self.direct([" " + w for w in new])))
-        self.held += sum(200 + 2 * len(w) for w in words)
-        return [w for w in new if len(w) > KEPT_CHARS]
+        again = words & self.old.keys() if self.old else ()
+        self.known.update({w: self.old[w] for w in again})
+        new = words.difference(again)
+        # A mark behind Latin letters is a unit of its own, so such words need the letters alone from the library.
+        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha() and w.isascii()]
+        plain = new.difference(marked)
+        plain.update({w[:-1] for w in marked}.difference(self.known))
+        made = list(plain)
+        self.known.update(zip(made, self.behind_space(made)))
+        self.known.update([(w, self.known[w[:-1]] + self.marks[w[-1]]) for w in marked])
+        self.held += 200 * (len(again) + len(made) + len(marked)) + 2 * (sum(map(len, words)) + sum(map(len, made)))
+        return [w for w in {*made, *marked} if len(w) > KEPT_CHARS]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of texts, little-endian 32 bits each."""
         out: list[bytes | None] = [None] * len(texts)
         plain, split = [], []
         for k, text in enumerate(texts):
-            if len(text) > PART_CHARS or _ODD.search(text):
+            if len(text) > PART_CHARS or unclear(text):
                 out[k] = b"".join(ids for part in self._cut(text) for ids in self.direct([part]))
             else:
                 plain.append(k)
                 split.append(text.split(" "))
         firsts = self.direct([words[0] for words in split])
-        for k, first, words in zip(plain, firsts, split):
+        for words in split:
             del words[0]
-            long = self._learn(set(words).difference(self.known))
-            out[k] = b"".join([first, *map(self.known.__getitem__, words)])
-            for w in long:
-                del self.known[w]
-            if self.held > KEPT_BYTES // 2:
-                self.known, self.old, self.held = {}, self.known, 0
+        long = self._learn(set().union(*split).difference(self.known))
+        ids_of = self.known.__getitem__
+        for k, first, words in zip(plain, firsts, split):
+            out[k] = first + b"".join(map(ids_of, words))
+        for w in long:
+            del self.known[w]
+        if self.held > KEPT_BYTES // 2:
+            self.known, self.old, self.held = {}, self.known, 0
         return [np.frombuffer(b, dtype="<u4") for b in out]
 
     def _cut(self, text: str) -> list[str]:
