@@ -1,9 +1,9 @@
 """Nearest-analogue estimation: matured candidates, per-anchor scale, stable top-k and neighbour statistics.
 
 Candidates are cut into session blocks and anchors repeated for the blocks before them, so the theta self-join stays an
-equi-join on (symbol, horizon, block) with a residual date filter. It runs twice over the same exchange: once for the
-scale of each anchor (a combinable aggregate) and once for distances, where the top-k limit is applied per partition
-before rows move. Pairs are never materialised.
+equi-join on (symbol, horizon, block) with a residual date filter. It runs once, for distances, where the top-k limit is
+applied per partition before rows move; pairs are never materialised. What an anchor needs of all its candidates (scales,
+win rates) are running sums in order of the exit date, so they take no pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ REASON_PROBABILITY = "歷史到期獲利比例低於門檻"
 REASON_DOWNSIDE = "歷史下檔分位超過風險門檻"
 REASON_TARGET = "目標年度官方開休市資料尚未取得"
 
+# Calendar days of a block of running sums; it steers cost only.
+SUM_DAYS = 512
 ANCHOR = ("symbol", "horizon", "anchor_date")
 
 
@@ -73,6 +75,33 @@ def matured_pairs(anchors: DataFrame, research: DataFrame, size: int = BLOCK_SES
     return _fan(anchors, size).join(candidates, ["symbol", "horizon", "block"]).filter("c_exit <= anchor_date AND c_ord < ord")
 
 
+def matured_sums(anchors: DataFrame, outcomes: DataFrame, sums: dict[str, Column], days: int = SUM_DAYS) -> DataFrame:
+    """`n` and the sums over all outcomes of an anchor's symbol and horizon that have exited by its date.
+
+    An exit lies behind its signal, so an outcome that is known is also an earlier one. Outcomes are added up per exit day and
+    run on inside blocks of calendar days; the blocks before add one row each. Anchors without any outcome have zeros.
+    """
+    keys, names = ["symbol", "horizon"], ["n", *sums]
+    known = outcomes.groupBy(*keys, F.col("exit_date").alias("_day")).agg(
+        F.count("*").alias("n"), *[F.sum(value).alias(name) for name, value in sums.items()]
+    )
+    asked = anchors.select(*keys, F.col("anchor_date").alias("_day")).distinct().withColumn("_asked", F.lit(True))
+    both = known.withColumn("_asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    both = both.withColumn("_block", F.floor(F.unix_date("_day") / days))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = (
+        both.groupBy(*keys, "_block")
+        .agg(*[F.sum(c).alias(c) for c in names])
+        .select(*keys, "_block", *[F.sum(c).over(earlier).alias("_" + c) for c in names])
+    )
+    upto = Window.partitionBy(*keys, "_block").orderBy("_day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.select(*keys, "_block", "_day", "_asked", *[F.sum(c).over(upto).alias(c) for c in names]).filter("_asked")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col("_" + c), F.lit(0))
+    return inside.join(ahead, [*keys, "_block"]).select(
+        *keys, F.col("_day").alias("anchor_date"), *[whole(c).alias(c) for c in names]
+    )
+
+
 def _as_anchors(rows: DataFrame) -> DataFrame:
     return rows.filter("has_features").select(
         "symbol", "horizon", F.col("date").alias("anchor_date"), "ord", *VECTOR
@@ -80,14 +109,20 @@ def _as_anchors(rows: DataFrame) -> DataFrame:
 
 
 def anchor_scales(anchors: DataFrame, research: DataFrame) -> DataFrame:
-    """Population standard deviation of each dimension over the anchor's own candidates, floored."""
-    pairs = matured_pairs(_as_anchors(anchors), research)
-    return pairs.groupBy(*ANCHOR).agg(
-        F.count("*").alias("candidates"),
-        *[
-            F.greatest(F.stddev_pop("c_" + v), F.lit(floor)).alias("s_" + v)
-            for v, floor in zip(VECTOR, SCALE_FLOORS, strict=True)
-        ],
+    """Population standard deviation of each dimension over the anchor's own candidates, floored.
+
+    Variances are differences of running moments. What that loses in digits is far below the floors, which also stand for
+    dimensions that are constant.
+    """
+    candidates = research.filter("has_features AND has_outcome")
+    moments = {f"m{k}_{v}": F.pow(F.col(v), F.lit(k)) for v in VECTOR for k in (1, 2)}
+    sums = matured_sums(_as_anchors(anchors), candidates, moments)
+    mean = lambda k, v: F.col(f"m{k}_{v}") / F.col("n")
+    scale = lambda v: F.sqrt(F.greatest(mean(2, v) - mean(1, v) * mean(1, v), F.lit(0.0)))
+    return sums.filter("n > 0").select(
+        *ANCHOR,
+        F.col("n").alias("candidates"),
+        *[F.greatest(scale(v), F.lit(floor)).alias("s_" + v) for v, floor in zip(VECTOR, SCALE_FLOORS, strict=True)],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.analogue import ANCHOR, EstimateSettings, estimates
+from tickloom.operators.analogue import ANCHOR, EstimateSettings, estimates, matured_sums
 from tickloom.operators.clean import security_group
 from tickloom.functions.layout import BLOCK_SESSIONS, blocked
 
@@ -41,25 +41,12 @@ def validation_anchors(research: DataFrame, indexed: DataFrame, first: int = 160
     return kept.filter(F.col("_rn") <= keep).drop("_rn", "_pos")
 
 
-def matured_baseline(anchors: DataFrame, research: DataFrame, size: int = BLOCK_SESSIONS) -> DataFrame:
+def matured_baseline(anchors: DataFrame, research: DataFrame) -> DataFrame:
     """Win rate of all outcomes known on the anchor's date, whether or not their bar had features."""
-    outcomes = research.filter("has_outcome").select(
-        "symbol",
-        "horizon",
-        F.floor(F.col("ord") / size).alias("block"),
-        F.col("ord").alias("c_ord"),
-        F.col("exit_date").alias("c_exit"),
-        F.when(F.col("return_pct") > 0, 1.0).otherwise(0.0).alias("c_won"),
-    )
-    fanned = anchors.select("symbol", "horizon", F.col("date").alias("anchor_date"), "ord").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("ord") / size)))
-    )
-    return (
-        fanned.join(outcomes, ["symbol", "horizon", "block"])
-        .filter("c_exit <= anchor_date AND c_ord < ord")
-        .groupBy(*ANCHOR)
-        .agg(F.avg("c_won").alias("baseline"))
-    )
+    keyed = anchors.select("symbol", "horizon", F.col("date").alias("anchor_date"))
+    won = F.when(F.col("return_pct") > 0, 1.0).otherwise(0.0)
+    sums = matured_sums(keyed, research.filter("has_outcome"), {"won": won}).filter("n > 0")
+    return sums.select(*ANCHOR, (F.col("won") / F.col("n")).alias("baseline"))
 
 
 def predictions(anchors: DataFrame, research: DataFrame, settings: EstimateSettings = EstimateSettings()) -> DataFrame:
