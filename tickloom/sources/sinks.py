@@ -51,6 +51,7 @@ def write_exports(exports: DataFrame, path: str, snapshot_id: str) -> None:
         ordered.sortWithinPartitions("horizon", "metric", "position")
         .write.mode("overwrite")
         .option("header", True)
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", 1_000_000)
         .partitionBy("snapshot_id", "horizon", "metric")
         .csv(path)
