@@ -36,10 +36,11 @@ def changed_arrivals(arrivals: DataFrame, grain: str = "day", keys: Sequence[str
     compared = ordered.withColumn("_before", F.last(F.when(F.col("_fresh"), F.col("content_hash")), True).over(earlier))
     joined = compared.filter("_fresh").join(carried, [*keys, "_slice"])
     changed = joined.filter(~F.col("content_hash").eqNullSafe(F.coalesce("_before", "_carry")))
-    return _stamped(changed.drop("_slice", "_fresh", "_before", "_carry"))
+    return stamped(changed.drop("_slice", "_fresh", "_before", "_carry"))
 
 
-def _stamped(rows: DataFrame) -> DataFrame:
+def stamped(rows: DataFrame) -> DataFrame:
+    """Versions with the time they were first seen and the time they were available."""
     return rows.withColumns(
         {
             "first_seen_at": F.col("acquired_at"),
@@ -53,7 +54,7 @@ def new_versions(current: DataFrame, batch: DataFrame, keys: Sequence[str] = IDE
     held = current.select(*keys, F.col("content_hash").alias("_held"), F.col("first_seen_at").alias("_seen"))
     joined = batch.join(held, list(keys), "left")
     accept = F.col("_held").isNull() | ((F.col("_held") != F.col("content_hash")) & (F.col("acquired_at") > F.col("_seen")))
-    return _stamped(joined.filter(accept).drop("_held", "_seen"))
+    return stamped(joined.filter(accept).drop("_held", "_seen"))
 
 
 def latest_versions(

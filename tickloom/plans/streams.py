@@ -18,10 +18,13 @@ def folder(m: Market, name: str) -> str:
     return f"{checkpoint_dir(m.spark)}/streams-{m.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
 
 
+FILES = 4
+
+
 def landed_events(m: Market, repeat: bool = False, late: int = 3):
-    """Events landed in four files of equal time, each a micro-batch; every fifth event comes up to ``late`` days late.
+    """Events landed in four parts of equal time, each some files and a micro-batch; every fifth event comes ``late`` days late.
 
-    With ``repeat`` the third file lands twice.
+    With ``repeat`` the third part lands twice.
     """
     events = m.table("events")
     day = F.datediff("ts", F.lit("1970-01-01").cast("date")) + F.when(F.col("event_id") % 5 == 0, late).otherwise(0)
@@ -29,8 +32,8 @@ def landed_events(m: Market, repeat: bool = False, late: int = 3):
     part = F.floor((day - first) * 4 / (last - first + 1))
     source = folder(m, "events")
     for k in (0, 1, 2, 2, 3) if repeat else (0, 1, 2, 3):
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(source)
-    return jobs.file_stream(m.spark, source, events.schema, files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
+        events.filter(part == k).repartition(FILES).write.mode("append").parquet(source)
+    return jobs.file_stream(m.spark, source, events.schema, files_per_trigger=FILES).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def quote_stream(m: Market):
@@ -53,6 +56,35 @@ def s2(m):
     return jobs.newest_version(m.spark, out).select("symbol", "seq", "price")
 
 
+@query("s2_distinct_quotes_stream", "select cast(user_id as varchar) as symbol, event_id as seq, value as price from events where hour(ts) >= 9")
+def s2_distinct(m):
+    """The part that lands twice counts once; five days cover what comes late."""
+    out = folder(m, "distinct")
+    jobs.distinct_quotes(quote_stream(m), out, folder(m, "distinct-check"), "5 days").awaitTermination()
+    return m.spark.read.parquet(out).select("symbol", "seq", "price")
+
+
+# Batches in the order in which parts land; the third part lands twice.
+_LATE = """
+with days as (select event_id, ts, datediff('day', date '1970-01-01', cast(ts as date)) + case when event_id % 5 = 0 then 3 else 0 end as d from events),
+parts as (select *, (d - min(d) over ()) * 4 // (max(d) over () - min(d) over () + 1) as part from days),
+batches as (select * from (values (0, 0), (1, 1), (2, 2), (3, 2), (4, 3)) v(batch, part)),
+tops as (select batch, max(ts) as top from batches join parts using (part) group by 1),
+limits as (select batch, max(top) over (order by batch rows between unbounded preceding and 1 preceding) as newest from tops)
+select l.batch, p.event_id as seq, (epoch_us(l.newest) - epoch_us(p.ts)) // 1000000 as behind_seconds
+from parts p join batches b using (part) join limits l on l.batch = b.batch where p.ts <= l.newest - interval 90 second
+"""
+
+
+@query("s4_late_side_output", _LATE)
+def s4_late(m):
+    out = folder(m, "late")
+    rows = landed_events(m, repeat=True).select(F.col("event_id").alias("seq"), F.col("ts").alias("updated_at"))
+    jobs.late_side_output(rows, "updated_at", out, folder(m, "late-check")).awaitTermination()
+    behind = F.floor((F.unix_micros("newest_at") - F.unix_micros("updated_at")) / 1_000_000)
+    return m.spark.read.parquet(out).select("batch", "seq", behind.alias("behind_seconds"))
+
+
 @query("s6_live_rankings", f"with q4 as (select * from ({_DAYQ}) q where rn = 1) select list, symbol, {rnd('value', 4, 'value')}, position from ({_INTRA}) z")
 def s6(m):
     out = folder(m, "lists")
@@ -70,15 +102,26 @@ def s7(m):
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "source", "symbol", "mentions")
 
 
-@query("s8_change_capture", oracle("select source, symbol, key, value, seq from ver", "ver"))
-def s8(m):
+def observation_arrivals(m: Market):
     week = F.date_trunc("week", "ts").cast("date")
     arrivals = landed_events(m, repeat=True, late=0).select(
         F.col("event_type").alias("source"), text("user_id").alias("symbol"), F.date_format(week, "yyyy-MM-dd").alias("key"), week.alias("data_date"), F.floor(F.col("value") / 100).cast("double").alias("value"),
         F.col("ts").alias("acquired_at"), F.lit(None).cast("timestamp").alias("published_at"), F.col("event_id").alias("seq"),
     )
+    return T.content_hashed(arrivals, "symbol", "key", "value")
+
+
+@query("s8_change_capture", oracle("select source, symbol, key, value, seq from ver", "ver"))
+def s8(m):
     out = folder(m, "versions")
-    jobs.capture_changes(T.content_hashed(arrivals, "symbol", "key", "value"), out, folder(m, "versions-check")).awaitTermination()
+    jobs.capture_changes(observation_arrivals(m), out, folder(m, "versions-check")).awaitTermination()
+    return m.spark.read.parquet(out).select("source", "symbol", "key", "value", "seq")
+
+
+@query("s8_keyed_change_capture", oracle("select source, symbol, key, value, seq from ver", "ver"))
+def s8_keyed(m):
+    out = folder(m, "keyed")
+    jobs.capture_keyed_changes(observation_arrivals(m), out, folder(m, "keyed-check")).awaitTermination()
     return m.spark.read.parquet(out).select("source", "symbol", "key", "value", "seq")
 
 
@@ -88,9 +131,9 @@ def s9(m):
     source = folder(m, "landing")
     for part in (0, 1, 2, 0):
         some = m.bars.filter(F.pmod(F.xxhash64("symbol", "date"), F.lit(3)) == part)
-        some.coalesce(1).write.mode("append").parquet(source)
+        some.repartition(FILES).write.mode("append").parquet(source)
     out = folder(m, "bars")
-    stream = jobs.file_stream(m.spark, source, m.bars.schema, files_per_trigger=1)
+    stream = jobs.file_stream(m.spark, source, m.bars.schema, files_per_trigger=FILES)
     jobs.incremental_bars(stream, out, folder(m, "bars-check")).awaitTermination()
     rows = m.spark.read.schema(m.bars.schema).parquet(out)
     return rounded(rows.select("symbol", text("date").alias("date"), "open", "close"), "open", "close")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tickloom.operators import mentions, pit, ranking
@@ -49,6 +50,37 @@ def latest_quote_stream(quotes: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
+def distinct_quotes(quotes: DataFrame, path: str, checkpoint: str, late: str = LATE, keys: tuple[str, ...] = ("symbol", "seq"), every: str | None = None) -> StreamingQuery:
+    """Every quote once, however often a feed repeats it: the first row of a key that is not later than ``late``.
+
+    State is one key per quote of the last ``late``; a repetition that comes after that is behind the watermark and goes too.
+    """
+    once = quotes.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(list(keys))
+    writer = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def late_side_output(rows: DataFrame, at: str, path: str, checkpoint: str, late: str = LATE, every: str | None = None) -> StreamingQuery:
+    """Rows at least ``late`` behind the newest time of the micro-batches before theirs, with ``newest_at`` and the batch.
+
+    A watermark drops such rows without a trace. The newest time so far is one row, published per batch, so a batch that is
+    run again finds the same limit and writes the same rows. Rows without a time are neither late nor newest.
+    """
+    seen = f"{path}-seen"
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = newest_version(spark, seen, batch_id)
+        newest = before.first()["newest_at"] if before is not None else None
+        marked = batch.withColumn("newest_at", F.lit(newest).cast("timestamp"))
+        behind = marked.filter(F.col(at) <= F.col("newest_at") - F.expr(f"INTERVAL {late}"))
+        behind.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        top = batch.agg(F.greatest(F.max(at).cast("timestamp"), F.lit(newest).cast("timestamp")).alias("newest_at"))
+        publish_version(top, seen, batch_id)
+
+    return run(rows, split, checkpoint, "append", every)
+
+
 def published_versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions under a path, oldest first."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -204,6 +236,63 @@ def capture_changes(arrivals: DataFrame, path: str, checkpoint: str, every: str
     return run(arrivals, append, checkpoint, "append", every)
 
 
+class _LastVersion(StatefulProcessor):
+    """Per identity: the hash and the time of its last arrival."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getValueState("last", "content_hash string, at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["acquired_at", "seq"], kind="stable")
+        at = batch["acquired_at"].astype("datetime64[us]").astype("int64")
+        fresh = ~at.duplicated()
+        held = self._last.get() if self._last.exists() else None
+        if held is not None:
+            fresh &= at > held[1]
+        batch, at = batch[fresh], at[fresh]
+        if batch.empty:
+            return
+        digest = batch["content_hash"].to_numpy(dtype=object)
+        before = [held[0] if held is not None else None, *digest[:-1]]
+        changed = [a != b for a, b in zip(digest, before, strict=True)]
+        if held is None:
+            changed[0] = True
+        self._last.update((digest[-1], int(at.iloc[-1])))
+        if any(changed):
+            yield batch[changed]
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_changes(arrivals: DataFrame) -> DataFrame:
+    """Append-if-changed with state per identity: the versions a micro-batch adds, touching only the identities it holds.
+
+    An arrival counts when it is later than all arrivals of its identity so far, and is a version when its content differs from
+    the one before. Arrivals without a time are left out. State is one hash and time per identity and doesn't expire. A task
+    holds the rows of one identity and micro-batch; the source's limit of files bounds them.
+    """
+    timed = arrivals.filter("acquired_at IS NOT NULL")
+    return pit.stamped(timed.groupBy(*pit.IDENTITY).transformWithStateInPandas(_LastVersion(), arrivals.schema, "append", "None"))
+
+
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+KEYED_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def capture_keyed_changes(arrivals: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """``keyed_changes`` into a Parquet sink, each version once."""
+    spark = arrivals.sparkSession
+    usual = spark.conf.get(STATE_PROVIDER)
+    writer = keyed_changes(arrivals).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    spark.conf.set(STATE_PROVIDER, KEYED_STATE)  # the query takes a copy of the session's settings when it starts
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(STATE_PROVIDER, usual)
+
+
 def incremental_bars(bars: DataFrame, path: str, checkpoint: str, recheck: int = 5, every: str | None = None) -> StreamingQuery:
     """Bars by session partition; a batch may hold any part of a session.
 
