@@ -39,6 +39,22 @@ def test_keyed_state_equals_a_scan(spark, tmp_path):
     assert found.filter("first_seen_at <> acquired_at OR available_at <> acquired_at").isEmpty()
 
 
+def test_keyed_state_is_held_in_groups(spark, tmp_path):
+    """Far more identities than groups: every change counts, and state has one value per group, not one per identity."""
+    names = jobs.STATE_GROUPS * 3
+    row = lambda day, i, v: ("s", str(i), "w", date(2026, 1, 1), float(v), START + timedelta(days=day), None, day * names + i)
+    days = [[row(d, i, d == 2 and i % 7 == 0) for i in range(names)] for d in range(3)]
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for day in days:
+        df = T.content_hashed(spark.createDataFrame(day, ARRIVAL), "symbol", "key", "value")
+        land(df, source)
+        job = jobs.capture_keyed_changes(jobs.file_stream(spark, source, df.schema), out, check)
+        job.awaitTermination()
+    want = [r[-1] for r in days[0]] + [r[-1] for i, r in enumerate(days[2]) if i % 7 == 0]
+    assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= jobs.STATE_GROUPS
+
+
 def test_repeated_quotes_count_once(spark, tmp_path):
     quotes = spark.createDataFrame([("a", i, START + timedelta(seconds=i), float(i)) for i in range(50)], "symbol string, seq long, updated_at timestamp, price double")
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))

@@ -6,6 +6,7 @@ Sinks are idempotent per micro-batch: a replay overwrites the output of the same
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -236,28 +237,31 @@ def capture_changes(arrivals: DataFrame, path: str, checkpoint: str, every: str
     return run(arrivals, append, checkpoint, "append", every)
 
 
-class _LastVersion(StatefulProcessor):
-    """Per identity: the hash and the time of its last arrival."""
+# State of keyed capture lies in this many groups of identities: a call of Python and a read of state serve a group, not one identity.
+STATE_GROUPS = 1 << 10
+
+
+class _LastVersions(StatefulProcessor):
+    """Per group of identities: the hash and the time of each identity's last arrival, as a JSON list."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "content_hash string, at long")
+        self._last = handle.getValueState("last", "arrivals string")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["acquired_at", "seq"], kind="stable")
-        at = batch["acquired_at"].astype("datetime64[us]").astype("int64")
-        fresh = ~at.duplicated()
-        held = self._last.get() if self._last.exists() else None
-        if held is not None:
-            fresh &= at > held[1]
-        batch, at = batch[fresh], at[fresh]
-        if batch.empty:
-            return
-        digest = batch["content_hash"].to_numpy(dtype=object)
-        before = [held[0] if held is not None else None, *digest[:-1]]
-        changed = [a != b for a, b in zip(digest, before, strict=True)]
-        if held is None:
-            changed[0] = True
-        self._last.update((digest[-1], int(at.iloc[-1])))
+        held = self._last.get()
+        last = {tuple(identity): (digest, at) for identity, digest, at in json.loads(held[0])} if held else {}
+        at = batch["acquired_at"].astype("datetime64[us]").astype("int64").tolist()
+        changed, moved = [], False
+        for identity, digest, now in zip(zip(*[batch[c] for c in pit.IDENTITY], strict=True), batch["content_hash"], at, strict=True):
+            before = last.get(identity)
+            fresh = before is None or now > before[1]
+            changed.append(fresh and (before is None or digest != before[0]))
+            if fresh:
+                last[identity] = (digest, now)
+                moved = True
+        if moved:
+            self._last.update((json.dumps([[i, *v] for i, v in last.items()], ensure_ascii=False, separators=(",", ":")),))
         if any(changed):
             yield batch[changed]
 
@@ -266,14 +270,16 @@ class _LastVersion(StatefulProcessor):
 
 
 def keyed_changes(arrivals: DataFrame) -> DataFrame:
-    """Append-if-changed with state per identity: the versions a micro-batch adds, touching only the identities it holds.
+    """Append-if-changed with keyed state: the versions a micro-batch adds, touching only the groups of the identities it holds.
 
     An arrival counts when it is later than all arrivals of its identity so far, and is a version when its content differs from
-    the one before. Arrivals without a time are left out. State is one hash and time per identity and doesn't expire. A task
-    holds the rows of one identity and micro-batch; the source's limit of files bounds them.
+    the one before. Arrivals without a time are left out. State is one hash and time per identity and doesn't expire; identities
+    lie in ``STATE_GROUPS`` groups by their hash, and a group's state is one value. A task holds the rows of one group and
+    micro-batch; the source's limit of files bounds them.
     """
     timed = arrivals.filter("acquired_at IS NOT NULL")
-    return pit.stamped(timed.groupBy(*pit.IDENTITY).transformWithStateInPandas(_LastVersion(), arrivals.schema, "append", "None"))
+    grouped = timed.withColumn("_group", F.pmod(F.xxhash64(*pit.IDENTITY), F.lit(STATE_GROUPS)).cast("int")).groupBy("_group")
+    return pit.stamped(grouped.transformWithStateInPandas(_LastVersions(), arrivals.schema, "append", "None"))
 
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
