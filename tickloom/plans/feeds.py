@@ -194,10 +194,10 @@ def institution_payloads(m: Market):
     return day.select(F.col("data_date").alias("requested_date"), F.to_json(body).alias("payload"))
 
 
-_FLOW0 = "select lpad(cast(user_id as varchar), 4, '0') as symbol, cast(ts as date) as d, coalesce(sum(value) filter (where event_type = 'purchase'), 0) as b, coalesce(sum(value) filter (where event_type = 'view'), 0) as s, count(value) filter (where event_type = 'purchase') > 0 and count(value) filter (where event_type = 'view') > 0 as twosided from events group by 1, 2"
+_FLOW0 = "select cast(user_id as varchar) as symbol, cast(ts as date) as d, coalesce(sum(value) filter (where event_type = 'purchase'), 0) as b, coalesce(sum(value) filter (where event_type = 'view'), 0) as s, count(value) filter (where event_type = 'purchase') > 0 and count(value) filter (where event_type = 'view') > 0 as twosided from events group by 1, 2"
 
 
-@query("a11_institution_feed", f"select cast(cast(symbol as int) as varchar) as symbol, cast(d as varchar) as data_date, {rnd('b', 2, 'buy')}, {rnd('s', 2, 'sell')}, {rnd('case when twosided then b - s else 0 end', 2, 'foreign_net')}, 'shares' as unit from ({_FLOW0}) f")
+@query("a11_institution_feed", f"select symbol, cast(d as varchar) as data_date, {rnd('b', 2, 'buy')}, {rnd('s', 2, 'sell')}, {rnd('case when twosided then b - s else 0 end', 2, 'foreign_net')}, 'shares' as unit from ({_FLOW0}) f")
 def a11(m):
     rows = FD.institution_flows(institution_payloads(m))
     cell = lambda i: F.element_at("official_fields", F.lit(FL.INSTITUTION_FIELDS[i]))
