@@ -219,7 +219,7 @@ def broken_institution(m: Market):
     return institution_payloads(m).select("requested_date", payload.alias("payload"))
 
 
-_BROKEN = "select distinct d, cast(symbol as int) // 500 as pg, day(d) as k from (select lpad(cast(user_id as varchar), 4, '0') as symbol, cast(ts as date) as d from events) e"
+_BROKEN = "select distinct cast(ts as date) as d, user_id // 500 as pg, day(ts) as k from events"
 _BROKEN_ROWS = "select distinct cast(user_id as varchar) as symbol, cast(ts as date) as d, day(ts) as k from events"
 _NAMED = "case k when 1 then 'bad_status' when 2 then 'wrong_date' when 3 then '{0}' when 4 then '{1}' when 5 then 'number' else 'row_width' end"
 
