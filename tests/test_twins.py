@@ -26,6 +26,6 @@ def same(spark, tmp_path, name, rows):
 LONG_IDS = [(user, kind, 10 + user % 7, day, user % 50) for user in (3, 1000, 1001, 10000, 10500, 90007) for kind in ("purchase", "view") for day in range(8)]
 
 
-@pytest.mark.parametrize("name", ("a11_institution_feed", "a11_rejects"))
+@pytest.mark.parametrize("name", ("a11_institution_feed", "a11_rejects", "a12_rejects"))
 def test_ids_of_five_digits(spark, tmp_path, name):
     same(spark, tmp_path, name, LONG_IDS)
