@@ -232,15 +232,16 @@ _totals_query("g7_one_session_totals", 1)
 @query(
     "r6_institution_lists",
     oracle(
-        "select grp, metric, symbol, " + rnd("value", 4, "value") + ", row_number() over (partition by grp, metric order by case when metric = 'net_sell' then value else -value end, symbol) as position, count(*) over (partition by grp, metric) as position_of from ("
+        "select grp, metric, symbol, value, row_number() over (partition by grp, metric order by case when metric = 'net_sell' then value else -value end, symbol) as position, count(*) over (partition by grp, metric) as position_of from ("
         "select grp, 'net_buy' as metric, symbol, net as value from t where net > 0 union all select grp, 'net_sell', symbol, net from t where net < 0 union all select grp, 'buy', symbol, buy from t where buy > 0 union all "
         "select grp, 'sell', symbol, sell from t where sell > 0) z",
         "legs", "pit_days",
-    ).replace("\nselect grp, metric", f",\nt as ({TOTALS.format(n=1)})\nselect grp, metric"),
+    ).replace("\nselect grp, metric", f",\nt as (select symbol, grp, {rlist('buy', 'sell', 'net', digits=4)} from ({TOTALS.format(n=1)}) z)\nselect grp, metric"),
 )
 def r6(m):
-    rows = FL.institution_lists(totals(m, 1)).withColumnRenamed("group", "grp")
-    return rows.withColumn("value", F.round("value", 4))
+    """Lists of the published amounts: sums of doubles differ in their last bits by the order of the rows, so equal amounts would part by chance."""
+    published = rounded(totals(m, 1), "buy", "sell", "net", digits=4)
+    return FL.institution_lists(published).withColumnRenamed("group", "grp")
 
 
 @query("j11_observation_lookup", oracle("select symbol, back, " + rnd("net", 4, "net") + " from legs join pit_days using (date) where grp = 'foreign' and back < 5", "legs", "pit_days"))
