@@ -40,3 +40,12 @@ def test_equal_sums_part_by_symbol(spark, tmp_path):
     found = same(spark, tmp_path, "r6_institution_lists", [*rows, (1, "click", 1, 7, 0)])
     buys = sorted((r["position"], r["symbol"], r["value"]) for r in found.filter("grp = 'foreign' AND metric = 'buy'").collect())
     assert len({v for *_, v in buys}) == 1 and [s for _, s, _ in buys] == sorted(str(u) for u in range(40))
+
+
+# The newest quote of every third user, and the only one of user 5, has the price zero, which is no price.
+ZEROS = [(user, "view", 0 if user == 5 or (minute == 9 and user % 3 == 0) else 10 + user, day, minute) for user in range(12) for day in (0, 1) for minute in ((9,) if user == 5 else (3, 9))]
+
+
+@pytest.mark.parametrize("name", ("s2_latest_quote",))
+def test_a_price_of_zero_is_none(spark, tmp_path, name):
+    same(spark, tmp_path, name, [*ZEROS, (11, "purchase", 21, 1, 10)])

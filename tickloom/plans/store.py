@@ -436,7 +436,7 @@ def s1(m):
     return quote_rows(m).select("seq", "symbol", "kind", "price", "day_pct", "gap_pct", "from_open_pct")
 
 
-@query("s2_latest_quote", oracle("select symbol, seq, price from lastq", "lastq"))
+@query("s2_latest_quote", oracle("select symbol, seq, case when price > 0 and price < 1e18 then price end as price from lastq", "lastq"))
 def s2(m):
     return Q.latest_quotes(quote_rows(m)).select("symbol", "seq", "price")
 
