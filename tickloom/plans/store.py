@@ -453,8 +453,8 @@ def exchange_raw(m: Market):
 @query(
     "s3_exchange_quotes",
     oracle(
-        "select event_id as seq, cast(user_id as varchar) as symbol, cast(ts as date) = cast(now as date) as same_day, cast(ts as date) = cast(now as date) and strftime(ts, '%H:%M:%S') between '09:00:00' and '13:30:00' and event_type <> 'error' as usable, "
-        "case when event_type <> 'error' then -75e0 end as day_pct from events, qnow where event_type <> 'click' and ts <= now + interval 5 second",
+        "select event_id as seq, cast(user_id as varchar) as symbol, cast(ts as date) = cast(now as date) as same_day, cast(ts as date) = cast(now as date) and strftime(ts, '%H:%M:%S') between '09:00:00' and '13:30:00' and event_type <> 'error' and value > 0 as usable, "
+        "case when event_type <> 'error' and value > 0 then -75e0 end as day_pct from events, qnow where event_type <> 'click' and ts <= now + interval 5 second",
         "qnow",
     ),
 )
