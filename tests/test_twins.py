@@ -46,6 +46,6 @@ def test_equal_sums_part_by_symbol(spark, tmp_path):
 ZEROS = [(user, "view", 0 if user == 5 or (minute == 9 and user % 3 == 0) else 10 + user, day, minute) for user in range(12) for day in (0, 1) for minute in ((9,) if user == 5 else (3, 9))]
 
 
-@pytest.mark.parametrize("name", ("s2_latest_quote", "s3_exchange_quotes"))
+@pytest.mark.parametrize("name", ("s2_latest_quote", "s3_exchange_quotes", "s5_feed_state"))
 def test_a_price_of_zero_is_none(spark, tmp_path, name):
     same(spark, tmp_path, name, [*ZEROS, (11, "purchase", 21, 1, 10)])

@@ -477,7 +477,7 @@ def s4(m):
 @query(
     "s5_feed_state",
     oracle(
-        "select 'live' as status, max(ts) = (select now from qnow) as newest, count(distinct user_id) as coverage, (select count(distinct user_id) from events) as universe_count from events, qnow where event_type not in ('click', 'error') "
+        "select 'live' as status, max(ts) = (select now from qnow) as newest, count(distinct user_id) as coverage, (select count(distinct user_id) from events) as universe_count from events, qnow where event_type not in ('click', 'error') and value > 0 "
         "and cast(ts as date) = cast(now as date) and strftime(ts, '%H:%M:%S') between '09:00:00' and '13:30:00' and ts <= now + interval 5 second",
         "qnow",
     ),
