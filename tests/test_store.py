@@ -392,3 +392,23 @@ def test_versions_at_many_cutoffs_equal_one_by_one(spark):
         want |= {(name, *identity, value) for identity, (_, value) in best.items()}
     assert got == want and len(want) > 60
     assert T.versions_at(table, stored.filter("snapshot_id = 'none'")).count() == 0 == T.versions_at(table.limit(0), stored).count()
+
+
+def few_and_many(spark, monkeypatch, run):
+    """Results of the lookup where the text is and of the join for larger dictionaries; the first has no join in its plan."""
+    few = run()
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(M, "FEW", 0)
+    many = run()
+    assert "Join" in many._jdf.queryExecution().optimizedPlan().toString()
+    return [sorted(tuple(map(str, r)) for r in rows.collect()) for rows in (few, many)]
+
+
+FEW_TEXTS = [(1, "banana bananas 𝒳bananas anana ab abab"), (2, None), (3, ""), (4, "營收 1101 台泥 臺泥股價 aaaaaaa"), (5, "x" * 5000 + "banana"), (6, "12345 banana 1101")]
+
+
+def test_few_mentions_need_no_join(spark, monkeypatch):
+    texts = spark.createDataFrame(FEW_TEXTS, "id long, text string")
+    names = spark.createDataFrame([("1101", "臺泥"), ("9", "banana"), ("8", "bananas"), ("7", "aaa"), ("6", "aaa"), ("5", None)], "symbol string, name string")
+    few, many = few_and_many(spark, monkeypatch, lambda: M.mentions(texts, names, "id", "text").select("id", "symbols"))
+    assert few == many and ("4", "['1101', '6', '7']") in few

@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import split_rank
-from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, folded
+from tickloom.functions.text import AMBIGUOUS_NAMES, MentionMatcher, fold, folded
 from tickloom.session import written
 
 USABLE = ("success", "partial")
 # A name is looked up by one run of GRAM characters (a shorter name by all it has). Runs of the whole dictionary mark bits of a bitmap of
 # fixed size, which goes to every task; tasks that share one much-used run are SALTS.
 GRAM, BITS, SALTS = 4, 1 << 24, 16
+# A dictionary of at most FEW rows and FEW_CHARS characters goes to every task, as a broadcast table would; a larger one is joined.
+FEW, FEW_CHARS = 100_000, 4_000_000
 
 
 def gram_codes(text: str, sizes: Sequence[int]) -> np.ndarray:
@@ -66,27 +68,81 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return held.view(np.uint8)
 
 
+def is_few(rows: DataFrame, *columns: str) -> bool:
+    size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length(F.concat_ws("", *columns))), F.lit(0))).first()
+    return size[0] <= FEW and size[1] <= FEW_CHARS
+
+
+class WordTable:
+    """Few words by the codes of their keys, with the flags of the codes: finds all places of the words that a text holds."""
+
+    def __init__(self, keys: DataFrame):
+        rows = keys.collect()  # at most FEW
+        self.sizes = sorted({min(GRAM, len(r["_w"])) for r in rows})
+        flags, self.words = np.zeros(BITS, dtype=bool), {}
+        for r in rows:
+            word, code = r["_w"], r["_g"]
+            run = gram_codes(word, [min(GRAM, len(word))]).tolist().index(code)
+            self.words.setdefault(code, []).append((word, run))
+            flags[code & (BITS - 1)] = True
+        self.bits = np.packbits(flags, bitorder="little")
+
+    def places(self, text: str) -> dict[str, list[int]]:
+        """Starts of each held word, ascending: a word is looked at only where its key stands."""
+        codes = gram_codes(text, self.sizes)
+        hits = np.flatnonzero(flagged(codes, self.bits))
+        starts = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(max(0, len(text) - n + 1)) for n in self.sizes]])
+        out: dict[str, list[int]] = {}
+        for code, at in zip(codes[hits].tolist(), starts[hits].tolist(), strict=True):
+            for word, run in self.words.get(code, ()):
+                if at >= run and text.startswith(word, at - run):
+                    out.setdefault(word, []).append(at - run)
+        return out
+
+
+def flagged(codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    low = codes & (BITS - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def known_codes(text: str, sizes: Sequence[int], bits: np.ndarray) -> np.ndarray:
+    """Distinct codes of a text's runs whose bit is set."""
+    codes = gram_codes(text, sizes)
+    return np.unique(codes[flagged(codes, bits)])
+
+
+def keys_of(words: DataFrame, word: str) -> DataFrame:
+    listed = words.select(F.col(word).alias("_w")).filter("_w <> ''").distinct()
+    return written(keyed_words(listed), f"word-keys-{uuid.uuid4().hex}")
+
+
 def held_words(texts: DataFrame, words: DataFrame, key: str, text: str, word: str) -> DataFrame:
     """Distinct (key, word) where the text holds the word; words of any number, texts of any length.
 
     Every word has one key, the rarest of its runs of characters, so a head that all words share costs nothing. A text is
     walked once: its runs whose bit is set are the candidates' keys, an equi-join gives the words, and each text looks for its
-    candidates once. A text that repeats a key, or a null one, is found under each of its rows' keys once.
+    candidates once. A text that repeats a key, or a null one, is found under each of its rows' keys once. Few words are looked
+    up by their keys where the text is, without the join.
     """
-    listed = words.select(F.col(word).alias("_w")).filter("_w <> ''").distinct()
-    keys = written(keyed_words(listed), f"word-keys-{uuid.uuid4().hex}")
+    keys = keys_of(words, word)
+    rows = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    if is_few(keys, "_w"):
+        table = texts.sparkSession.sparkContext.broadcast(WordTable(keys))
+
+        def held(batch: pa.Array) -> pa.Array:
+            return pa.array([list(table.value.places(t or "")) for t in batch.to_pylist()], pa.list_(pa.string()))
+
+        found = rows.select("_k", F.explode(F.arrow_udf(held, "array<string>")("_t")).alias("_w"))
+        return found.select(F.col("_k").alias(key), F.col("_w").alias(word)).distinct()
     sizes = sorted({r[0] for r in keys.select(F.least(F.length("_w"), F.lit(GRAM))).distinct().collect()})
     flags = texts.sparkSession.sparkContext.broadcast(bitmap(keys).tobytes())
 
     def known(batch: pa.Array) -> pa.Array:
         bits, out = np.frombuffer(flags.value, dtype=np.uint8), []
         for t in batch.to_pylist():
-            codes = gram_codes(t or "", sizes)
-            low = codes & (BITS - 1)
-            out.append(np.unique(codes[(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)]))
+            out.append(known_codes(t or "", sizes, bits))
         return _lists(out)
 
-    rows = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     hits = rows.select("_k", F.explode(F.arrow_udf(known, "array<bigint>")("_t")).alias("_g"))
     hits = hits.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int"))
     spread = keys.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -111,9 +167,11 @@ def mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str, ambig
     name = F.coalesce("name", F.lit(""))
     entries = dictionary.select("symbol", name.alias("name"), (F.coalesce(marked, F.lit(False)) | name.isin(list(ambiguous))).alias("ambiguous"), folded(name).alias("_n"))
     words = entries.select(F.explode(F.array("_n", "symbol")).alias("_word"))
-    held = held_words(body, words, key, "_t", "_word")
     whole = F.struct("symbol", "name", "ambiguous")
     by_word = entries.select(F.explode(F.array_distinct(F.array("_n", "symbol"))).alias("_word"), whole.alias("_e"))
+    if is_few(by_word, "_word", "_e.symbol", "_e.name"):
+        return texts.withColumn("symbols", _few_mentions(by_word).asNondeterministic()(F.col(text)))
+    held = held_words(body, words, key, "_t", "_word")
     found = held.join(by_word, "_word").groupBy(key).agg(F.collect_set("_e").alias("_entries"))
 
     @F.pandas_udf("array<string>")
@@ -129,6 +187,28 @@ def mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str, ambig
     return texts.join(found, key, "left").withColumn("symbols", identify.asNondeterministic()(F.col(text), F.col("_entries"))).drop("_entries")
 
 
+def _few_mentions(by_word: DataFrame):
+    """The securities a text names, as a function of the text alone: it carries the entries (_word, _e), which are few."""
+    listed: dict[str, list] = {}
+    for r in by_word.collect():  # at most FEW
+        listed.setdefault(r["_word"], []).append(tuple(r["_e"]))
+    context = by_word.sparkSession.sparkContext
+    table = context.broadcast((WordTable(keys_of(by_word, "_word")), listed))
+
+    @F.pandas_udf("array<string>")
+    def identify(bodies: pd.Series) -> pd.Series:
+        words, entries = table.value
+
+        def one(body):
+            places = words.places(fold(body))
+            met = {e for w in places for e in entries[w]}
+            return MentionMatcher(met, places).identify(body) if met else []
+
+        return pd.Series([one(b) for b in bodies])
+
+    return identify
+
+
 def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
     """(text, name) pairs where the name occurs, as a substring, anywhere in the whole text."""
     return held_words(texts, dictionary, key, text, "name")
