@@ -412,3 +412,10 @@ def test_few_mentions_need_no_join(spark, monkeypatch):
     names = spark.createDataFrame([("1101", "臺泥"), ("9", "banana"), ("8", "bananas"), ("7", "aaa"), ("6", "aaa"), ("5", None)], "symbol string, name string")
     few, many = few_and_many(spark, monkeypatch, lambda: M.mentions(texts, names, "id", "text").select("id", "symbols"))
     assert few == many and ("4", "['1101', '6', '7']") in few
+
+
+def test_few_dictionary_hits_need_no_join(spark, monkeypatch):
+    texts = spark.createDataFrame([*FEW_TEXTS, (1, "anana banana"), (None, "abab")], "id long, text string")
+    names = spark.createDataFrame([(n,) for n in ("banana", "anana", "abab", "a", "台", "")], "name string")
+    few, many = few_and_many(spark, monkeypatch, lambda: M.dictionary_hits(texts, names, "id", "text"))
+    assert few == many and ("None", "abab") in few and few.count(("1", "anana")) == 1
