@@ -323,6 +323,22 @@ def test_set_pairs_meet_all_alike_sets(spark):
         assert want and want <= {(r.x, r.y) for r in simhash.set_pairs(table, 0.8, run_rows).collect()}
 
 
+def test_set_pairs_make_a_pair_about_once(spark, monkeypatch):
+    """Eight alike sets of eight groups share some 40 of their rarest shingles each; a pair was made once for each of them and each block."""
+    sets = [np.array([j for j in range(200) if j % 50 != k] + [10**6 + k], dtype=np.uint64) for k in range(8)]
+    for common in (np.zeros(0, dtype=np.uint64), np.arange(200, dtype=np.uint64)):
+        rows = []
+        for k, own in enumerate(sets):
+            first, rare = simhash.prefix(own, common, common.astype(np.int64) + 3, 0.8)
+            rows.append((k, k, len(own), rare, first.astype(np.int64).tolist()))
+        table = spark.createDataFrame(rows, "node long, group long, size long, rare long, prefix array<bigint>")
+        with monkeypatch.context() as patched:
+            patched.setattr(type(table), "distinct", lambda self: self)
+            for run_rows in (5000, 2):
+                made = [(r.x, r.y) for r in simhash.set_pairs(table, 0.8, run_rows).collect()]
+                assert {(i, j) for j in range(8) for i in range(j)} == set(made) and len(made) < 2 * 28
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]

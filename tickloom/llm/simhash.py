@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import forget, lower_words, parked, shingles
@@ -37,8 +37,9 @@ from tickloom.llm.graph import components
 SEED = 42
 # Samples that only steer cost: fingerprints of a plan, texts whose shingles are counted, and how many common shingles are kept.
 SAMPLE, SAMPLE_TEXTS, MAX_COMMON = 4096, 16384, 500_000
-# Rows of shingles that are paired at a time.
+# Rows of shingles that are paired at a time, and how many of the shingles before its own a row names.
 PAIR_ROWS = 65536
+EARLIER = 3
 
 
 def hashes_of(text: str | None, words: int) -> np.ndarray:
@@ -408,9 +409,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_pairs(least: float):
-    """Pairs of nodes of different groups that share a shingle, of rows sorted by file: those that sizes and places in the sets' order allow."""
+    """Pairs of nodes of different groups that share a shingle, of rows sorted by file: those that sizes and places in the sets' order allow.
 
-    def pairs(file: np.ndarray, shingle: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    A pair comes from the first shingle that both share, and not again from one whose last `EARLIER` before it hold another that both share. Two
+    nodes of one block are paired where the block meets itself (`block` is -1 there and in undealt runs).
+    """
+
+    def pairs(file: np.ndarray, shingle: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, block: np.ndarray, *earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
         i, far = np.arange(len(file)), 0
         while True:
             far += 1
@@ -422,7 +427,13 @@ def _set_pairs(least: float):
             keep = (shingle[i] == shingle[j]) & (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
             both = np.minimum(size[i] - place[i], size[j] - place[j])  # at most so many in common, if this is their first
             keep &= (1 + least) * both >= least * (size[i] + size[j]) - 1e-6
+            keep &= (block[i] < 0) | (block[i] != block[j])
             a, b = i[keep], j[keep]
+            met = np.zeros(len(a), dtype=bool)
+            for u in earlier:
+                for v in earlier:
+                    met |= (u[a] == v[b]) & (u[a] != shingle[a])  # the own shingle stands for none
+            a, b = a[~met], b[~met]
             if len(a):
                 turn = node[a] > node[b]
                 a, b = np.where(turn, b, a), np.where(turn, a, b)
@@ -453,20 +464,25 @@ def set_pairs(sets: DataFrame, least: float, run_rows: int = 5_000) -> DataFrame
     """Distinct pairs `x`, `y` with groups `gx`, `gy`: among them all nodes of different groups that are alike by `least`.
 
     `sets` has node, group, size, rare and prefix. Common shingles are counted first: those of one group alone need no pairs, and those of many
-    rows are dealt into blocks, each pair of which is a file of its own.
+    rows are dealt into blocks, each pair of which is a file of its own. A pair that shares many shingles is made about once, not once for each.
     """
     rows = sets.select("node", "rare", F.posexplode("prefix").alias("place", "shingle"))
     groups = sets.select("node", "group", "size")
     lone = rows.filter("place < rare").select("shingle", "node", "place")
     met = parked(lone.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_met, "shingle long, node long, place int"), "met-shingles")
-    short = met.join(groups, "node").withColumn("file", F.col("shingle"))
-    common = rows.filter("place >= rare").select("shingle", "node", "place").join(groups, "node")
-    sizes = common.groupBy("shingle").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+    common = rows.filter("place >= rare").select("shingle", "node", "place")
+    sizes = common.join(groups, "node").groupBy("shingle").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     sizes = parked(sizes.select("shingle", F.ceil(F.col("n") / run_rows).cast("int").alias("blocks")), "common-shingles")
-    dealt = common.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    shared = met.withColumn("blocks", F.lit(1)).unionByName(common.join(sizes, "shingle")).join(groups, "node")
+    before = Window.partitionBy("node").orderBy("place")
+    names = [f"earlier{k}" for k in range(1, EARLIER + 1)]
+    shared = shared.withColumns({c: F.coalesce(F.lag("shingle", k).over(before), "shingle") for k, c in enumerate(names, 1)})
+    dealt = shared.filter("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("file", F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other")))
-    columns = ("file", "shingle", "node", "group", "size", "place")
+    dealt = dealt.withColumn("file", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.withColumn("block", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")))
+    short = shared.filter("blocks = 1").withColumns({"file": F.col("shingle"), "block": F.lit(-1)})
+    columns = ("file", "shingle", "node", "group", "size", "place", "block", *names)
     filed = short.select(*columns).unionByName(dealt.select(*columns))
     pairs = filed.repartition("file").sortWithinPartitions("file").mapInArrow(_set_pairs(least), "x long, y long, gx long, gy long").distinct()
     found = parked(pairs, "set-pairs")
