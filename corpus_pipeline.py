@@ -29,7 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text_key().alias("t")))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), own.alias("key"), "text")
     groups = simhash.alike_groups(keyed.select("key", "text"), "key")
-    first = groups.filter(F.col("key") == F.col("component")).select("key").distinct()
+    first = parked(groups.filter(F.col("key") == F.col("component")).select("key").distinct(), "first-keys")
+    keyed = keyed.withColumn("key", F.col("key").cast(first.schema["key"].dataType))  # read back, all fields may be null: the join would cast and deal twice
     named = keyed.join(first, "key", "left_semi").dropDuplicates(["key"])
     return named.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 

@@ -339,6 +339,66 @@ def test_set_pairs_make_a_pair_about_once(spark, monkeypatch):
                 assert {(i, j) for j in range(8) for i in range(j)} == set(made) and len(made) < 2 * 28
 
 
+def test_sketches_never_count_too_many():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 20, 40, 300, 330, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * k // 10], rng.integers(0, 2**63, 1 + len(s) // 20, dtype=np.uint64)])) for s in sets[1:] for k in (8, 9, 10)]
+    sketches = simhash.Sketches([simhash.sketch(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    near = np.maximum(sketches.width[i], sketches.width[j]) <= 2 * np.minimum(sketches.width[i], sketches.width[j])
+    i, j = i[near], j[near]
+    alone = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    got = sketches.apart(i, j)
+    assert (got <= alone).all() and (3 * got > alone)[alone < 500].all() and len({*sketches.width}) >= 4
+
+
+def test_texts_just_not_alike_to_a_large_group_make_no_pairs(spark):
+    """A group of 30 and 30 texts that share two thirds with each of it made 900 pairs, each of which carried both texts."""
+    base, rows = set(range(300)), []
+    sets = [base - {10 * k} | {10**6 + k} for k in range(30)] + [{j for j in base if j >= 80} | set(range(10**7 + 1000 * k, 10**7 + 1000 * k + 80)) for k in range(30)] + [base - {5} | {10**9}]
+    rng = np.random.default_rng(6)
+    hashed = {j: int(rng.integers(0, 2**63)) for s in sets for j in sorted(s)}
+    sets = [np.array(sorted(hashed[j] for j in s), dtype=np.uint64) for s in sets]
+    common = np.array(sorted(hashed[j] for j in range(300)), dtype=np.uint64)
+    for k, own in enumerate(sets):
+        # What the outer texts have alone stands last in this order, so that the first shingles are shared.
+        counts = np.array([3 + (j % 7) for j in range(300)])
+        first, rare = simhash.prefix(own, common, counts, 0.8) if k < 30 or k == 60 else simhash.prefix(own, np.setdiff1d(own, common), np.full(80, 100), 0.8)
+        rows.append((k, -1 if k < 30 else k, len(own), 0, first.astype(np.int64).tolist(), bytearray(simhash.sketch(own))))
+    table = spark.createDataFrame(rows, "node long, group long, size long, rare long, prefix array<bigint>, sketch binary")
+    for run_rows in (5000, 7):
+        with_all = {(r.x, r.y) for r in simhash.set_pairs(table.drop("sketch"), 0.8, run_rows).collect()}
+        got = {(r.x, r.y) for r in simhash.set_pairs(table, 0.8, run_rows).collect()}
+        assert sum(x < 30 <= y < 60 for x, y in with_all) == 900  # as all were made before
+        assert got <= with_all and {(k, 60) for k in range(30)} <= got and not any(30 <= y < 60 and x < 30 for x, y in got)
+
+
+@pytest.mark.parametrize("cell_shingles", [2_000_000, 150])
+def test_alike_pairs_in_cells(spark, cell_shingles):
+    base = prose(90, 60, 10**6).split()
+    texts = [" ".join([*base[:k], f"a{k}", *base[k + 1 :]]) for k in range(12)] + [" ".join([*base[:40], *(f"b{k}x{j}" for j in range(k + 1)), *base[41 + k :]]) for k in range(12)]
+    texts += [prose(91, 3), prose(91, 3).upper() + " more"]
+    rows = docs(spark, [*texts, *texts[:5]]).select("text", F.xxhash64("text").alias("own"))  # copies
+    sets = [set(shingles(lower_words(t), 5)) for t in texts]
+    named = rows.select("own", "text").distinct().collect()
+    own = {r.text: r.own for r in named}
+    nodes = spark.createDataFrame([(k, own[t], len(sets[k])) for k, t in enumerate(texts)], "node long, own long, size long")
+    every = [(x, y, -1 if x < 12 else x, -1 if y < 12 else y) for y in range(len(texts)) for x in range(y) if y >= 12]
+    pairs = simhash.parked(spark.createDataFrame(every, "x long, y long, gx long, gy long"), "pairs")
+    got = sorted(tuple(r) for r in simhash.alike_pairs(pairs, nodes, rows, 5, 0.8, cell_shingles).collect())
+    want = [p for p in sorted(every) if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])]
+    assert got == want and 0 < len(want) < len(every)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {b.name() for b in map(blocks.apply, range(blocks.size())) if b.name().startswith("shuffle_")}
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    before = files()
+    simhash.parked(spark.range(10**5).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    assert not files() - before
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]

@@ -16,6 +16,8 @@ _PLAIN = bytes(
 )
 # Rows in one Arrow batch: texts may be long, and a batch of every column is held in a Python worker at once.
 BATCH_ROWS = 256
+# Spark's option to delete a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,12 @@ def parked(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_folder(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")  # else its shuffle files stay until the driver collects garbage
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.parked_at = path
     return back

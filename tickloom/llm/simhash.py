@@ -40,6 +40,9 @@ SAMPLE, SAMPLE_TEXTS, MAX_COMMON = 4096, 16384, 500_000
 # Rows of shingles that are paired at a time, and how many of the shingles before its own a row names.
 PAIR_ROWS = 65536
 EARLIER = 3
+# Bits of a set's sketch at most, and shingles of either side of a cell in which pairs are compared.
+SKETCH_BITS = 8192
+CELL_SHINGLES = 2_000_000
 
 
 def hashes_of(text: str | None, words: int) -> np.ndarray:
@@ -316,17 +319,6 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def _similarity(words: int):
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            own, other = set(shingles(lower_words(x), words)), set(shingles(lower_words(y), words))
-            out.append(len(own & other) / max(1, len(own | other)) if own or other else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return run
-
-
 def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of shingles that several texts of a sample have."""
     step = max(1, rows.count() // SAMPLE_TEXTS)
@@ -337,7 +329,9 @@ def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["h"])
 
     some = rows.filter(F.pmod("own", F.lit(step)) == 0).select("text").mapInArrow(each, "h long")
-    counted = some.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MAX_COMMON).toPandas()
+    held = parked(some.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(MAX_COMMON), "common-sample")
+    counted = held.toPandas()
+    forget(held)
     h, n = counted["h"].to_numpy(dtype=np.int64).view(np.uint64), counted["n"].to_numpy(dtype=np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -362,6 +356,44 @@ def _node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """For each of at least twice as many bits as a set has shingles (a power of two, `SKETCH_BITS` at most) if an odd number of them falls on it."""
+    bits = min(SKETCH_BITS, max(64, 1 << (2 * len(own)).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of rows; of two of unequal length the longer is folded to the bits of the shorter, which is its set's sketch of that length."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.width = raw, np.array([len(r) for r in raw], dtype=np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches of this length or of twice that, folded, and where each row's stands."""
+        if width not in self.tables:
+            own, twice = np.flatnonzero(self.width == width), np.flatnonzero(self.width == 2 * width)
+            whole = np.frombuffer(b"".join(self.raw[k] for k in own), dtype=np.uint64).reshape(-1, width // 8)
+            halves = np.frombuffer(b"".join(self.raw[k] for k in twice), dtype=np.uint64).reshape(-1, 2, width // 8)
+            place = np.zeros(len(self.raw), dtype=np.int64)
+            place[own], place[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            self.tables[width] = np.concatenate([whole, halves[:, 0] ^ halves[:, 1]]), place
+        return self.tables[width]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For rows `a` and `b`, whose lengths are equal or one twice the other, a number of shingles that at least one set has alone: never too many."""
+        out = np.zeros(len(a), dtype=np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width).tolist():
+            table, place = self.table(w)
+            some = np.flatnonzero(width == w)
+            for at in range(0, len(some), step := max(1, 4_000_000 // w)):
+                k = some[at : at + step]
+                out[k] = np.bitwise_count(table[place[a[k]]] ^ table[place[b[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _described(words: int, count: int):
     """For texts: `count` fingerprints, a hash of the whole shingle set and the set's size."""
     names = [*(f"fp{k}" for k in range(count)), "node", "size"]
@@ -378,15 +410,15 @@ def _described(words: int, count: int):
 
 
 def _prefixes(words: int, least: float, common):
-    """For texts: the hash of the shingle set and its rarest shingles."""
+    """For texts: the hash of the shingle set, its rarest shingles and its sketch."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             own = np.unique(hashes_of(t, words))
             first, rare = prefix(own, *common.value, least)
-            rows.append((_node(own), rare, first.view(np.int64)))
-        return pd.DataFrame(rows, columns=["node", "rare", "prefix"])
+            rows.append((_node(own), rare, first.view(np.int64), sketch(own)))
+        return pd.DataFrame(rows, columns=["node", "rare", "prefix", "sketch"])
 
     return run
 
@@ -408,36 +440,36 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _set_pairs(least: float):
-    """Pairs of nodes of different groups that share a shingle, of rows sorted by file: those that sizes and places in the sets' order allow.
+def _meetings(least: float, file: np.ndarray, shingle: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, block: np.ndarray, *earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of rows, sorted by file, whose nodes are of different groups and share a shingle: those that sizes and places in the sets' order allow.
 
     A pair comes from the first shingle that both share, and not again from one whose last `EARLIER` before it hold another that both share. Two
     nodes of one block are paired where the block meets itself (`block` is -1 there and in undealt runs).
     """
-
-    def pairs(file: np.ndarray, shingle: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, block: np.ndarray, *earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, far = np.arange(len(file)), 0
-        while True:
-            far += 1
-            i = i[i + far < len(file)]
-            i = i[file[i] == file[i + far]]
-            if not len(i):
-                return
-            j = i + far
-            keep = (shingle[i] == shingle[j]) & (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
-            both = np.minimum(size[i] - place[i], size[j] - place[j])  # at most so many in common, if this is their first
-            keep &= (1 + least) * both >= least * (size[i] + size[j]) - 1e-6
-            keep &= (block[i] < 0) | (block[i] != block[j])
-            a, b = i[keep], j[keep]
-            met = np.zeros(len(a), dtype=bool)
-            for u in earlier:
-                for v in earlier:
-                    met |= (u[a] == v[b]) & (u[a] != shingle[a])  # the own shingle stands for none
-            a, b = a[~met], b[~met]
-            if len(a):
-                turn = node[a] > node[b]
-                a, b = np.where(turn, b, a), np.where(turn, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], group[a], group[b])], ["x", "y", "gx", "gy"])
+    i, far = np.arange(len(file)), 0
+    while True:
+        far += 1
+        i = i[i + far < len(file)]
+        i = i[file[i] == file[i + far]]
+        if not len(i):
+            return
+        j = i + far
+        keep = (shingle[i] == shingle[j]) & (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        both = np.minimum(size[i] - place[i], size[j] - place[j])  # at most so many in common, if this is their first
+        keep &= (1 + least) * both >= least * (size[i] + size[j]) - 1e-6
+        keep &= (block[i] < 0) | (block[i] != block[j])
+        a, b = i[keep], j[keep]
+        met = np.zeros(len(a), dtype=bool)
+        for u in earlier:
+            for v in earlier:
+                met |= (u[a] == v[b]) & (u[a] != shingle[a])  # the own shingle stands for none
+        a, b = a[~met], b[~met]
+        if len(a):
+            yield a, b
+
+
+def _by_file(each):
+    """`each` over the columns of many rows sorted by file at a time, and never over a part of a file's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -451,20 +483,52 @@ def _set_pairs(least: float):
             every = tuple(map(np.concatenate, zip(*held)))
             cut = int(np.searchsorted(every[0], every[0][-1]))  # the last run may go on in the next batch
             if cut:
-                yield from pairs(*(x[:cut] for x in every))
+                yield from each(*(x[:cut] for x in every))
             held = [tuple(x[cut:] for x in every)]
             rows = 0  # a long run is looked at again after as many rows
         if held:
-            yield from pairs(*map(np.concatenate, zip(*held)))
+            yield from each(*map(np.concatenate, zip(*held)))
 
     return run
 
 
+def _paired(least: float, names: tuple[str, ...]):
+    """Of rows sorted by file those that make a pair."""
+
+    def each(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(len(columns[0]), dtype=bool)
+        for a, b in _meetings(least, *columns):
+            keep[a] = keep[b] = True
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], list(names))
+
+    return _by_file(each)
+
+
+def _set_pairs(least: float, sketched: bool):
+    """Pairs of nodes of rows sorted by file; where the last column is a sketch, without those that sketches show to be less alike."""
+
+    def each(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sketches = Sketches(columns[-1].tolist()) if sketched else None
+        columns = columns[:-1] if sketched else columns
+        node, group, size = columns[2:5]
+        for a, b in _meetings(least, *columns):
+            if sketches:
+                keep = (1 + least) * sketches.apart(a, b) <= (1 - least) * (size[a] + size[b]) + 1e-6
+                a, b = a[keep], b[keep]
+            turn = node[a] > node[b]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], group[a], group[b])], ["x", "y", "gx", "gy"])
+
+    return _by_file(each)
+
+
 def set_pairs(sets: DataFrame, least: float, run_rows: int = 5_000) -> DataFrame:
     """Distinct pairs `x`, `y` with groups `gx`, `gy`: among them all nodes of different groups that are alike by `least`.
 
     `sets` has node, group, size, rare and prefix. Common shingles are counted first: those of one group alone need no pairs, and those of many
     rows are dealt into blocks, each pair of which is a file of its own. A pair that shares many shingles is made about once, not once for each.
+    If `sets` has sketches too, the rows that make a pair at all are written first and get them, and pairs whose sketches lie too far apart are
+    not made: most of those that only share a passage, or are changed in many places.
     """
     rows = sets.select("node", "rare", F.posexplode("prefix").alias("place", "shingle"))
     groups = sets.select("node", "group", "size")
@@ -484,20 +548,68 @@ def set_pairs(sets: DataFrame, least: float, run_rows: int = 5_000) -> DataFrame
     short = shared.filter("blocks = 1").withColumns({"file": F.col("shingle"), "block": F.lit(-1)})
     columns = ("file", "shingle", "node", "group", "size", "place", "block", *names)
     filed = short.select(*columns).unionByName(dealt.select(*columns))
-    pairs = filed.repartition("file").sortWithinPartitions("file").mapInArrow(_set_pairs(least), "x long, y long, gx long, gy long").distinct()
+    spent = [met, sizes]
+    if sketched := "sketch" in sets.columns:
+        paired = filed.repartition("file").sortWithinPartitions("file").mapInArrow(_paired(least, columns), filed.schema)
+        spent.append(paired := parked(paired, "paired"))
+        filed = paired.join(sets.select("node", "sketch"), "node").select(*columns, "sketch")
+    pairs = filed.repartition("file").sortWithinPartitions("file").mapInArrow(_set_pairs(least, sketched), "x long, y long, gx long, gy long").distinct()
     found = parked(pairs, "set-pairs")
-    forget(met, sizes)
+    forget(*spent)
     return found
 
 
-def _alike(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the (written) pairs of nodes `x`, `y` whose texts are alike by `least` or more, written."""
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    named = firsts.select("node", "own").join(nodes, "node")
-    texts = parked(rows.select("own", "text").join(named, "own").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("t")), "y")
-    found = parked(both.filter(F.pandas_udf(_similarity(words), "double")("s", "t") >= least).select(*pairs.columns), "alike")
-    forget(texts, pairs)
+def _compared(words: int, least: float):
+    """Of rows (cell, x, y, gx, gy, text) sorted by cell, a cell's texts (of x, without a y) first, the pairs whose texts are alike by `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            found = []
+            rows = zip(*(batch.column(k).to_pylist() for k in range(6)))
+            for at, (c, x, y, _, _, text) in enumerate(rows):
+                if c != cell:
+                    cell, sets = c, {}
+                if y is None:
+                    sets[x] = np.unique(hashes_of(text, words))
+                    continue
+                own, other = sets[x], sets[y]
+                every = np.concatenate([own, other])
+                every.sort(kind="stable")
+                both = int((every[1:] == every[:-1]).sum())
+                if both >= least * (len(every) - both) - 1e-9:
+                    found.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(found, pa.int64())) for k in range(1, 5)], ["x", "y", "gx", "gy"])
+
+    return run
+
+
+def alike_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Those of the (written) pairs of nodes `x`, `y` with groups `gx`, `gy` whose texts are alike by `least` or more, written.
+
+    `nodes` has node, own and size, `rows` own and text. A pair is compared at the one of its groups that has more pairs, so that a group and all that is
+    held against it meet, and each text goes there once and not with every pair. What has more than `cell_shingles` on one side is cut into
+    cells, each with a part of either side.
+    """
+    counts = pairs.select(F.col("gx").alias("g")).unionByName(pairs.select(F.col("gy").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
+    held = pairs.join(counts.select(F.col("g").alias("gx"), F.col("n").alias("nx")), "gx").join(counts.select(F.col("g").alias("gy"), F.col("n").alias("ny")), "gy")
+    at_x = F.expr("nx > ny OR nx = ny AND gx <= gy")
+    held = held.select("x", "y", "gx", "gy", F.when(at_x, F.col("gx")).otherwise(F.col("gy")).alias("hub"), F.when(at_x, F.col("x")).otherwise(F.col("y")).alias("inner"), F.when(at_x, F.col("y")).otherwise(F.col("x")).alias("outer"))
+    held = parked(held, "held")
+    sides = [held.select("hub", F.col(side).alias("node"), F.lit(side).alias("side")).distinct() for side in ("inner", "outer")]
+    shingled = sides[0].unionByName(sides[1]).join(nodes.select("node", "size"), "node").groupBy("hub").pivot("side", ["inner", "outer"]).agg(F.sum("size"))
+    cuts = shingled.select("hub", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / cell_shingles).cast("int").alias(f"n_{c}") for c in ("inner", "outer")])
+    parts = [F.pmod(F.xxhash64(c, F.lit("cell")), F.col(f"n_{c}")) for c in ("inner", "outer")]
+    celled = parked(held.join(cuts, "hub").select(F.xxhash64("hub", *parts).alias("cell"), "x", "y", "gx", "gy"), "celled")
+    there = celled.select("cell", F.col("x").alias("node")).unionByName(celled.select("cell", F.col("y").alias("node"))).distinct()
+    wanted = nodes.select("node", "own").join(there.select("node").distinct(), "node")
+    # One text of each node: copies meet by `own`, by which they are joined.
+    texts = parked(rows.select("own", "text").join(wanted, "own").dropDuplicates(["own"]).select("node", "text"), "texts")
+    read = there.join(texts, "node").select("cell", F.col("node").alias("x"), *[F.lit(None).cast("long").alias(c) for c in ("y", "gx", "gy")], "text")
+    every = read.unionByName(celled.withColumn("text", F.lit(None).cast("string")))
+    sorted_rows = every.repartition("cell").sortWithinPartitions("cell", F.col("y").isNotNull())
+    found = parked(sorted_rows.mapInArrow(_compared(words, least), "x long, y long, gx long, gy long"), "alike")
+    forget(held, celled, texts, pairs)
     return found
 
 
@@ -507,7 +619,7 @@ def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     Texts with the same set of shingles are copies, one node. Candidates come from `prints` independent fingerprints, each searched to
     `within` bits; the nearest candidates that connect all others are verified on the texts, and so are nodes that share a fingerprint.
     What this links are groups, found cheaply. An exact join completes them: alike sets share one of their rarest shingles, so every pair of
-    nodes of different groups that does is verified as well. No link is lost, however the fingerprints fall. The rarest shingles are
+    nodes of different groups that does is verified as well, but for those that sketches of the sets rule out. No link is lost, however the fingerprints fall. The rarest shingles are
     worked out from the texts only then. Tables are deleted once their last reader is written.
     """
     names = tuple(f"fp{k}" for k in range(prints))
@@ -526,19 +638,20 @@ def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
         same = firsts.select(F.col(name).alias("fp"), F.col("node").alias("y")).join(held, "fp").select("x", "y").filter("x != y")
         own = own.unionByName(same)
         pairs = own if pairs is None else pairs.unionByName(own)
-    pairs = parked(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = parked(pairs.withColumns({"gx": F.col("x"), "gy": F.col("y")}), "pairs")
     forget(*searched)
-    alike = _alike(pairs, firsts, rows, words, least)
+    alike = alike_pairs(pairs, firsts, rows, words, least)
     roots = components(alike, "x", "y").withColumnRenamed("node", "of")
     grouped = firsts.join(roots, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("root", "node"))
     grouped = parked(grouped.select("node", "key", "group", "size"), "groups")
     common = df.sparkSession.sparkContext.broadcast(_common_shingles(rows, words))
-    rarest = rows.select(F.pandas_udf(_prefixes(words, least, common), "node long, rare long, prefix array<bigint>")("text").alias("_p")).select("_p.*")
-    rarest = rarest.groupBy("node").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    rarest = rows.select(F.pandas_udf(_prefixes(words, least, common), "node long, rare long, prefix array<bigint>, sketch binary")("text").alias("_p")).select("_p.*")
+    rarest = rarest.groupBy("node").agg(*[F.first(c).alias(c) for c in ("rare", "prefix", "sketch")])
     sets = parked(rarest.join(grouped.select("node", "group", "size"), "node"), "sets")
     candidates = set_pairs(sets, least)
     forget(sets)
-    more = _alike(candidates, firsts, rows, words, least)
+    more = alike_pairs(candidates, firsts, rows, words, least)
     roots = components(more, "gx", "gy").withColumnRenamed("node", "of")
     rooted = grouped.join(roots, F.col("group") == F.col("of"), "left").select(F.col("node").alias("of"), F.col("key").alias("first"), F.coalesce("root", "group").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
