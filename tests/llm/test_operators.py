@@ -390,6 +390,15 @@ def test_alike_pairs_in_cells(spark, cell_shingles):
     assert got == want and 0 < len(want) < len(every)
 
 
+def test_rarest_shingles_are_worked_out_once_for_a_text(spark):
+    texts = [prose(k, 30) for k in range(6)] + [prose(0, 30)]
+    common = spark.sparkContext.broadcast((np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+    groups = simhash.parked(spark.range(3).select(F.col("id").alias("node")), "groups")
+    found = simhash.rarest_shingles(docs(spark, texts), 5, 0.8, common)
+    assert found.join(groups, "node")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.node: bytes(r.sketch) for r in found.collect()} == {simhash._node(s): simhash.sketch(s) for s in (np.unique(simhash.hashes_of(t, 5)) for t in texts)}
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     files = lambda: {b.name() for b in map(blocks.apply, range(blocks.size())) if b.name().startswith("shuffle_")}
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
