@@ -42,7 +42,7 @@ PAIR_ROWS = 65536
 EARLIER = 3
 # Bits of a set's sketch at most, and shingles of either side of a cell in which pairs are compared.
 SKETCH_BITS = 8192
-CELL_SHINGLES = 2_000_000
+CELL_SHINGLES = 100_000
 
 
 def hashes_of(text: str | None, words: int) -> np.ndarray:
